@@ -11,12 +11,27 @@ from glyphmill.llm.common import table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.digests import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.common import held_out
+    from glyphmill.llm.langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs), keep=["doc_id"])
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
