@@ -11,6 +11,12 @@ from glyphmill.llm.common import table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.toxicity import toxicity
 
@@ -23,6 +29,12 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.common import held_out
     from glyphmill.llm.langid import identify, learn
