@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm.common import table
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
+
+
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from glyphmill.llm.pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), keep=["doc_id"], with_ids=False)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +43,12 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.decontam import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.common import held_out
     from glyphmill.llm.langid import identify, learn
