@@ -37,6 +37,12 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.ngram_join import join_components
+
+    return join_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.html_text import main_text
 
