@@ -26,7 +26,7 @@ from glyphmill.llm.common import Memo, held_out, sampled
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-TRAIN_ROWS, VOCABULARY, LONGEST, EVIDENCE, FLOOR = 20_000, 200_000, 4, 30, 0.5
+TRAIN_ROWS, VOCABULARY, LONGEST, EVIDENCE, FLOOR, LEAST_SCORE = 20_000, 200_000, 4, 30, 0.5, 0.4
 
 
 class Model:
@@ -125,8 +125,8 @@ def learn(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     return Model([tuple(r) for r in top.collect()])
 
 
-def identify(df: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred and score to the columns ``keep`` (default: all)."""
+def identify(df: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score, as ``names``, to the columns ``keep`` (default: all)."""
     spark = df.sparkSession
     keep = keep if keep is not None else df.columns
     sent = spark.sparkContext.broadcast(model)  # bounded by the vocabulary
@@ -136,6 +136,12 @@ def identify(df: DataFrame, model: Model, *, text: str = "text", keep: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [sent.value.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, *names])
 
-    return chosen.mapInArrow(run, f"{schema}{', ' if keep else ''}lang_pred string, score double")
+    return chosen.mapInArrow(run, f"{schema}{', ' if keep else ''}`{names[0]}` string, `{names[1]}` double")
+
+
+def recognized(df: DataFrame, model: Model, *, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows whose language is recognized with at least this score, with all their columns."""
+    found = identify(df, model, text=text, names=("__lang", "__score"))
+    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).drop("__lang", "__score")

@@ -43,6 +43,12 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from glyphmill.llm.repeats import repeats
+
+    return repeats(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.html_text import main_text
 
