@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import constants as C
+from glyphmill.functions.session import importable
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # What a character is misread as, by type.
@@ -16,6 +17,7 @@ KEYS = ["field_type", "id"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
