@@ -11,12 +11,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions.session import importable
+
 #: Kept files of this process; removed when it ends.
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _OWN_DIR: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
