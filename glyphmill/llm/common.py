@@ -6,8 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import weakref
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +16,7 @@ from glyphmill.functions.session import importable
 #: Kept files of this process; removed when it ends.
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _OWN_DIR: list[str] = []
+_MEMOS: list[weakref.ref] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,9 +103,10 @@ def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
 class Memo(dict):
     """Bounded cache: forgets everything when it is full. Its results never depend on what it holds."""
 
-    def __init__(self, make, most: int = 600_000):
+    def __init__(self, make, most: int = 300_000):
         super().__init__()
         self.make, self.most = make, most
+        _MEMOS.append(weakref.ref(self))
 
     def __missing__(self, key):
         if len(self) >= self.most:
@@ -113,7 +115,9 @@ class Memo(dict):
         return value
 
 
-def ragged(lengths: np.ndarray) -> np.ndarray:
-    """0..n-1 for each n of ``lengths``, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
+def settle(*keep: Memo) -> None:
+    """Empties all caches of this process but ``keep``: a Python worker serves one operator after the other."""
+    for ref in _MEMOS:
+        memo = ref()
+        if memo and all(memo is not k for k in keep):
+            memo.clear()

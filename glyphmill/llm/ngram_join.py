@@ -30,16 +30,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.blobs import Packer, exchanged, gathered, joined, mix, schema_of, spread
-from glyphmill.llm.common import Memo, partitions, written
+from glyphmill.llm.common import Memo, partitions, settle, written
 from glyphmill.llm.components import components
 
 NULL_ID = -(2**63)
 CHUNK, MANY = 512, 0xFFFF
 #: Hashes that look for a first link; choices of L; cost of a candidate's check per n-gram, against one list entry.
 FIRST, MOST_L, CHECK_COST = 6, 8, 0.1
-BLOCK = 2048
+BLOCK = 1024
+#: Lists of at least so many members check their pairs on the spot.
+LONG_LIST = 24
+#: Ids (8 bytes each) that may be broadcast; beyond, the texts are shuffled.
+MOST_BROADCAST = 2_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_WORDS = Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 400_000)
+_WORDS = Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 200_000)
 _ODD = [np.uint64(int.from_bytes(hashlib.blake2b(b"place %d" % k, digest_size=8).digest(), "little") | 1) for k in range(64)]
 
 
@@ -74,6 +78,7 @@ def sieve(df: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
     """Rows (doc_id, n_shingles, mark, alive) of every row; mark: equal for equal sets; not alive: links with no other set."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(_WORDS)
         out = Packer(_SIEVE)
         for batch in batches:
             for cut in range(0, batch.num_rows, CHUNK):
@@ -145,10 +150,14 @@ def sieve(df: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
 
 _SHARED = {"token": {"tokens": "<i8", "docs": "<i8", "groups": "<i8"}, "doc": {"docs": "<i8", "groups": "<i8", "sizes": "<i4", "l": "<i4"}, "found": {"docs": "<i8", "tokens": "<i8", "times": "<i4"}}
 _SETS = "doc_id long, group long, size int, l int, tokens array<long>, times array<int>"
+_PREFIXES = _SETS + ", all array<long>"
 
 
-def shared_by_groups(sets: DataFrame, parts: int) -> DataFrame:
-    """Of rows (doc_id, group, size, l, tokens) the tokens that occur in several groups, with their number of rows."""
+def shared_by_groups(sets: DataFrame, parts: int, then=None, schema: str = _SETS) -> DataFrame:
+    """Of rows (doc_id, group, size, l, tokens) the tokens that occur in several groups, with their number of rows.
+
+    ``then``: a map of the resulting batches to rows of ``schema``, run in the same Python worker.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Packer(_SHARED)
@@ -196,7 +205,8 @@ def shared_by_groups(sets: DataFrame, parts: int) -> DataFrame:
             yield pa.record_batch([pa.array(d["docs"][some]), pa.array(d["groups"][some]), pa.array(d["sizes"][some]), pa.array(d["l"][some]), pa.ListArray.from_arrays(ends, pa.array(tokens[take])), pa.ListArray.from_arrays(ends, pa.array(times[take]))], ["doc_id", "group", "size", "l", "tokens", "times"])
 
     dealt = sets.select("doc_id", "group", "size", "l", "tokens").mapInArrow(deal, schema_of(_SHARED))
-    return exchanged(exchanged(dealt, parts, count, schema_of(_SHARED)), parts, collect, _SETS)
+    finish = (lambda batches: then(collect(batches))) if then else collect
+    return exchanged(exchanged(dealt, parts, count, schema_of(_SHARED)), parts, finish, schema)
 
 
 def choose_prefix(tokens: np.ndarray, times: np.ndarray, size: int, percent: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -217,8 +227,8 @@ def choose_prefix(tokens: np.ndarray, times: np.ndarray, size: int, percent: int
     return level, tokens[: free + level], times[: free + level]
 
 
-def prefixes(shared: DataFrame, percent: int) -> DataFrame:
-    """Rows (doc_id, group, size, l, tokens, times) with the tokens of the prefix; rows that can link with nothing go."""
+def prefixes(percent: int):
+    """Map of batches of ``shared_by_groups`` to rows with the tokens of the prefix, and all of them; rows that can link with nothing go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,26 +239,33 @@ def prefixes(shared: DataFrame, percent: int) -> DataFrame:
                 if len(tokens) >= overlap(size, percent):
                     level, some, often = choose_prefix(tokens, times, size, percent)
                     if len(some) >= level:
-                        rows.append((batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), size, level, some, often))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())), strict=True)], ["doc_id", "group", "size", "l", "tokens", "times"])
+                        rows.append((batch.column(0)[r].as_py(), batch.column(1)[r].as_py(), size, level, some, often, tokens))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())), strict=True)], ["doc_id", "group", "size", "l", "tokens", "times", "all"])
 
-    return shared.mapInArrow(run, _SETS)
+    return run
 
 
-_LISTS = {"list": {"key": "<i8", "tokens": "<i8", "lengths": "<i4", "at": "<i4", "docs": "<i8", "groups": "<i8", "sizes": "<i4", "l": "<i4", "side": "<i4"}}
+_LISTS = {"list": {"key": "<i8", "tokens": "<i8", "lengths": "<i4", "at": "<i4", "docs": "<i8", "groups": "<i8", "sizes": "<i4", "l": "<i4", "side": "<i4", "whole": "<i8"}}
 
 
 def candidates(prefix: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Pairs (a, b) of different groups that share at least the smaller L prefix n-grams and can link by their sizes.
+    """Rows (a, b, sure): pairs of different groups that share at least the smaller L prefix n-grams and can link by their sizes.
+
+    Members of a long list bring all their shared n-grams along: their pairs are checked on the spot, and only links
+    (sure) go on, so that a large group of texts that are alike but not linked makes no rows.
 
-    ``prefix``: the chosen prefixes without the tokens that occur in one group only; ``times``: how many have a token.
+    ``prefix``: the chosen prefixes. Tokens that only one group has in a prefix are left out first; a document with
+    fewer than L others has no candidates.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = Packer(_LISTS)
-            for doc, group, size, level, tokens, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, group, size, level, tokens, times, every in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                every = np.array(every, np.int64).tobytes()
+                if len(out.rows) > 2_000:
+                    yield out.flush()
                 tokens, times = np.array(tokens, np.int64), np.array(times, np.int64)
                 order = np.lexsort((tokens, times))
                 tokens, times = tokens[order], times[order]
@@ -258,7 +275,7 @@ def candidates(prefix: DataFrame, percent: int, parts: int) -> DataFrame:
                     for other in range(blocks):
                         low, high = min(own, other), max(own, other)
                         key = int(mix(np.array([tokens[at] + low * 1_000_003 + high * 7_919], np.int64)).view(np.int64)[0]) if blocks > 1 else int(tokens[at])
-                        out.one("list", int(spread(mix(np.array([key])), parts)[0]), {"key": np.int64(key).tobytes(), "tokens": tokens[: at + 1].tobytes(), "lengths": np.int32(at + 1).tobytes(), "at": np.int32(at).tobytes(), "docs": np.int64(doc).tobytes(), "groups": np.int64(group).tobytes(), "sizes": np.int32(size).tobytes(), "l": np.int32(level).tobytes(), "side": np.int32(own - low if low != high else -1).tobytes()})
+                        out.one("list", int(spread(mix(np.array([key])), parts)[0]), {"key": np.int64(key).tobytes(), "tokens": tokens[: at + 1].tobytes(), "lengths": np.int32(at + 1).tobytes(), "at": np.int32(at).tobytes(), "docs": np.int64(doc).tobytes(), "groups": np.int64(group).tobytes(), "sizes": np.int32(size).tobytes(), "l": np.int32(level).tobytes(), "side": np.int32(own - low if low != high else -1).tobytes(), "whole": every if times[at] >= LONG_LIST else b""})
             yield out.flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,16 +283,42 @@ def candidates(prefix: DataFrame, percent: int, parts: int) -> DataFrame:
         key, docs, groups, sizes, level, side = (joined(got[c], _LISTS["list"][c]) for c in ("key", "docs", "groups", "sizes", "l", "side"))
         order = np.argsort(key, kind="stable")
         cuts = np.flatnonzero(np.diff(key[order])) + 1
-        rows: list[tuple[int, int]] = []
+        rows: list[tuple[int, int, bool]] = []
         for members in np.split(order, cuts):
             if len(members) < 2 or (groups[members] == groups[members[0]]).all():
                 continue
-            rows += _pairs([got["tokens"][m] for m in members], docs[members], groups[members], sizes[members], level[members], side[members], percent)
-        a, b = zip(*rows, strict=True) if rows else ([], [])
-        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    dealt = prefix.select("doc_id", "group", "size", "l", "tokens", "times").mapInArrow(deal, schema_of(_LISTS))
-    return exchanged(dealt, parts, meet, "a long, b long").distinct()
+            found = _pairs([got["tokens"][m] for m in members], docs[members], groups[members], sizes[members], level[members], side[members], percent)
+            whole = {int(docs[m]): (got["whole"][m], int(sizes[m])) for m in members}
+            sure = bool(len(got["whole"][members[0]]))
+            rows += [(a, b, sure) for a, b in (_links(found, whole, percent) if sure else found)]
+        a, b, c = zip(*rows, strict=True) if rows else ([], [], [])
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.bool_())], ["a", "b", "sure"])
+
+    again = shared_by_groups(prefix, parts).where("size(tokens) >= l")
+    dealt = again.join(prefix.select("doc_id", "all"), "doc_id").select("doc_id", "group", "size", "l", "tokens", "times", "all").mapInArrow(deal, schema_of(_LISTS))
+    return exchanged(dealt, parts, meet, "a long, b long, sure boolean").distinct()
+
+
+def _links(pairs: list[tuple[int, int]], whole: dict[int, tuple[np.ndarray, int]], percent: int) -> list[tuple[int, int]]:
+    """Those of the pairs that link; documents of different groups share only n-grams of their whole lists."""
+    if not pairs:
+        return []
+    used = sorted({d for pair in pairs for d in pair})
+    row = {d: k for k, d in enumerate(used)}
+    lists = [whole[d][0] for d in used]
+    names, where = np.unique(np.concatenate(lists), return_inverse=True)
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    a, b = (np.array([row[d] for d in side]) for side in zip(*pairs, strict=True))
+    shared = np.zeros(len(pairs), np.int64)
+    for low in range(0, len(names), 4096):  # some n-grams at a time, so that the table stays small
+        table = np.zeros((len(lists), min(4096, len(names) - low)), np.float32)
+        some = (where >= low) & (where < low + 4096)
+        table[owner[some], where[some] - low] = 1
+        common = table @ table.T
+        shared += common[a, b].astype(np.int64)
+    size = np.array([whole[d][1] for d in used])
+    ok = 100 * shared >= percent * (size[a] + size[b] - shared)
+    return [pair for pair, good in zip(pairs, ok.tolist(), strict=True) if good]
 
 
 def _pairs(lists: list[np.ndarray], docs, groups, sizes, level, side, percent: int) -> list[tuple[int, int]]:
@@ -331,20 +374,21 @@ def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", n: int =
     alive = docs.where("alive").groupBy("mark").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(_WORDS)
         for batch in batches:
             sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "tokens"])
 
+    alive = written(alive, "join-alive")
+    if alive.count() <= MOST_BROADCAST:
+        alive = F.broadcast(alive)
     sets = written(rows.join(alive, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, tokens array<long>"), "join-sets")
     stars = written(first_links(sets, percent), "join-stars")
-    lead = stars.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("group"))
-    over = lead.select(F.col("doc_id").alias("group"), F.col("group").alias("upper"))
-    lead = lead.join(over, "group", "left").select("doc_id", F.coalesce("upper", "group").alias("group"))
-    grouped = sets.join(lead, "doc_id", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group"), F.size("tokens").alias("size"), F.lit(1).alias("l"), "tokens")
-    chosen = written(prefixes(shared_by_groups(grouped, parts), percent), "join-prefixes")
-    again = shared_by_groups(chosen, parts).where("size(tokens) >= l")  # what nobody else has in a prefix can't be shared
-    pairs = written(candidates(again, percent, parts), "join-pairs")
-    return docs, classes, stars.union(checked(pairs, sets, percent)).distinct()
+    grouped = sets.join(components(stars).toDF("doc_id", "group"), "doc_id", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group"), F.size("tokens").alias("size"), F.lit(1).alias("l"), "tokens")
+    chosen = written(shared_by_groups(grouped, parts, prefixes(percent), _PREFIXES), "join-prefixes")
+    pairs = written(candidates(chosen, percent, parts), "join-pairs")
+    found = checked(pairs.where("not sure").select("a", "b"), sets, percent).union(pairs.where("sure").select("a", "b"))
+    return docs, classes, stars.union(found).distinct()
 
 
 def join_components(df: DataFrame, **options) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphmill.llm import oracles
 from glyphmill.llm.common import table
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -40,7 +41,7 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from glyphmill.llm.ngram_join import join_components
 
-    return join_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return join_components(table(spark, sf_dir, "documents"), n=4, percent=85).drop("class_id")
 
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_ngram_join": oracles.OP5}
