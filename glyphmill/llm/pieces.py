@@ -20,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Memo
+from glyphmill.llm.common import Memo, settle
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNKNOWN_LOSS = 10.0
 _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+_TAIL = struct.Struct("<dd")
 _CODECS: dict[tuple[str, int], Codec] = {}
 
 
@@ -63,11 +66,16 @@ class Codec:
                 self.unknown_id = i if p.type == UNKNOWN else self.unknown_id
                 self.shown.append(" ⁇ ".encode() if p.type == UNKNOWN else b"")
         self.dtype = np.dtype("<u2" if len(model.pieces) <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.unknown_score = min(s for _, s in self.pieces.values()) - UNKNOWN_LOSS
         self.longest = max(map(len, self.pieces))
+        self.reach: dict[str, int] = {}  # the longest piece with these last four characters; without one, pieces have three at most
+        for p in self.pieces:
+            if len(p) > 3:
+                self.reach[p[-4:]] = max(len(p), self.reach.get(p[-4:], 0))
         self.joined = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
-        self.known = Memo(self._stretch, 500_000)
-        self.parts = Memo(self._first, 500_000)
+        self.known = Memo(self._stretch, 550_000)
+        self.parts = Memo(self._first, 350_000)
         self.others = Memo(self._ways, 20_000)
 
     def lattice(self, text: str, end: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
@@ -85,11 +93,12 @@ class Codec:
 
     def forward(self, text: str) -> list[float]:
         """The best score of every prefix."""
-        get, longest, unknown = self.pieces.get, self.longest, self.unknown_score
+        get, reach, unknown = self.pieces.get, self.reach.get, self.unknown_score
         ahead = [0.0]
         for end in range(1, len(text) + 1):
             best = None
-            for start in range(end - longest if end > longest else 0, end):
+            span = reach(text[end - 4 : end], 3) if end > 3 else end
+            for start in range(end - span if end > span else 0, end):
                 found = get(text[start:end])
                 if found is not None:
                     score = ahead[start] + found[1]
@@ -145,11 +154,39 @@ class Codec:
         return out
 
     def _first(self, text: str) -> tuple[bytes, float, float]:
-        """The best segmentation alone, with the loss of the second best."""
-        ahead = self.forward(text)
-        second = [-np.inf]
-        score, path = self._descend(text, ahead, len(text), 0.0, None, lambda total, *_: second.append(total))
-        return np.array(_flat(path), self.dtype).tobytes(), score, score - max(second)
+        """The best segmentation alone, with the loss of the second best: a forward pass that keeps both."""
+        get, reach, unknown = self.pieces.get, self.reach.get, self.unknown_score
+        first, second, back = [0.0], [-np.inf], [0]
+        for end in range(1, len(text) + 1):
+            best = other = -np.inf
+            came = 0
+            span = reach(text[end - 4 : end], 3) if end > 3 else end
+            for start in range(end - span if end > span else 0, end):
+                found = get(text[start:end])
+                if found is None:
+                    if start < end - 1:
+                        continue
+                    cost = unknown
+                else:
+                    cost = found[1]
+                score = first[start] + cost
+                if score > best:
+                    below = second[start] + cost
+                    other = best if best > below else below
+                    best, came = score, start
+                elif score > other:
+                    other = score
+            first.append(best)
+            second.append(other)
+            back.append(came)
+        at, ids = len(text), []
+        while at:
+            start = back[at]
+            found = get(text[start:at])
+            ids.extend(reversed(self._unknown(text[start])) if found is None else (found[0],))
+            at = start
+        ids.reverse()
+        return array(self.code, ids).tobytes(), first[-1], first[-1] - second[-1]
 
     def _cut(self, text: str) -> list[str]:
         """Between two characters that no piece holds together every segmentation is cut."""
@@ -160,37 +197,28 @@ class Codec:
                 at = i
         return [*parts, text[at:]]
 
-    def _stretch(self, text: str) -> tuple[bytes, float, float]:
-        """Best ids, their score and the loss of the second best."""
+    def _stretch(self, text: str) -> bytes:
+        """Packed for the cache: the best ids, then their score and the loss of the second best."""
         parts = [self.parts[p] for p in self._cut(text)]
-        return b"".join(p[0] for p in parts), sum(p[1] for p in parts), min(p[2] for p in parts)
+        return b"".join(p[0] for p in parts) + _TAIL.pack(sum(p[1] for p in parts), min(p[2] for p in parts))
 
     def _ways(self, text: str) -> list[tuple[float, bytes]]:
         """The second to N-th best segmentations of a stretch, with their losses."""
-        parts = self._cut(text)
-        found = [self.search(p) for p in parts]
-        ids = [np.array(f[0][1], self.dtype).tobytes() for f in found]
-        loss = [f[0][0] - f[1][0] if len(f) > 1 else np.inf for f in found]
-        return self._combined(ids, loss, lambda k: [(found[k][0][0] - s, np.array(i, self.dtype).tobytes()) for s, i in found[k][1:]])[1:]
-
-    def _combined(self, ids: list[bytes], losses: list[float], others) -> list[tuple[float, bytes]]:
-        """The N best ways through a row of stretches, as (loss, ids); ``others(k)``: the k-th's ways but the best."""
+        found = [self.search(p) for p in self._cut(text)]
+        ids = [[np.array(i, self.dtype).tobytes() for _, i in f] for f in found]
+        loss = np.array([f[0][0] - f[1][0] if len(f) > 1 else np.inf for f in found])
+        ways = self._chosen(loss, lambda k: [(found[k][0][0] - s, i) for (s, _), i in zip(found[k][1:], ids[k][1:], strict=True)])
+        return [(total, b"".join(chosen.get(k, own[0]) for k, own in enumerate(ids))) for total, chosen in ways[1:]]
+
+    def _chosen(self, loss: np.ndarray, others) -> list[tuple[float, dict[int, bytes]]]:
+        """The N best ways through a row of stretches: (loss, ids of the stretches that deviate); ``others(k)``: the k-th's ways but the best."""
         ways: list[tuple[float, dict[int, bytes]]] = [(0.0, {})]
-        if self.best > 1 and ids:
-            loss = np.array(losses)
+        if self.best > 1 and len(loss):
             for k in _smallest(loss, min(len(loss), self.best - 1)).tolist():
                 if np.isfinite(loss[k]):
                     more = [(total + lost, chosen | {k: alt}) for lost, alt in others(k) for total, chosen in ways]
                     ways = sorted([*ways, *more], key=lambda w: w[0])[: self.best]
-        out = []
-        for total, chosen in ways:
-            own = ids
-            if chosen:
-                own = ids.copy()
-                for k, alt in chosen.items():
-                    own[k] = alt
-            out.append((total, b"".join(own)))
-        return out
+        return ways
 
     def normalized(self, text: str) -> str:
         text = text.replace(" ", BLANK)
@@ -201,9 +229,25 @@ class Codec:
         stretches = _STRETCH.findall(self.normalized(text or ""))
         if not stretches:
             return [(0.0, np.zeros(0, self.dtype))]
-        ids, scores, losses = zip(*map(self.known.__getitem__, stretches), strict=True)
-        score = sum(scores)
-        return [(score - loss, np.frombuffer(raw, self.dtype)) for loss, raw in self._combined(list(ids), losses, lambda k: self.others[stretches[k]])]
+        packed = list(map(self.known.__getitem__, stretches))
+        unit = self.dtype.itemsize
+        tail = _TAIL.size // unit
+        ends = np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) // unit)
+        flat = np.frombuffer(b"".join(packed), self.dtype)
+        at = ends[:, None] + np.arange(-tail, 0)
+        score, loss = flat[at].view("<f8").T
+        keep = np.ones(len(flat), bool)
+        keep[at] = False
+        ids = flat[keep]
+        ends = ends - tail * np.arange(1, len(packed) + 1)
+        out = []
+        for total, chosen in self._chosen(loss, lambda k: self.others[stretches[k]]):
+            cuts, low = [], 0
+            for k in sorted(chosen):
+                cuts += [ids[low : ends[k - 1] if k else 0], np.frombuffer(chosen[k], self.dtype)]
+                low = ends[k]
+            out.append((float(score.sum()) - total, np.concatenate([*cuts, ids[low:]]) if cuts else ids))
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a sequence of ids; bytes that are not UTF-8 become U+FFFD."""
@@ -246,6 +290,7 @@ def encode(df: DataFrame, model_path: str, *, text: str = "text", keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(model_path, best)
+        settle(model.known, model.parts, model.others)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
@@ -274,6 +319,7 @@ def decode(df: DataFrame, model_path: str, *, ids: str = "ids", keep: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(model_path, 1)
+        settle()
         for batch in batches:
             texts = [model.decode(np.array(i, np.int64)) for i in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*keep, "text"])
