@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import written
+from glyphmill.llm.common import settle, written
 
 WORD = re.compile(r"[^\W_]+")
 N, SEEDS, SHARED, THRESHOLD = 3, 24, 2, 0.5
@@ -145,6 +145,7 @@ def contaminated(df: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
     sent = spark.sparkContext.broadcast(book)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         book = sent.value
         known, counts = book.words, Counter()
         for batch in batches:

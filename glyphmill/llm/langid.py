@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Memo, held_out, sampled
+from glyphmill.llm.common import Memo, held_out, sampled, settle
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -35,25 +35,30 @@ class Model:
     def __init__(self, counts: list[tuple[str, str, int]]):
         self.langs = sorted({lang for lang, _, _ in counts})
         place = {lang: i for i, lang in enumerate(self.langs)}
-        words: dict[str, np.ndarray] = {}
-        grams: dict[str, np.ndarray] = {}
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
+        rows: list[tuple[int, int, int]] = []
+        parts: Counter = Counter()
         for lang, word, n in counts:
-            if word not in words:
-                words[word] = np.zeros(len(place), np.float32)
-            words[word][place[lang]] += n
+            rows.append((self.words.setdefault(word, len(self.words)), place[lang], n))
             for g in _grams(word):
-                if g not in grams:
-                    grams[g] = np.zeros(len(place), np.float32)
-                grams[g][place[lang]] += 1
-        self.words, self.grams = _logs(words, lambda w: 0), _logs(grams, len)
+                parts[self.grams.setdefault(g, len(self.grams)), place[lang]] += 1
+        self.word_logs = _logs(rows, np.zeros(len(self.words), np.int64), len(place))
+        self.gram_logs = _logs([(g, lang, n) for (g, lang), n in parts.items()], np.array([len(g) for g in self.grams], np.int64), len(place))
         self._known: Memo | None = None
 
     def __getstate__(self):
-        return {"langs": self.langs, "words": self.words, "grams": self.grams, "_known": None}
+        return self.__dict__ | {"_known": None}
+
+    @property
+    def known(self) -> Memo:
+        if self._known is None:
+            self._known = Memo(self.word, 250_000)
+        return self._known
 
     def word(self, word: str) -> np.ndarray:
         found = self.words.get(word)
-        return self._unseen(word) if found is None else found
+        return self._unseen(word) if found is None else self.word_logs[found]
 
     def _unseen(self, word: str) -> np.ndarray:
         marked = f" {word} "
@@ -62,19 +67,18 @@ class Model:
             for n in range(min(LONGEST, end), 0, -1):
                 found = self.grams.get(marked[end - n : end])
                 if found is not None:
-                    out += found
+                    out += self.gram_logs[found]
                     break
             places += 1
         return out / max(1, places)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if self._known is None:
-            self._known = Memo(self.word, 300_000)
         words = LETTERS.findall(text.lower()) if text else []
         if not words or not self.langs:
             return UNKNOWN, 0.0
         seen = Counter(words)
-        total = np.array([self._known[w] for w in seen]).T @ np.fromiter(seen.values(), np.float64, len(seen))
+        known = self.known
+        total = np.array([known[w] for w in seen]).T @ np.fromiter(seen.values(), np.float64, len(seen))
         z = total / len(words) * min(len(words), EVIDENCE)
         p = np.exp(z - z.max())
         p /= p.sum()
@@ -89,15 +93,16 @@ def _grams(word: str) -> Iterator[str]:
             yield marked[i : i + n]
 
 
-def _logs(counts: dict[str, np.ndarray], kind) -> dict[str, np.ndarray]:
-    """Smoothed log frequencies among the entries of the same kind."""
-    totals: dict[int, np.ndarray] = {}
-    sizes: Counter = Counter()
-    for key, c in counts.items():
-        totals[kind(key)] = totals.get(kind(key), 0) + c
-        sizes[kind(key)] += 1
-    base = {k: np.log(totals[k] + FLOOR * sizes[k]) for k in totals}
-    return {key: (np.log(c + FLOOR) - base[kind(key)]).astype(np.float32) for key, c in counts.items()}
+def _logs(counts: list[tuple[int, int, int]], kind: np.ndarray, langs: int) -> np.ndarray:
+    """Smoothed log frequencies of entries (row, language, count) among the rows of the same kind."""
+    table = np.zeros((len(kind), langs))
+    if counts:
+        row, lang, n = np.array(counts).T
+        np.add.at(table, (row, lang), n)
+    for k in np.unique(kind):
+        own = kind == k
+        table[own] = np.log(table[own] + FLOOR) - np.log(table[own].sum(0) + FLOOR * own.sum())
+    return table.astype(np.float32)
 
 
 def learn(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", train_rows: int = TRAIN_ROWS, vocabulary: int = VOCABULARY) -> Model:
@@ -105,6 +110,7 @@ def learn(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
     rows = sampled(df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(key, text, lang), key, train_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         seen: Counter = Counter()
 
         def flush():
@@ -116,7 +122,7 @@ def learn(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
             for body, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for w, n in Counter(LETTERS.findall(body.lower())).items():
                     seen[name, w] += n
-            if len(seen) > 300_000:
+            if len(seen) > 200_000:
                 yield flush()
         yield flush()
 
@@ -134,6 +140,7 @@ def identify(df: DataFrame, model: Model, *, text: str = "text", keep: list[str]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(sent.value.known)
         for batch in batches:
             got = [sent.value.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*keep, *names])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.blobs import Packer, exchanged, gathered, joined, mix, schema_of, spread
-from glyphmill.llm.common import partitions, written
+from glyphmill.llm.common import partitions, settle, written
 from glyphmill.llm.suffixes import common_prefix_reaches, suffix_order
 
 NULL_ID = -(2**63)
@@ -120,6 +120,7 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, parts: int) -> Dat
     """Rows (doc_id, mark, n_bytes, anchors): which of a document's anchors, by number, occur elsewhere, too."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         task = TaskContext.get().partitionId() << 32
         for k, (piece, text, ends) in enumerate(chunks(batches, 2)):
             out = Packer(_COUNT)
@@ -191,6 +192,7 @@ def repeated_spans(rows: DataFrame, length: int, gram: int, parts: int) -> DataF
     """Rows (doc_id, short, starts, ends) of documents (doc_id, mark, text, anchors): their spans of repeats, merged."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         pack = pa.Codec("zstd", compression_level=1)
         for piece, text, ends in chunks(batches, 2):
             out = Packer(_SORT)

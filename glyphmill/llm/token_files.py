@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Memo, bucket_tree, fresh_path, id_bounds, partitions
+from glyphmill.llm.common import Memo, bucket_tree, fresh_path, id_bounds, partitions, settle
 
 END_ID = 1
 #: White space on which the library and a plain split could differ; texts with it are encoded whole.
@@ -74,6 +74,7 @@ def encoded(df: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path, dtype)
+        settle(enc.known)
         end = np.array([end_id], enc.dtype).tobytes()
         pack = pa.Codec("zstd", compression_level=1)
         for batch in batches:

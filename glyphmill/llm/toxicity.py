@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Memo, held_out, sampled, written
+from glyphmill.llm.common import Memo, held_out, sampled, settle, written
 
 #: Insults in English, German, French and Spanish.
 LEXICON = frozenset(
@@ -104,6 +104,12 @@ class Reader:
     def __getstate__(self):
         return {"learned": self.learned, "memo": None}
 
+    @property
+    def cache(self) -> Memo:
+        if self.memo is None:
+            self.memo = Memo(self._token, 250_000)
+        return self.memo
+
     def _token(self, token: str) -> tuple[int, float]:
         word = token.strip(_EDGE).lower()
         return word_class(token), max((self.learned.get(k, 0.0) for k in keys(word)), default=0.0)
@@ -111,11 +117,9 @@ class Reader:
     def features(self, text: str | None) -> list[float]:
         if not text:
             return [0.0] * len(FEATURES)
-        if self.memo is None:
-            self.memo = Memo(self._token, 300_000)
         tokens = text.split()
         n = max(1, len(tokens))
-        pairs = np.array(list(map(self.memo.__getitem__, tokens))).reshape(-1, 2)
+        pairs = np.array(list(map(self.cache.__getitem__, tokens))).reshape(-1, 2)
         flags, weight = pairs[:, 0].astype(np.uint8), pairs[:, 1]
         bad, told = np.flatnonzero(flags & (HIT | HIDDEN)), np.flatnonzero(weight)
         n_hidden = int(np.count_nonzero(flags & HIDDEN))
@@ -244,6 +248,7 @@ def _counted(rows: DataFrame, wanted: frozenset | None) -> DataFrame:
     """Documents by entry of the learned lexicon; all entries, or only the wanted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         seen: Counter = Counter()
 
         def flush():
@@ -278,6 +283,7 @@ def feature_table(df: DataFrame, reader: Reader, *, key: str = "doc_id", text: s
     sent = df.sparkSession.sparkContext.broadcast(reader)  # bounded by the least share of an entry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(sent.value.cache)
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([sent.value.features(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "features"])
 
