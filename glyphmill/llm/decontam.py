@@ -1,10 +1,9 @@
-"""Benchmark decontamination: rare word n-grams as seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: word n-grams find the places, Smith-Waterman alignment of words scores them.
 
-Each test item's word n-grams are looked up in every text. Per item, the ``SEEDS`` n-grams with the least document
-frequency over the whole corpus are its seeds (by rank, so that an item that leaked into many texts keeps its seeds).
-Where a text shares a seed and at least ``SHARED`` n-grams of an item nearby, the surrounding words are aligned with
-the item. The score is the alignment's, divided by that of the whole item against itself: substituted, lost and added
-words lower it. A pair counts from ``THRESHOLD`` on.
+Each test item's word n-grams are looked up in every text. Where a text shares at least ``SHARED`` n-grams of an item
+nearby, the surrounding words are aligned with the item, however frequent these n-grams are; only places whose words,
+were all of them in order, could not reach the threshold are passed over. The score is the alignment's, divided by
+that of the whole item against itself: substituted, lost and added words lower it. A pair counts from ``THRESHOLD`` on.
 
 Items are few by nature; they are broadcast after a check of their size (``MOST_ITEM_BYTES``).
 
@@ -16,7 +15,6 @@ several places in a text: the first place counts.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import settle, written
+from glyphmill.llm.common import settle
 
 WORD = re.compile(r"[^\W_]+")
-N, SEEDS, SHARED, THRESHOLD = 3, 24, 2, 0.5
+N, SHARED, THRESHOLD = 3, 2, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 MOST_ITEM_BYTES = 256 << 20
+#: Words of places that wait for their alignment, and table cells of one alignment, at a time.
+WAITING, CELLS = 1 << 20, 1 << 20
 
 
 class Items:
@@ -49,6 +49,7 @@ class Items:
             self.bodies.append(body)
             for q in range(max(1, len(body) - n + 1)):
                 grams.setdefault(tuple(body[q : q + n].tolist()), []).append((at, q))
+        self.bags = [np.unique(body, return_counts=True) for body in self.bodies]
         self.places = list(grams.values())
         self.sizes = sorted({len(g) for g in grams})
         self.table = {}
@@ -64,6 +65,12 @@ class Items:
                 out = (out ^ (rows[:, k] + 1)) * np.int64(0x9E3779B97F4A7C1)
         return out
 
+    def most_share(self, at: int, window: np.ndarray) -> float:
+        """No alignment of this item with the window has a larger score share: that of their words in common."""
+        own, often = self.bags[at]
+        j = np.minimum(np.searchsorted(own, window), len(own) - 1)
+        return int(np.minimum(np.bincount(j[own[j] == window], minlength=len(own)), often).sum()) / len(self.bodies[at])
+
     def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a text (word ids, -1 for words of no item) and the numbers of the n-grams there."""
         at, found = [], []
@@ -116,7 +123,7 @@ def _best_ends(item: np.ndarray, windows: list[np.ndarray]) -> list[tuple[int, i
     return list(zip(best.tolist(), where.tolist(), strict=True))
 
 
-def _windows(at: np.ndarray, q: np.ndarray, size: int, n: int, shared: int) -> Iterator[tuple[int, int, np.ndarray]]:
+def _windows(at: np.ndarray, q: np.ndarray, size: int, n: int, shared: int) -> Iterator[tuple[int, int]]:
     """Stretches of a text (first word, last word + 1) around the places that share n-grams with one item."""
     slack = size // 4 + 3
     for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > size + slack) + 1):
@@ -126,100 +133,84 @@ def _windows(at: np.ndarray, q: np.ndarray, size: int, n: int, shared: int) -> I
         high = int((at[group] - q[group]).max()) + size + slack
         while True:
             end = min(high, low + 6 * size + slack)
-            inside = group[(at[group] >= low) & (at[group] < end)]
-            if len(inside):
-                yield low, end, inside
+            if ((at[group] >= low) & (at[group] < end)).any():
+                yield low, end
             if end >= high:
                 break
             low += 4 * size
 
 
-def contaminated(df: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = N, seeds: int = SEEDS, shared: int = SHARED, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(df: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = N, shared: int = SHARED, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, item_id, score, start, end): the place is in characters of the text."""
     spark = df.sparkSession
     few = items.select(F.col(item_key).cast("long"), F.col(item_text).cast("string"))
     size = few.agg(F.sum(F.length(item_text) + 16)).first()[0] or 0
     if size > MOST_ITEM_BYTES:
         raise ValueError(f"the items have {size} characters; at most {MOST_ITEM_BYTES} can be broadcast, pass them in several calls")
-    book = Items([tuple(r) for r in few.collect()], n)
-    sent = spark.sparkContext.broadcast(book)
+    sent = spark.sparkContext.broadcast(Items([tuple(r) for r in few.collect()], n))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         book = sent.value
-        known, counts = book.words, Counter()
+        known = book.words
         for batch in batches:
-            rows = []
+            waiting: dict[int, list[tuple[int, np.ndarray, list[tuple[int, int]]]]] = {}
+            held = 0
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = WORD.findall(body.lower()) if body else []
                 ids = np.array([known.get(w, -1) for w in words], np.int64)
                 at, found = book.hits(ids)
                 if not len(at):
                     continue
-                counts.update(set(found.tolist()))
-                by_item: dict[int, list[tuple[int, int, int]]] = {}
+                by_item: dict[int, list[tuple[int, int]]] = {}
                 for p, g in zip(at.tolist(), found.tolist(), strict=True):
                     for item, q in book.places[g]:
-                        by_item.setdefault(item, []).append((p, q, g))
+                        by_item.setdefault(item, []).append((p, q))
                 spans = None
                 for item, places in by_item.items():
-                    p, q, g = np.array(places).T
-                    for low, high, inside in _windows(p, q, len(book.bodies[item]), n, shared):
+                    p, q = np.array(places).T
+                    for low, high in _windows(p, q, len(book.bodies[item]), n, shared):
+                        window = ids[low:high]
+                        if book.most_share(item, window) < threshold:
+                            continue
                         if spans is None:
                             spans = _spans(body, len(words))
-                        high = min(high, len(words))
-                        rows.append((doc, item, ids[low:high].tolist(), [s for s, _ in spans[low:high]], [e for _, e in spans[low:high]], sorted(set(g[inside].tolist()))))
-            if rows:
-                yield _found([None] * len(rows), [None] * len(rows), *map(list, zip(*rows, strict=True)))
-        yield _found(list(counts), list(counts.values()), *[[None] * len(counts)] * 6)
-
-    schema = "gram int, n long, doc_id long, item int, words array<int>, starts array<int>, ends array<int>, grams array<int>"
-    hits = written(df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(find, schema), "decontam-hits")
-    frequency = {r["gram"]: r["n"] for r in hits.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # as many as the items have n-grams
-    rare: list[frozenset] = []
-    own: list[list[int]] = [[] for _ in book.ids]
-    for g, places in enumerate(book.places):
-        for item in {i for i, _ in places}:
-            own[item].append(g)
-    for grams in own:
-        rare.append(frozenset(sorted(grams, key=lambda g: (frequency.get(g, 0), g))[:seeds]))
-    seeds_sent = spark.sparkContext.broadcast(rare)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, rare = sent.value, seeds_sent.value
-        for batch in batches:
-            for cut in range(0, batch.num_rows, 4096):
-                out = []
-                by_item: dict[int, list[dict]] = {}
-                for r in batch.slice(cut, 4096).to_pylist():
-                    if not rare[r["item"]].isdisjoint(r["grams"]):
-                        by_item.setdefault(r["item"], []).append(r)
-                for item, rows in by_item.items():
-                    rows.sort(key=lambda r: len(r["words"]))
-                    for k in range(0, len(rows), 256):
-                        some = rows[k : k + 256]
-                        for r, (value, low, high) in zip(some, align(book.bodies[item], [np.array(r["words"], np.int64) for r in some]), strict=True):
-                            if value >= threshold:
-                                out.append((r["doc_id"], book.ids[item], value, r["starts"][low], r["ends"][high - 1]))
-                yield pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "start", "end"])
-
-    spread = hits.where("gram is null").select("doc_id", "item", "words", "starts", "ends", "grams")
-    scored = spread.mapInArrow(score, "doc_id long, item_id long, score double, start long, end long")
+                        waiting.setdefault(item, []).append((doc, window, spans[low:high]))
+                        held += len(window)
+                        if held > WAITING:
+                            yield _scored(book, waiting, threshold)
+                            waiting, held = {}, 0
+            yield _scored(book, waiting, threshold)
+
+    scored = df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(find, "doc_id long, item_id long, score double, start long, end long")
     first = F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "start", "end"))
     return scored.withColumn("__rank", first).where("__rank = 1").drop("__rank")
 
 
+def _scored(book: Items, waiting: dict[int, list[tuple[int, np.ndarray, list[tuple[int, int]]]]], threshold: float) -> pa.RecordBatch:
+    """The result rows of the waiting places (doc_id, words, their spans), by item."""
+    out = []
+    for item, places in waiting.items():
+        body = book.bodies[item]
+        places.sort(key=lambda r: len(r[1]))
+        k = 0
+        while k < len(places):
+            most = max(1, min(256, CELLS // len(places[min(k + 255, len(places) - 1)][1])))
+            some = places[k : k + most]
+            k += most
+            ends = _best_ends(body, [w for _, w, _ in some])
+            good = [r for r, (score, _) in zip(some, ends, strict=True) if score / (MATCH * len(body)) >= threshold]
+            for (doc, _, spans), (value, low, high) in zip(good, align(body, [w for _, w, _ in good]), strict=True):
+                out.append((doc, book.ids[item], value, spans[low][0], spans[high - 1][1]))
+    return pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "start", "end"])
+
+
 def _spans(body: str, count: int) -> list[tuple[int, int]]:
     """Character places of the words; of the lower-cased text, should lower-casing change lengths."""
     spans = [m.span() for m in WORD.finditer(body)]
     return spans if len(spans) == count else [m.span() for m in WORD.finditer(body.lower())]
 
 
-def _found(*columns) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 4]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["gram", "n", "doc_id", "item", "words", "starts", "ends", "grams"])
-
-
 def clean(df: DataFrame, items: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """The rows of documents that hold no item, with all their columns."""
     bad = contaminated(df, items, key=key, **options).select(F.col("doc_id").alias("__bad")).distinct()

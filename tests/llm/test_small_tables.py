@@ -227,6 +227,19 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs.limit(0), items).count() == 0
 
 
+def test_decontamination_finds_edited_copies_whose_item_has_many_other_grams(spark):
+    items, docs = [], []
+    for k, (size, every) in enumerate([(50, 6), (80, 8), (120, 10)]):
+        item = [f"w{k}x{i}" for i in range(size)]
+        copy = [f"new{i}" if i % every == every - 1 else w for i, w in enumerate(item)]
+        items.append((k, " ".join(item)))
+        docs.append((k, prose(50 + k, 60) + " " + " ".join(copy) + " " + prose(60 + k, 60)))
+        docs += [(100 * (k + 1) + j, " ".join(item[j : j + 4])) for j in range(5)]  # the copy's n-grams are not the rarest
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2)} and all(0.7 < v < 0.9 for v in got.values())
+
+
 def brute_alignment(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a, 1):
