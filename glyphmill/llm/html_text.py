@@ -3,9 +3,10 @@
 A page becomes a DOM tree; parts that name themselves as menus, headers, footers, sidebars, notices, adverts, forms or
 reader comments are cut. For every node the density is its characters per tag, adjusted by its link characters and
 link tags and by the body's link share. A node's density sum is that of its children. The least density on the path
-from the body to the node with the largest sum is the threshold; below the body, each subtree whose density passes the
-threshold gives its largest-sum node, and the page's main part is the largest of these (an article that holds it is
-taken whole).
+from the body to the node with the largest sum is the threshold; every subtree whose density passes it gives its
+largest-sum node, and what is left of it is searched in the same way, so that text in several blocks is kept whole. The
+parts are joined in page order. Text that stands directly in a node that passes is kept with its inline elements; an
+article that holds a part is taken whole.
 
 Defined cases: null, empty or text-free pages give empty text; tags that are not closed end with their parent; a page
 cut off in the middle gives what it has; an unfinished tag at the end is dropped; repeated rows are kept.
@@ -48,12 +49,13 @@ _WHOLE = frozenset({"article", "main"})
 
 
 class Node:
-    __slots__ = ("density", "kids", "parent", "tag", "chars", "tags", "link_chars", "link_tags", "total")
+    __slots__ = ("best", "density", "kids", "parent", "tag", "chars", "tags", "link_chars", "link_tags", "total")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.kids = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.best = self
 
 
 def _is_part_outside(tag: str, attributes: str, inside: bool) -> bool:
@@ -146,11 +148,7 @@ def parse(page: str) -> Node:
 
 
 def _inside(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in _WHOLE:
-            return True
-        node = node.parent
-    return False
+    return _article(node) is not None
 
 
 def _closed(here: Node, tags: set[str], borders, body: Node) -> Node:
@@ -163,7 +161,7 @@ def _closed(here: Node, tags: set[str], borders, body: Node) -> Node:
 
 
 def measure(body: Node) -> list[Node]:
-    """Fills in counts, densities and density sums of all nodes; returns them, parents first."""
+    """Fills in counts, densities, density sums and largest-sum nodes below of all nodes; returns them, parents first."""
     order, stack = [], [body]
     while stack:
         node = stack.pop()
@@ -187,64 +185,72 @@ def measure(body: Node) -> list[Node]:
             base = math.log(c / max(1, c - node.link_chars) * node.link_chars + share * c + math.e)
             inner = c / lc * t / lt
             node.density = c / t * (math.log(max(inner, 1.0)) / math.log(max(base, 1.0001)) if inner > 1 else 0.0)
-    for node in order:
-        node.total = sum(k.density for k in node.kids if isinstance(k, Node))
+    for node in reversed(order):
+        kids = [k for k in node.kids if isinstance(k, Node)]
+        node.total = sum(k.density for k in kids)
+        node.best = max([node, *(k.best for k in kids)], key=lambda n: n.total)
     return order
 
 
-def main_part(body: Node) -> Node:
-    """The subtree with the main text."""
-    order = measure(body)
-    if len(order) == 1:
-        return body
-    best = max(order, key=lambda n: n.total)
+def main_parts(body: Node) -> tuple[set[Node], set[Node]]:
+    """The nodes whose subtrees are main text, and those whose own text (with inline elements) is."""
+    measure(body)
+    best = body.best
+    if best is body or not best.total:
+        return {body}, set()
     threshold, node = best.density, best
     while node is not body:
         node = node.parent
         threshold = min(threshold, node.density)
-    passing: list[Node] = []
+    whole: set[Node] = set()
+    own: set[Node] = set()
     stack = [body]
-    while stack:  # the topmost nodes that pass, below the body
-        for kid in stack.pop().kids:
-            if isinstance(kid, Node):
-                (passing if kid.density >= threshold else stack).append(kid)
-    tops = [max(_subtree(p), key=lambda n: n.total) for p in passing]
-    chosen = max([best, *tops], key=lambda n: (n.total, n is best))
-    node = chosen
-    while node is not None:
-        if node.tag in _WHOLE:
-            return node
-        node = node.parent
-    return chosen if chosen.total else body
+    while stack:
+        node = stack.pop()
+        if node.density >= threshold:
+            whole.add(_article(node.best) or node.best)
+            if node.best is node:
+                continue
+            if any(isinstance(k, str) and not k.isspace() and k for k in node.kids):
+                article = _article(node)
+                if article:
+                    whole.add(article)
+                else:
+                    own.add(node)
+        stack.extend(k for k in node.kids if isinstance(k, Node))
+    return whole, own
 
 
-def _subtree(node: Node) -> list[Node]:
-    out, stack = [], [node]
-    while stack:
-        out.append(stack.pop())
-        stack.extend(k for k in out[-1].kids if isinstance(k, Node))
-    return out
+def _article(node: Node | None) -> Node | None:
+    while node is not None and node.tag not in _WHOLE:
+        node = node.parent
+    return node
 
 
-def text_of(node: Node) -> str:
-    """Blocks in page order, white space as single spaces."""
+def text_of(node: Node, whole: set[Node], own: set[Node]) -> str:
+    """Main blocks in page order, white space as single spaces."""
     parts: list[str] = []
-    stack: list = [node]
+    stack: list = [(node, False)]
     while stack:
-        one = stack.pop()
+        one, kept = stack.pop()
         if isinstance(one, str):
-            parts.append(one)
-        else:
-            gap = one.tag not in INLINE
-            if gap:
-                parts.append(" ")
-                stack.append(" ")
-            stack.extend(reversed(one.kids))
+            parts.append(one if kept else " ")
+            continue
+        kept = kept or one in whole
+        gap = one.tag not in INLINE or not kept
+        if gap:
+            parts.append(" ")
+            stack.append((" ", True))
+        running = one in own
+        stack.extend((k, kept or (running and (isinstance(k, str) or k.tag in INLINE))) for k in reversed(one.kids))
     return _SPACE.sub(" ", html.unescape("".join(parts))).strip()
 
 
 def extract(page: str | None) -> str:
-    return text_of(main_part(parse(page))) if page else ""
+    if not page:
+        return ""
+    body = parse(page)
+    return text_of(body, *main_parts(body))
 
 
 def main_text(df: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

@@ -280,6 +280,16 @@ def test_html(spark):
     assert len(got) == 4 and sorted(r.n_chars for r in got) == [0, 0, len("Head & line First part. Second linked part, with <signs>."), 499_999]
 
 
+def test_html_keeps_an_article_in_several_blocks():
+    lines = [" ".join(["word"] * 40) + f" {i}." for i in range(20)]
+    half = ["".join(f"<p>{t}</p>" for t in lines[k : k + 10]) for k in (0, 10)]
+    links = '<div><a href="/a">one</a> <a href="/b">two</a> <a href="/c">three</a></div>'
+    for page in ("<div>{}</div>{}<div>{}</div>", "<div><section>{}</section>{}<section>{}</section></div>", "<section>{}</section>{}<div><div>{}</div></div>"):
+        assert html_text.extract("<html><body>" + page.format(half[0], links, half[1]) + "</body></html>") == " ".join(lines)
+    aside = "<div>own text of <b>this block</b> " + " ".join(["here"] * 40) + f"<div>{half[0]}</div></div>"
+    assert html_text.extract(aside).startswith("own text of this block here") and html_text.extract(aside).endswith(lines[9])
+
+
 def test_empty_documents(docs):
     none = docs.limit(0)
     assert ngram_join.join_components(none).count() == repeats.repeats(none).count() == digests.fingerprints(none).count() == 0
