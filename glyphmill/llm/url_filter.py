@@ -5,9 +5,10 @@ models of characters (interpolated Witten-Bell smoothing up to ``ORDER`` charact
 fits is accepted if its length-normalised log-likelihood difference reaches a threshold that was calibrated on the
 rule-judged URLs of one fold, which the counts leave out.
 
-The models keep the most frequent n-grams, at most ``MOST_GRAMS`` in all (whole count classes are left out from below
-until they fit); a text's other n-grams are scored at the shorter contexts that are kept. So the broadcast table has a
-fixed bound.
+The models keep all n-grams. A character's probabilities depend on its longest n-gram alone, so they are worked out
+once per distinct n-gram, from short to long by joins on unique keys. Positions then look their n-gram up: by a
+broadcast while there are at most ``MOST_BROADCAST`` of them, else by a shuffle join, from which only the n-grams of
+more than a share of 1 / ``HOT`` of the positions are kept out by a broadcast. Results do not depend on the way.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is judged as empty text,
 by its end mark alone; without URLs of both classes the threshold is 0 and every difference is 0 (accepted); repeated
@@ -23,7 +24,8 @@ from glyphmill.llm.common import written
 
 #: (rule, verdict): host and all its subdomains, then a path's beginning.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-ORDER, MOST_GRAMS, FOLDS, ALPHABET = 4, 400_000, 5, 256
+ORDER, FOLDS, ALPHABET = 4, 5, 256
+MOST_BROADCAST, HOT = 400_000, 1_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,42 +55,44 @@ def _positions(df: DataFrame) -> DataFrame:
     return at.select("*", *[F.substring(F.col("padded"), F.col("at") - F.lit(k), F.lit(k + 1)).alias(f"g{k}") for k in range(ORDER + 1)]).drop("padded", "at")
 
 
-def gram_counts(labelled: DataFrame, most: int = MOST_GRAMS) -> DataFrame:
+def gram_counts(labelled: DataFrame) -> DataFrame:
     """Per n-gram its counts under both verdicts, and its context's totals and kinds of next characters."""
     rows = _positions(labelled).select("good", F.explode(F.array(*[F.col(f"g{k}") for k in range(ORDER + 1)])).alias("gram"))
     counts = written(rows.groupBy("gram").agg(F.sum(F.col("good").cast("long")).alias("a"), F.sum((~F.col("good")).cast("long")).alias("r")), "url-grams")
     context = F.expr("substring(gram, 1, length(gram) - 1)")
     totals = counts.groupBy(context.alias("context"), F.length("gram").alias("n")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"), F.sum((F.col("a") > 0).cast("long")).alias("ta"), F.sum((F.col("r") > 0).cast("long")).alias("tr"))
-    full = counts.join(totals, (context == F.col("context")) & (F.length("gram") == F.col("n"))).drop("context", "n")
-    return full.where((F.col("a") + F.col("r")) >= _least(counts, most))
+    return counts.join(totals, (context == F.col("context")) & (F.length("gram") == F.col("n"))).drop("context", "n")
 
 
-def _least(counts: DataFrame, most: int) -> int:
-    """The least count that at most ``most`` n-grams reach."""
-    total = F.col("a") + F.col("r")
-    by = counts.groupBy(F.least(total, F.lit(10_000)).alias("n")).agg(F.count("*").alias("grams")).collect()  # 10,000 rows at most
-    least, held = 10_001, 0
-    for row in sorted(by, key=lambda r: -r["n"]):
-        held += row["grams"]
-        if held > most:
-            break
-        least = row["n"]
-    return least
-
-
-def ratios(urls: DataFrame, model: DataFrame) -> DataFrame:
-    """Rows (body, ratio): mean log-likelihood difference per character, accepted minus rejected."""
-    at = _positions(urls)
+def gram_scores(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """Rows (gram, pg, pb) of distinct n-grams of ORDER + 1 characters: both models' probabilities of the last one."""
+    found = None
     for k in range(ORDER + 1):
-        part = model.where(F.length("gram") == k + 1).select(F.col("gram").alias(f"g{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("a", "r", "ca", "cr", "ta", "tr")])
-        at = at.join(F.broadcast(part), f"g{k}", "left")  # MOST_GRAMS rows at most over all orders
-    good = bad = F.lit(1.0 / ALPHABET)
-    for k in range(ORDER + 1):
-        known = F.col(f"a{k}").isNotNull()
-        good, bad = (F.when(known & (F.col(f"{c}{k}") > 0), (F.col(f"{n}{k}") + F.col(f"{t}{k}") * p) / (F.col(f"{c}{k}") + F.col(f"{t}{k}"))).otherwise(p) for n, c, t, p in (("a", "ca", "ta", good), ("r", "cr", "tr", bad)))
-        at = at.withColumn("pg", good).withColumn("pb", bad)
-        good, bad = F.col("pg"), F.col("pb")
-    return at.groupBy("body").agg(F.avg(F.log("pg") - F.log("pb")).alias("ratio"))
+        ends = grams.select(F.substring("gram", ORDER + 1 - k, k + 1).alias("gram")).distinct()
+        at = ends.join(model.where(F.length("gram") == k + 1), "gram", "left")
+        if found is None:
+            at = at.withColumn("pg", F.lit(1.0 / ALPHABET)).withColumn("pb", F.lit(1.0 / ALPHABET))
+        else:
+            at = at.withColumn("shorter", F.substring("gram", 2, k)).join(found.withColumnRenamed("gram", "shorter"), "shorter")
+        good, bad = (F.when(F.col(c) > 0, (F.col(n) + F.col(t) * F.col(p)) / (F.col(c) + F.col(t))).otherwise(F.col(p)).alias(p) for n, c, t, p in (("a", "ca", "ta", "pg"), ("r", "cr", "tr", "pb")))
+        found = at.select("gram", good, bad)
+    return found
+
+
+def ratios(urls: DataFrame, model: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Rows (body, ratio): mean log-likelihood difference per character, accepted minus rejected."""
+    at = _positions(urls).select("body", F.col(f"g{ORDER}").alias("gram"))
+    grams = written(at.groupBy("gram").agg(F.count("*").alias("n")), "url-positions")
+    scores = written(gram_scores(grams, model).join(grams, "gram").select("gram", (F.log("pg") - F.log("pb")).alias("gain"), "n"), "url-gains")
+    count, total = scores.agg(F.count("*"), F.sum("n")).first()
+    if count <= most:
+        found = at.join(F.broadcast(scores), "gram")
+    else:
+        often = F.col("n") * HOT > (total or 0)  # fewer than HOT rows
+        marked = at.join(F.broadcast(scores.where(often).select("gram", "gain")), "gram", "left")
+        rest = marked.where("gain is null").select("body", "gram").join(scores.where(~often), "gram")
+        found = marked.where("gain is not null").select("body", "gain").union(rest.select("body", "gain"))
+    return found.groupBy("body").agg(F.avg("gain").alias("ratio"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -106,16 +110,16 @@ def threshold(scored: DataFrame) -> float:
     return min(choices)[2] / step
 
 
-def filter_urls(df: DataFrame, *, key: str = "page_id", url: str = "url", rules=RULES, most_grams: int = MOST_GRAMS) -> DataFrame:
+def filter_urls(df: DataFrame, *, key: str = "page_id", url: str = "url", rules=RULES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Rows (page_id, host, path, rule, verdict, ratio) of every page."""
     host, path = host_and_path(F.col("url"))
     pages = df.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url")).withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = pages.withColumn("rule", rule).withColumn("verdict", verdict).withColumn("body", F.concat("host", "path")).drop("url")
     bodies = written(judged.select("body", (F.col("verdict") == "allow").alias("good"), (F.crc32(F.col("body").cast("binary")) % FOLDS == 0).alias("tuning")).distinct(), "url-bodies")
-    model = written(gram_counts(bodies.where("good is not null and not tuning"), most_grams), "url-model")
+    model = written(gram_counts(bodies.where("good is not null and not tuning")), "url-model")
     wanted = bodies.where("good is null or tuning")
-    scores = written(ratios(wanted, model).join(wanted.select("body", "good"), "body"), "url-scores")
+    scores = written(ratios(wanted, model, most_broadcast).join(wanted.select("body", "good"), "body"), "url-scores")
     cut = threshold(scores.where("good is not null"))
     free = scores.where("good is null").select("body", F.lit(True).alias("free"), "ratio")
     found = judged.join(free, "body", "left")

@@ -264,6 +264,27 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def random_urls(seed, count, length):
+    letters = np.random.default_rng(seed).integers(97, 123, (count, length), dtype=np.uint8)
+    return [f"{bytes(x).decode()}.{('example.net/en/', 'net/', 'org/fr/', 'org/')[k % 4]}{k % 7}" for k, x in enumerate(letters)]
+
+
+def test_url_models_keep_all_grams(spark):
+    bodies = random_urls(1, 30_000, 20)
+    rows = spark.createDataFrame([(b, k % 2 == 0) for k, b in enumerate(bodies)], "body string, good boolean")
+    padded = ["\1" * url_filter.ORDER + b + "\2" for b in bodies]
+    want = {p[at - k : at + 1] for p in padded for at in range(url_filter.ORDER, len(p)) for k in range(url_filter.ORDER + 1)}
+    assert len(want) > 500_000 and url_filter.gram_counts(rows).count() == len(want)
+
+
+def test_url_ratios_are_the_same_by_broadcast_and_by_shuffle(spark):
+    df = spark.createDataFrame(list(enumerate("http://" + u for u in random_urls(2, 400, 6))), "page_id long, url string")
+    one, other = ({r.page_id: r for r in url_filter.filter_urls(df, most_broadcast=m).collect()} for m in (10**9, 0))
+    assert len(one) == 400 and any(r.ratio for r in one.values())
+    for k, r in one.items():
+        assert r[:5] == other[k][:5] and (r.ratio == other[k].ratio or abs(r.ratio - other[k].ratio) < 1e-9)
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Site</header>
 <nav><ul><li><a href="/a">A</a></li></ul></nav><div class="cookie-notice">We use cookies, which is a long sentence about nothing.</div>
 <article><h1>Head &amp; line</h1><p><b>First  part.<br><p>Second <a href=x>link</a>ed part, with &lt;signs&gt;.</p><aside>Side</aside><form><input>Sign up</form></article>
