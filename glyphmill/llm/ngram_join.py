@@ -256,7 +256,7 @@ def candidates(prefix: DataFrame, percent: int, parts: int) -> DataFrame:
     (sure) go on, so that a large group of texts that are alike but not linked makes no rows.
 
     ``prefix``: the chosen prefixes. Tokens that only one group has in a prefix are left out first; a document with
-    fewer than L others has no candidates.
+    none left has no candidates (one with fewer than its L may still meet others of a smaller L).
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +294,7 @@ def candidates(prefix: DataFrame, percent: int, parts: int) -> DataFrame:
         a, b, c = zip(*rows, strict=True) if rows else ([], [], [])
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.bool_())], ["a", "b", "sure"])
 
-    again = shared_by_groups(prefix, parts).where("size(tokens) >= l")
+    again = shared_by_groups(prefix, parts).where("size(tokens) > 0")
     dealt = again.join(prefix.select("doc_id", "all"), "doc_id").select("doc_id", "group", "size", "l", "tokens", "times", "all").mapInArrow(deal, schema_of(_LISTS))
     return exchanged(dealt, parts, meet, "a long, b long, sure boolean").distinct()
 

@@ -87,6 +87,41 @@ def test_join_of_many_near_copies(spark):
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got.collect())
 
 
+def overlapping_sets(seed, clusters):
+    """Texts of distinct words: pairs with more than 0.8 of their words in common among others that share some of them."""
+    rng = np.random.default_rng(seed)
+    weights = 1 / (5 + np.arange(1500))
+    rows = []
+    for _ in range(clusters):
+        words = rng.choice(1500, rng.integers(8, 60), replace=False, p=weights / weights.sum())
+        rows.append(words)
+        rows.append(words[: len(words) - int(rng.integers(0, len(words) // 6 + 1))])
+        rows.append(np.concatenate([words[: len(words) * 2 // 3], 2000 + rng.choice(1500, len(words) // 3, replace=False)]))
+    return [(i, " ".join(f"w{w}" for w in words)) for i, words in enumerate(rows)]
+
+
+def brute_links(rows, n, percent):
+    lead = {}
+    for i, t in rows:
+        lead.setdefault(frozenset(sets_of(t, n)), i)
+    own = [(i, s) for s, i in lead.items()]
+    return {(a, b) for a, x in own for b, y in own if a < b and 100 * len(x & y) >= percent * len(x | y)}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_join_meets_pairs_of_different_levels(spark, monkeypatch, percent):
+    monkeypatch.setattr(ngram_join, "FIRST", 0)  # no links by least hashes: all of them come from the prefixes
+    rows = overlapping_sets(7, 400)
+    links = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), n=1, percent=percent)[2]
+    assert {(r.a, r.b) for r in links.collect()} == brute_links(rows, 1, percent)
+
+
+def test_candidates_of_a_document_with_fewer_shared_ngrams_than_its_level(spark):
+    rows = [(1, 1, 18, 2, [1, 2, 3, 4, 5], [2] * 5, list(range(1, 19))), (2, 2, 15, 1, [5, 16, 17, 18], [2] * 4, list(range(4, 19)))]
+    prefix = spark.createDataFrame(rows, ngram_join._PREFIXES)
+    assert [(r.a, r.b) for r in ngram_join.candidates(prefix, 80, 2).collect()] == [(1, 2)]
+
+
 def test_join_keeps_one_of_each_with_all_columns(docs):
     got = ngram_join.one_of_each(docs)
     assert got.columns == docs.columns
