@@ -361,10 +361,11 @@ def first_links(sets: DataFrame, percent: int) -> DataFrame:
     return checked(pairs, sets, percent)
 
 
-def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, parts: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, parts: int | None = None, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, classes, links): rows (doc_id, n_shingles, mark) of every row; (mark, lead) of every set; links (a, b) between leads.
 
-    The links span every component; those within a first group are not all listed.
+    The links span every component; those within a first group are not all listed, unless ``every`` asks for all links
+    (as many as the square of a group's size, then).
     """
     spark = df.sparkSession
     parts = parts or partitions(spark)
@@ -383,7 +384,7 @@ def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", n: int =
     if alive.count() <= MOST_BROADCAST:
         alive = F.broadcast(alive)
     sets = written(rows.join(alive, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, tokens array<long>"), "join-sets")
-    stars = written(first_links(sets, percent), "join-stars")
+    stars = sets.sparkSession.createDataFrame([], "a long, b long") if every else written(first_links(sets, percent), "join-stars")
     grouped = sets.join(components(stars).toDF("doc_id", "group"), "doc_id", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group"), F.size("tokens").alias("size"), F.lit(1).alias("l"), "tokens")
     chosen = written(shared_by_groups(grouped, parts, prefixes(percent), _PREFIXES), "join-prefixes")
     pairs = written(candidates(chosen, percent, parts), "join-pairs")
@@ -391,6 +392,17 @@ def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", n: int =
     return docs, classes, stars.union(found).distinct()
 
 
+def all_links(df: DataFrame, **options) -> DataFrame:
+    """Rows (a, b), a before b, of all pairs of different sets that link, each set by its smallest doc_id; options as of ``similar``.
+
+    Rows with equal sets are one class (``join_components`` names it); its members link with each other and with
+    whatever their class links with. A null doc_id comes first.
+    """
+    links = similar(df, every=True, **options)[2]
+    real = lambda c: F.nullif(F.col(c), F.lit(NULL_ID)).alias(c)
+    return links.select(real("a"), real("b"))
+
+
 def join_components(df: DataFrame, **options) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, class_id) of every row; options as of ``similar``.
 

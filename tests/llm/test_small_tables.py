@@ -116,6 +116,13 @@ def test_join_meets_pairs_of_different_levels(spark, monkeypatch, percent):
     assert {(r.a, r.b) for r in links.collect()} == brute_links(rows, 1, percent)
 
 
+def test_all_links_within_groups(spark):
+    base = prose(12, 100).split()
+    rows = [(i, " ".join(w if k != 9 * i else f"own{i}" for k, w in enumerate(base))) for i in range(6)] + [(9, prose(13, 50)), (10, prose(13, 50))]
+    got = {(r.a, r.b) for r in ngram_join.all_links(spark.createDataFrame(rows, "doc_id long, text string"), n=1, percent=85).collect()}
+    assert got == brute_links(rows, 1, 85) == {(a, b) for a in range(6) for b in range(a + 1, 6)}
+
+
 def test_candidates_of_a_document_with_fewer_shared_ngrams_than_its_level(spark):
     rows = [(1, 1, 18, 2, [1, 2, 3, 4, 5], [2] * 5, list(range(1, 19))), (2, 2, 15, 1, [5, 16, 17, 18], [2] * 4, list(range(4, 19)))]
     prefix = spark.createDataFrame(rows, ngram_join._PREFIXES)
