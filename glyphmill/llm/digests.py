@@ -24,7 +24,7 @@ from glyphmill.llm.common import bucket_tree, id_bounds, partitions
 BUCKETS = 256
 LENGTH_MOST = 12
 #: Offsets of a triplet's second and third byte from its first, within five bytes.
-TRIPLETS = ((1, 2), (1, 3), (2, 4))
+TRIPLETS = ((1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4))
 _COST = np.array([0, 1, 2, 6])
 _ODD = (np.uint16(40503), np.uint16(25931), np.uint16(60493))
 

@@ -194,6 +194,12 @@ def test_digest_counts_by_hand():
     assert digests.difference(digests.digest(data), digests.digest(data)) == 0
 
 
+def test_digest_counts_all_triplets_of_a_window():
+    for size in (2, 3, 4, 5, 30):
+        want = sum(1 for i in range(size) for j in range(i + 1, min(i + 5, size)) for k in range(j + 1, min(i + 5, size)))
+        assert digests.counts(bytes(range(size))).sum() == want
+
+
 def test_token_files(docs, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
     manifest = token_files.write_token_files(docs, path, str(tmp_path), sequence=64, batch_sequences=4, parts=3)
