@@ -75,8 +75,6 @@ def word_class(token: str) -> int:
 
 def _hidden(low: str) -> bool:
     """Whether it is a lexicon word with signs, digits, doubled letters or stars."""
-    if len(low) > 40:
-        return False
     plain = _INNER.sub("", low.translate(LEET))
     if plain in LEXICON and plain != low:
         return True

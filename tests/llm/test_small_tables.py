@@ -257,6 +257,12 @@ def test_toxicity(spark):
     assert {r.score for r in none} == {0.0}
 
 
+@pytest.mark.parametrize("token", ["idi" + "o" * 60 + "t", "i" + "." * 50 + "d.i.o.t", "-".join("l" * 30 + "o" * 30 + "s" * 30 + "er")])
+def test_stretched_and_dotted_insults_are_hidden_hits(token):
+    assert toxicity.word_class(token) & toxicity.HIDDEN
+    assert not toxicity.word_class("a" * 60) & toxicity.HIDDEN
+
+
 def test_isotonic_is_rising():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0, 1, 0, 1, 1]))
     assert (np.diff(y) > 0).all() and (np.diff(x) > 0).all()
