@@ -436,7 +436,7 @@ def i11_components(spark, sf_dir):
 
 @query()
 def t1_t5_glyph_set(spark, sf_dir):
-    return glyphs.glyph_set(spark, 20).select("label", "sample", F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), 4).alias("ink"))
+    return glyphs.glyph_set(spark, 500).select("label", "sample", F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), 4).alias("ink"))
 
 
 @query()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.chars import HYPOTHESES, field_kind
 from glyphmill.operators import catalog, decode, evaluate, glyphs, modes, verify
+from glyphmill.plans.registry import QUERIES
 from glyphmill.sources import files
 
 KEYS = ["id"]
@@ -156,3 +157,8 @@ def test_audit_stream(spark, tmp_path):
     assert spark.table("counts").count() == 2
     audit_stream.append_log(audit_stream.read_log_stream(spark, str(tmp_path / "in"), log.schema), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_the_registered_glyph_set_has_500_of_each_class(spark):
+    counts = QUERIES["t1_t5_glyph_set"](spark, "").groupBy("label").count().collect()
+    assert len(counts) == 39 and {r["count"] for r in counts} == {500}
