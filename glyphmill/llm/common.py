@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from glyphmill.functions.session import importable
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _OWN_DIR: list[str] = []
 _MEMOS: list[weakref.ref] = []
+#: glibc's call that returns freed memory; other C libraries do without.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,6 +105,12 @@ def sampled(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(scale)) < int(scale * most / count))
 
 
+def plain_names(df: DataFrame, names: list[str], results) -> list[str]:
+    """Those of the columns that don't bear the name of a result (which takes their place), each once."""
+    taken = {r.lower() for r in results}
+    return [n for n in dict.fromkeys(names) if n.lower() not in taken]
+
+
 class Memo(dict):
     """Bounded cache: forgets everything when it is full. Its results never depend on what it holds."""
 
@@ -116,8 +127,18 @@ class Memo(dict):
 
 
 def settle(*keep: Memo) -> None:
-    """Empties all caches of this process but ``keep``: a Python worker serves one operator after the other."""
+    """Empties all caches of this process but ``keep``, and gives their memory back to the system.
+
+    A Python worker serves one operator after the other; what an earlier one left behind would add up.
+    """
+    gone = 0
     for ref in _MEMOS:
         memo = ref()
         if memo and all(memo is not k for k in keep):
+            gone += len(memo)
             memo.clear()
+    if gone:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)

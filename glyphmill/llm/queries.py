@@ -17,7 +17,7 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from glyphmill.llm.pieces import encode
 
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), keep=["doc_id"], with_ids=False)
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), keep=["doc_id"])
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
