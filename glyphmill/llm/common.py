@@ -111,13 +111,19 @@ def plain_names(df: DataFrame, names: list[str], results) -> list[str]:
     return [n for n in dict.fromkeys(names) if n.lower() not in taken]
 
 
+def remembered(cache):
+    """Marks a cache (with ``clear``) as one that ``settle`` empties."""
+    _MEMOS.append(weakref.ref(cache))
+    return cache
+
+
 class Memo(dict):
     """Bounded cache: forgets everything when it is full. Its results never depend on what it holds."""
 
     def __init__(self, make, most: int = 300_000):
         super().__init__()
         self.make, self.most = make, most
-        _MEMOS.append(weakref.ref(self))
+        remembered(self)
 
     def __missing__(self, key):
         if len(self) >= self.most:
@@ -126,19 +132,16 @@ class Memo(dict):
         return value
 
 
-def settle(*keep: Memo) -> None:
+def settle(*keep) -> None:
     """Empties all caches of this process but ``keep``, and gives their memory back to the system.
 
     A Python worker serves one operator after the other; what an earlier one left behind would add up.
     """
-    gone = 0
     for ref in _MEMOS:
-        memo = ref()
-        if memo and all(memo is not k for k in keep):
-            gone += len(memo)
-            memo.clear()
-    if gone:
-        gc.collect()
+        cache = ref()
+        if cache is not None and all(cache is not k for k in keep):
+            cache.clear()
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if _TRIM:
         _TRIM(0)

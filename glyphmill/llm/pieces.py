@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import Memo, plain_names, settle
-from glyphmill.llm.runs import Hashes, Known, Table, code_points, pieces_of, ranges
+from glyphmill.llm.runs import Hashes, Lists, Table, code_points, pieces_of, ranges
 
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -76,8 +76,7 @@ class Codec:
                 self.reach[p[-4:]] = max(len(p), self.reach.get(p[-4:], 0))
         self._tables()
         self.others = Memo(self._ways, 20_000)
-        self.parts = Known()
-        self._forget()
+        self.parts = Lists(self.dtype, MOST_KNOWN, values=2)
 
     def _tables(self) -> None:
         """Beginnings of pieces by hash, and the pairs of characters that some piece holds together."""
@@ -98,11 +97,6 @@ class Codec:
             left, right = self.kind[code_points("".join(pairs))].reshape(-1, 2).T
             self.joined[left, right] = True
 
-    def _forget(self) -> None:
-        self.parts.clear()
-        self.ids, self.at = np.zeros(0, self.dtype), np.zeros(1, np.int64)
-        self.score, self.loss = np.zeros(0), np.zeros(0)
-
     def lattice(self, text: str, end: int) -> Iterator[tuple[int, tuple[int, ...], float]]:
         """Arcs (start, ids, score) that end at a place."""
         for start in range(max(0, end - self.longest), end):
@@ -278,35 +272,23 @@ class Codec:
                 out[mine + j] = one
         return out, sizes
 
-    def _learned(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The numbers of stretches of a text in this codec's memory, which is filled by what is new."""
-        hashes, first, back = np.unique(Hashes(codes).of(starts, ends), return_index=True, return_inverse=True)
-        number = self.parts.find(hashes)
-        if len(self.parts) + int((number < 0).sum()) > MOST_KNOWN:
-            self._forget()
-            number[:] = -1
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            low, sizes = starts[first[new]], (ends - starts)[first[new]]
-            small = sizes <= MOST_IN_STEP
-            ids, count = np.zeros(0, self.dtype), np.zeros(len(new), np.int64)
-            score, loss = np.zeros(len(new)), np.zeros(len(new))
-            if small.any():
-                ids, count[small], score[small], loss[small] = self._solved(codes[ranges(low[small], sizes[small])], sizes[small])
-            if not small.all():
-                order = np.argsort(~small, kind="stable")  # the long ones' ids come last
-                more = [self.search(codes[a : a + n].tobytes().decode("utf-32-le", "surrogatepass")) for a, n in zip(low[~small], sizes[~small], strict=True)]
-                ids = np.concatenate([ids, *(np.array(m[0][1], self.dtype) for m in more)])
-                count[~small], score[~small] = [len(m[0][1]) for m in more], [m[0][0] for m in more]
-                loss[~small] = [m[0][0] - m[1][0] if len(m) > 1 else np.inf for m in more]
-                begin = np.zeros(len(new), np.int64)
-                begin[order] = np.cumsum(count[order]) - count[order]
-                ids = ids[ranges(begin, count)]
-            number[new] = self.parts.add(hashes[new])
-            self.ids = np.concatenate([self.ids, ids])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(count)])
-            self.score, self.loss = np.concatenate([self.score, score]), np.concatenate([self.loss, loss])
-        return number[back]
+    def _found(self, codes: np.ndarray, low: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``_solved`` of any stretches of a text; very long ones would keep all others waiting and are searched alone."""
+        small = sizes <= MOST_IN_STEP
+        if small.all():
+            return self._solved(codes[ranges(low, sizes)], sizes)
+        ids, count = np.zeros(0, self.dtype), np.zeros(len(low), np.int64)
+        score, loss = np.zeros(len(low)), np.zeros(len(low))
+        if small.any():
+            ids, count[small], score[small], loss[small] = self._solved(codes[ranges(low[small], sizes[small])], sizes[small])
+        more = [self.search(codes[a : a + n].tobytes().decode("utf-32-le", "surrogatepass")) for a, n in zip(low[~small], sizes[~small], strict=True)]
+        ids = np.concatenate([ids, *(np.array(m[0][1], self.dtype) for m in more)])
+        count[~small], score[~small] = [len(m[0][1]) for m in more], [m[0][0] for m in more]
+        loss[~small] = [m[0][0] - m[1][0] if len(m) > 1 else np.inf for m in more]
+        order = np.argsort(~small, kind="stable")  # the long ones' ids stand last
+        begin = np.zeros(len(low), np.int64)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        return ids[ranges(begin, count)], count, score, loss
 
     def _chosen(self, loss: np.ndarray, others) -> list[tuple[float, dict[int, bytes]]]:
         """The N best ways through a row of stretches: (loss, ids of the stretches that deviate); ``others(k)``: the k-th's ways but the best."""
@@ -341,12 +323,12 @@ class Codec:
         if not len(starts):
             yield from ([(0.0, np.zeros(0, self.dtype))] for _ in bodies)
             return
-        number = self._learned(codes, starts, ends)
-        counts = self.at[number + 1] - self.at[number]
-        ids = self.ids[ranges(self.at[number], counts)]
+        number = self.parts.numbers(codes, starts, ends, lambda low, sizes: self._found(codes, low, sizes))
+        ids, counts = self.parts.of(number)
         cuts = np.concatenate([[0], np.cumsum(counts)])
-        score = np.bincount(np.repeat(np.arange(len(bodies)), np.diff(own)), self.score[number], len(bodies)).tolist()
-        loss = self.loss[number]
+        scores, losses = self.parts.values
+        score = np.bincount(np.repeat(np.arange(len(bodies)), np.diff(own)), scores[number], len(bodies)).tolist()
+        loss = losses[number]
         whole = "".join(bodies)
         for k, (low, high) in enumerate(zip(own[:-1].tolist(), own[1:].tolist(), strict=True)):
             yield self._composed(score[k], ids, cuts[low : high + 1], loss[low:high], lambda j: self.others[whole[starts[low + j] : ends[low + j]]])  # noqa: B023
@@ -383,6 +365,16 @@ class Codec:
         return (raw[1:] if self.dummy_prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+    def encode_surely(self, texts: list[str | None]) -> Iterator[tuple[list[tuple[float, np.ndarray]], str]]:
+        """The N best segmentations and the decoded best one; a text that it isn't goes another, slower way."""
+        for body, ways in zip(texts, self.encode_many(texts), strict=True):
+            back = self.decode(ways[0][1])
+            if back != (body or "") and BLANK not in (body or ""):
+                ways = self.encode_alone(body or "")
+                back = self.decode(ways[0][1])
+            yield ways, back
+
+
 def _flat(path: tuple | None) -> tuple[int, ...]:
     ids: list[int] = []
     while path is not None:
@@ -420,16 +412,12 @@ def encode(df: DataFrame, model_path: str, *, text: str = "text", keep: list[str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = codec(model_path, best)
-        settle(model.others)
+        settle(model.others, model.parts)
         for batch in batches:
             for piece in pieces_of(batch, batch.num_columns - 1, CHUNK):
                 rows, ids = [], []
                 texts = piece.column(piece.num_columns - 1).to_pylist()
-                for body, ways in zip(texts, model.encode_many(texts), strict=True):
-                    back = model.decode(ways[0][1])
-                    if back != (body or "") and BLANK not in body:
-                        ways = model.encode_alone(body)
-                        back = model.decode(ways[0][1])
+                for body, (ways, back) in zip(texts, model.encode_surely(texts), strict=True):
                     marks = [zlib.crc32(w[1].astype("<u4").tobytes()) for w in ways]
                     rows.append((len(ways[0][1]), marks[0], float(ways[0][0]), [float(w[0]) for w in ways], marks, hashlib.sha256(back.encode()).hexdigest(), back == (body or "")))
                     ids.append(ways[0][1])

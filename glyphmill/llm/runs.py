@@ -6,13 +6,14 @@ together; nothing is kept per character in Python objects.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from glyphmill.llm.blobs import mix
+from glyphmill.llm.common import remembered
 
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -115,6 +116,42 @@ class Known:
         return numbers
 
 
+class Lists:
+    """Lists of numbers, and some values each, of runs that were worked out before; forgets all when ``most`` are held."""
+
+    def __init__(self, dtype, most: int, values: int = 0):
+        self.dtype, self.most, self.known = np.dtype(dtype), most, Known()
+        self.values = [np.zeros(0) for _ in range(values)]
+        self.clear()
+        remembered(self)
+
+    def clear(self) -> None:
+        self.known.clear()
+        self.flat, self.at = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        self.values = [np.zeros(0) for _ in self.values]
+
+    def numbers(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, solve: Callable) -> np.ndarray:
+        """The number of each run; ``solve(starts, sizes)`` of the new ones gives (all their lists, sizes, values...)."""
+        hashes, first, back = np.unique(Hashes(codes).of(starts, ends), return_index=True, return_inverse=True)
+        number = self.known.find(hashes)
+        if len(self.known) + int((number < 0).sum()) > self.most:
+            self.clear()
+            number[:] = -1
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            flat, sizes, *values = solve(starts[first[new]], (ends - starts)[first[new]])
+            number[new] = self.known.add(hashes[new])
+            self.flat = np.concatenate([self.flat, flat])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+            self.values = [np.concatenate([a, b]) for a, b in zip(self.values, values, strict=True)]
+        return number[back]
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of these runs, one after the other, and their sizes."""
+        sizes = self.at[numbers + 1] - self.at[numbers]
+        return self.flat[ranges(self.at[numbers], sizes)], sizes
+
+
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers of all ranges (start, start + 1, ...), one range after the other."""
     ends = np.cumsum(sizes)

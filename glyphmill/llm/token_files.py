@@ -11,8 +11,10 @@ kept, each on its own; an empty table makes no file and no row; other columns ar
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,44 +24,116 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Memo, bucket_tree, fresh_path, id_bounds, partitions, settle
+from glyphmill.llm.common import bucket_tree, fresh_path, id_bounds, partitions, settle
+from glyphmill.llm.runs import Lists, code_points, pieces_of, ranges
 
 END_ID = 1
-#: White space on which the library and a plain split could differ; texts with it are encoded whole.
-_UNSURE = re.compile("[\x0b\x0c\x1c-\x1f\x85]|<\\|")
+#: Bytes of text of a batch, runs that are remembered, and runs that the library gets as one text.
+CHUNK, MOST_KNOWN, TOGETHER = 1 << 19, 500_000, 512
+#: The parts of a tokenizer file under which a text's ids are those of its runs, one after the other.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+BLANK, OTHER, LETTER, DIGIT, SIGN = 0, 1, 2, 3, 4
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
+def _kinds() -> np.ndarray:
+    """Kinds of code points. Letters are those that no normalization or lower-casing turns into anything but a letter."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    for code in range(0x530):
+        c = chr(code)
+        low = c.lower()
+        if c.isalpha() and len(low) == 1 and low.isalpha() and unicodedata.is_normalized("NFC", c + low):
+            out[code] = LETTER
+        elif code < 128 and not c.isspace() and c.isprintable() and c != "'":
+            out[code] = DIGIT if c.isdigit() else SIGN
+    out[[9, 10, 13, 32]] = BLANK
+    return out
+
+
 class Encoder:
-    """Encodes with the tokenizers library, each distinct run between blanks once.
+    """Encodes with the tokenizers library, each distinct run once.
 
-    The tokenizer splits on white space before its merges and drops it, so a text's ids are those of its runs in order.
+    Where the file's normalizer and pre-tokenizer are the known ones, no token holds white space, two kinds of plain
+    characters or two digits, so a text is cut there and its ids are those of its runs in order. Runs are named by
+    64-bit hashes. With another file, and for texts with a sign of an added token, the library gets whole texts.
     """
 
-    def __init__(self, path: str, dtype: str, most: int = 900_000):
+    def __init__(self, path: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype).newbyteorder("<")
-        self.known = Memo(self._one, most)
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _one(self, run: str) -> bytes:
-        if run[-1:] in ".,;:!?" and run[:-1].isalpha():  # letters and signs never share a token
-            return self.known[run[:-1]] + self.known[run[-1]]
-        if run.isascii() and (low := run.lower()) != run:
-            return self.known[low]
-        return self._ids(run)
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _UNSURE.search(text):
-            return self._ids(text)
-        return b"".join(map(self.known.__getitem__, text.split()))
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        model = file["model"]
+        self.by_runs = file.get("normalizer") == _NORMALIZER and file.get("pre_tokenizer") == _PRE_TOKENIZER and not file.get("post_processor") and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        self.added = [t["content"] for t in file.get("added_tokens", ())]
+        self.by_runs &= not any(t["lstrip"] or t["rstrip"] or t["normalized"] or set(t["content"]) & set(" \t\r\n") for t in file.get("added_tokens", ()))
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.kinds = _kinds()
+        self.known = Lists(self.dtype, MOST_KNOWN)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _runs(self, codes: np.ndarray, low: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of new runs. Runs of one kind are one word each: many go as one text and are told apart by their ends."""
+        text = codes.tobytes().decode("utf-32-le", "surrogatepass")
+        runs = [text[a : a + n] for a, n in zip(low.tolist(), sizes.tolist(), strict=True)]
+        plain = np.minimum.reduceat(self.kinds[codes[ranges(low, sizes)]], np.cumsum(sizes) - sizes) > OTHER
+        words = [r for r, p in zip(runs, plain, strict=True) if p]
+        found = self._whole([" ".join(words[k : k + TOGETHER]) for k in range(0, len(words), TOGETHER)])
+        flat = np.concatenate([np.zeros(0, self.dtype), *found])
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not end each run with a token of its own")
+        each = self._whole([r for r, p in zip(runs, plain, strict=True) if not p])
+        count = np.zeros(len(runs), np.int64)
+        count[plain], count[~plain] = np.diff(ends, prepend=0), [len(e) for e in each]
+        order = np.argsort(~plain, kind="stable")
+        begin = np.zeros(len(runs), np.int64)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        return np.concatenate([flat, *each])[ranges(begin, count)], count
+
+    def encode_many(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        bodies = [t or "" for t in texts]
+        whole = [k for k, t in enumerate(bodies) if t and (not self.by_runs or any(a in t for a in self.added))]
+        apart = dict(zip(whole, self._whole([bodies[k] for k in whole]), strict=True))
+        for k in whole:
+            bodies[k] = ""
+        codes = code_points("".join(bodies)).copy()
+        codes[(codes >= 65) & (codes <= 90)] += 32
+        sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+        edge = np.cumsum(sizes) - sizes
+        kind = self.kinds[codes]
+        cut = np.ones(len(codes), bool)
+        cut[1:] = (kind[1:] != kind[:-1]) & ((kind[1:] != OTHER) & (kind[:-1] != OTHER) | (kind[1:] == BLANK) | (kind[:-1] == BLANK)) | ((kind[1:] == DIGIT) & (kind[:-1] == DIGIT))
+        cut[edge[sizes > 0]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(codes))
+        real = kind[starts] != BLANK if len(starts) else cut
+        starts, ends = starts[real], ends[real]
+        if len(starts):
+            flat, counts = self.known.of(self.known.numbers(codes, starts, ends, lambda low, sizes: self._runs(codes, low, sizes)))
+            cuts = np.concatenate([[0], np.cumsum(counts)])[np.append(np.searchsorted(starts, edge), len(starts))]
+        else:
+            flat, cuts = np.zeros(0, self.dtype), np.zeros(len(bodies) + 1, np.int64)
+        for k in range(len(bodies)):
+            yield apart[k] if k in apart else flat[cuts[k] : cuts[k + 1]]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return next(self.encode_many([text]))
 
 
 def encoder(path: str, dtype: str) -> Encoder:
@@ -78,9 +152,8 @@ def encoded(df: DataFrame, tokenizer_path: str, *, key: str = "doc_id", text: st
         end = np.array([end_id], enc.dtype).tobytes()
         pack = pa.Codec("zstd", compression_level=1)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
-                raw = [enc.encode(t) + end for t in piece.column(2).to_pylist()]
+            for piece in pieces_of(batch, 2, CHUNK):
+                raw = [ids.tobytes() + end for ids in enc.encode_many(piece.column(2).to_pylist())]
                 yield pa.record_batch([piece.column(0), piece.column(1), pa.array([len(r) // enc.dtype.itemsize for r in raw], pa.int64()), pa.array([pack.compress(r, asbytes=True) for r in raw], pa.binary())], ["part", "doc_id", "n_tokens", "ids"])
 
     return df.select(part.alias("part"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "part int, doc_id long, n_tokens long, ids binary")
