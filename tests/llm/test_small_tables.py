@@ -217,11 +217,38 @@ def test_token_files(docs, tmp_path):
     assert len(ids) == len(mask) == 64 and not ids.flags.owndata
 
 
-@pytest.mark.parametrize("text", ["It's  a TEST,\nof don't!", "x\x1cy z\x85w", "<|endoftext|> a", "naïve É́a", "ÀB. c9d"])
-def test_runs_encode_as_the_library_does(text):
-    path = public_tokenizers.path("word_bpe_49k.json")
-    got = np.frombuffer(token_files.Encoder(path, "uint16").encode(text), "<u2").tolist()
-    assert got == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return token_files.Encoder(TOKENIZER, "uint16")
+
+
+@pytest.mark.parametrize("text", ["It's  a TEST,\nof don't!", "x\x1cy z\x85w", "<|endoftext|> a", "<|ENDOFTEXT|> B", "naïve É́a", "ÀB. c9d", "\u0130.", "\u0958.", "e\u0301, e\u0301.x", "'S 'll'x 12'd ''re", "a\u00a0b\u3000c", "1\u20e3 <\u0338 =\u0338", " ", "\u1100\u1161."])
+def test_runs_encode_as_the_library_does(encoder, text):
+    assert encoder.by_runs
+    assert encoder.encode(text).tolist() == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
+
+
+def test_every_letter_encodes_as_the_library_does_beside_signs_digits_and_marks(encoder):
+    library = Tokenizer.from_file(TOKENIZER)
+    texts = []
+    for code in range(0x110000):
+        c = chr(code)
+        if c.isalpha() and (code < 0x3000 or code % 97 == 0):
+            texts += [f"{c}. x{c}, {c}9 .{c} {c}\u0301! '{c}"]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    for low in range(0, len(texts), 500):
+        got = [i.tolist() for i in encoder.encode_many(texts[low : low + 500])]
+        assert got == want[low : low + 500]
+
+
+def test_another_tokenizer_file_gets_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = token_files.Encoder(path, "uint16")
+    assert not other.by_runs
+    assert other.encode("Hello  World, it's").tolist() == Tokenizer.from_file(path).encode("Hello  World, it's", add_special_tokens=False).ids
 
 
 def test_language_id(docs, spark):
@@ -230,12 +257,71 @@ def test_language_id(docs, spark):
     model = langid.learn(train)
     assert model.langs == ["de", "en"]
     assert model.predict("the dogs of them")[0] == "en" and model.predict("hunde und katzen")[0] == "de"
-    assert model.predict(None) == model.predict("12 !") == ("und", 0.0)
+    assert model.predict(None) == model.predict("12 !") == model.predict("½ ² Ⅷ") == model.predict("\u0301 ١") == ("und", 0.0)
     assert model.predict("katzenhaus")[0] == "de"  # unseen: by characters
     got = langid.recognized(docs, model)
     assert got.columns == docs.columns
     assert langid.identify(docs.limit(0), model).count() == 0
     assert langid.learn(train.limit(0)).predict("a") == ("und", 0.0)
+    clash = langid.identify(docs, model)  # the input's own column score gives way
+    assert clash.columns == ["doc_id", "text", "lang", "starts", "lang_pred", "score"] and clash.select("score").count() == len(ROWS)
+
+
+def _plain_language(train, text, longest=4, floor=0.5):
+    """Word-first backoff by dictionaries: log frequencies of words, else the mean of the longest known n-grams."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    def words(t):
+        out, now = [], ""
+        for c in t.lower() + " ":
+            if unicodedata.category(c)[0] in "LM":
+                now += c
+            else:
+                out += [now] if any(unicodedata.category(x)[0] == "L" for x in now) else []
+                now = ""
+        return out
+
+    langs = sorted({lang for _, lang in train})
+    count = {lang: Counter(w for t, x in train if x == lang for w in words(t)) for lang in langs}
+    grams = {lang: [Counter(f" {w} "[i : i + n] for w in count[lang] for i in range(len(w) + 3 - n)) for n in range(1, longest + 1)] for lang in langs}
+    kinds = len(set().union(*count.values()))
+    gram_kinds = [len(set().union(*(grams[lang][n] for lang in langs))) for n in range(longest)]
+    log = lambda c, key, k: math.log(c[key] + floor) - math.log(sum(c.values()) + floor * k)
+    total = dict.fromkeys(langs, 0.0)
+    seen = words(text)
+    for w in seen:
+        if any(w in count[lang] for lang in langs):
+            for lang in langs:
+                total[lang] += log(count[lang], w, kinds)
+            continue
+        marked = f" {w} "
+        for end in range(2, len(marked) + 1):
+            n = next((n for n in range(min(longest, end), 0, -1) if any(marked[end - n : end] in grams[lang][n - 1] for lang in langs)), 0)
+            for lang in langs if n else ():
+                total[lang] += log(grams[lang][n - 1], marked[end - n : end], gram_kinds[n - 1]) / (len(marked) - 1)
+    if not seen:
+        return "und", 0.0
+    z = np.array([total[lang] for lang in langs]) / len(seen) * min(len(seen), 30)
+    p = np.exp(z - z.max())
+    p /= p.sum()
+    return langs[int(p.argmax())], float(p.max())
+
+
+def test_languages_equal_a_plain_version(spark):
+    train = [(prose(i, 12).replace("a", "ä" if i % 3 == 0 else "a").replace("o", "о́" if i % 3 == 1 else "o"), "xyz"[i % 3]) for i in range(30)]
+    rows = [(i * 5 + 1, t, x) for i, (t, x) in enumerate(train)]
+    rows = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    used = [(t, x) for _, t, x in rows]
+    for text in ["alpha1 bèta quux", "о́micr о́о́ zzzz", "\u0301a ½b c", "Sigma TAU rho12", "нов \u0915\u093f\u0924\u093e\u092c", "q", "12"]:
+        want = _plain_language(used, text)
+        got = model.predict(text)
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], abs=1e-4)
+    texts = [t for t, _ in used] + [None, ""]
+    together = model.predict_many(texts)
+    assert [model.predict(t)[0] for t in texts] == together[0]
 
 
 def test_toxicity(spark):
