@@ -1,15 +1,21 @@
 """Main text of web pages by composite text density.
 
-A page becomes a DOM tree; parts that name themselves as menus, headers, footers, sidebars, notices, adverts, forms or
-reader comments are cut. For every node the density is its characters per tag, adjusted by its link characters and
+A page becomes a DOM tree. For every node the density is its characters per tag, adjusted by its link characters and
 link tags and by the body's link share. A node's density sum is that of its children. The least density on the path
 from the body to the node with the largest sum is the threshold; every subtree whose density passes it gives its
-largest-sum node, and what is left of it is searched in the same way, so that text in several blocks is kept whole. The
-parts are joined in page order. Text that stands directly in a node that passes is kept with its inline elements; an
-article that holds a part is taken whole.
+largest-sum node, and what is left of it is searched in the same way, so that text in several blocks is kept whole.
+Text that stands directly in a node that passes is kept with its inline elements. Paragraphs, headings and lists beside
+a chosen one, under the same parent, are kept however short they are, unless all of their text is links.
+
+Names weigh, they don't choose: the characters of a part that names itself (by tag, class, id or role) as a menu,
+header, footer, sidebar, notice, advert, form or reader comments count as link characters, so that its density and its
+share in others' vanish, and it is left out of the text of whatever holds it. A name is not believed where hardly any
+text is left without it and the part holds most of the page's text and tags (an unclosed menu, a form around all).
+No element is chosen for its tag.
 
 Defined cases: null, empty or text-free pages give empty text; tags that are not closed end with their parent; a page
-cut off in the middle gives what it has; an unfinished tag at the end is dropped; repeated rows are kept.
+cut off in the middle gives what it has; an unfinished tag at the end is dropped; of equal density sums the outermost,
+then the first node counts; repeated rows are kept; an empty table gives no rows; pages may be of any length and depth.
 """
 
 from __future__ import annotations
@@ -30,8 +36,8 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title xmp iframe svg math object canvas".split())
-#: Elements whose whole content is never main text.
-CUT = RAW | frozenset("head nav footer aside form button select option menu dialog label fieldset audio video".split())
+#: Elements that name themselves as something outside the article.
+OUTSIDE = frozenset("head nav footer aside form button select option menu dialog label fieldset audio video".split())
 #: Elements that do not separate words.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr nobr".split())
 #: Words of class and id that name a part outside the article.
@@ -45,22 +51,31 @@ ARIA = frozenset("navigation banner contentinfo complementary search form alert
 _P_ENDERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "thead", "tbody", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SCOPE = frozenset("body html table td th article section main div aside nav header footer form button object caption".split())
-_WHOLE = frozenset({"article", "main"})
+#: Words by which a name speaks of something else: ``has-sidebar``; with ``header``: the article's own.
+_ABOUT, _OWN = frozenset("has with no without".split()), frozenset("article entry post story content".split())
+#: Blocks that belong together under one parent.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
+#: A name is believed while it leaves at least this share of the page's text.
+LEAST_LEFT = 0.05
 
 
 class Node:
-    __slots__ = ("best", "density", "kids", "parent", "tag", "chars", "tags", "link_chars", "link_tags", "total")
+    __slots__ = ("best", "chars", "density", "kids", "link_chars", "link_tags", "named", "outside", "parent", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.kids = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, named: bool = False):
+        self.tag, self.parent, self.named, self.kids = tag, parent, named, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.outside = False
         self.best = self
 
+    def nodes(self) -> list[Node]:
+        return [k for k in self.kids if k.__class__ is Node]
+
 
-def _is_part_outside(tag: str, attributes: str, inside: bool) -> bool:
+def _names_itself(tag: str, attributes: str, here: Node) -> bool:
     """Whether an element names itself as something other than the article."""
-    if tag in CUT or (tag == "header" and not inside):
+    if tag in OUTSIDE or (tag == "header" and not _in_article(here)):
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
@@ -70,44 +85,45 @@ def _is_part_outside(tag: str, attributes: str, inside: bool) -> bool:
             return True
         if name == "role" and value.lower() in ARIA:
             return True
-        if name in ("class", "id") and any(w.lower() in ROLES for w in _WORDS.findall(value)):
+        if name in ("class", "id") and any(_is_role(one) for one in value.split()):
             return True
     return False
 
 
+def _is_role(name: str) -> bool:
+    words = {w.lower() for w in _WORDS.findall(name)}
+    roles = words & ROLES
+    return bool(roles) and not words & _ABOUT and not (roles == {"header"} and words & _OWN)
+
+
+def _in_article(node: Node | None) -> bool:
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def parse(page: str) -> Node:
-    """The tree of what may be main text; text children are strings."""
-    root = Node("html", None)
-    body = Node("body", root)
-    root.kids.append(body)
+    """The tree of a page's text; text children are strings."""
+    body = Node("body", None)
     here, at, size = body, 0, len(page)
     low = None
-    cut: list[str] = []  # open elements below one that is cut
     while at < size:
         found = _TAG.search(page, at)
         if not found:
-            if not cut:
-                here.kids.append(page[at:])
+            here.kids.append(page[at:])
             break
-        if found.start() > at and not cut:
+        if found.start() > at:
             here.kids.append(page[at : found.start()])
         at = found.end()
         if not found[2]:
             continue
-        tag, closing = found[2].lower(), found[1]
-        if closing:
-            if cut:
-                if tag in cut:
-                    while cut.pop() != tag:
-                        pass
-                elif tag in ("body", "html", "article", "main"):
-                    cut.clear()
-            if not cut and tag not in ("body", "html"):
-                node = here
-                while node.tag != tag and node is not body and not (node.tag in _SCOPE and tag in INLINE | {"p"}):
-                    node = node.parent
-                if node.tag == tag and node is not body:
-                    here = node.parent
+        tag = found[2].lower()
+        if found[1]:
+            node = here
+            while node.tag != tag and node is not body and not (node.tag in _SCOPE and tag in INLINE | {"p"}):
+                node = node.parent
+            if node.tag == tag and node is not body:
+                here = node.parent
             continue
         if tag in RAW:
             low = low or page.lower()
@@ -119,38 +135,19 @@ def parse(page: str) -> Node:
                 at = page.find(">", at) + 1 or size
             continue
         if tag in ("html", "body"):
+            here = body if here.tag == "head" else here
             continue
-        single = tag in VOID or found[3].endswith("/")
-        if cut:
-            if not single:
-                if tag in ("article", "main") and cut[0] not in ("nav", "footer", "aside", "form"):
-                    cut.clear()  # the article never stands inside these; their end tag is missing
-                else:
-                    if tag == "p" and cut[-1] == "p" or tag == "li" and cut[-1] == "li":
-                        cut.pop()
-                    cut.append(tag)
-                    continue
-            else:
-                continue
         if tag in _P_ENDERS:
             here = _closed(here, {"p"}, _SCOPE, body)
         elif tag in _ENDS:
             here = _closed(here, *_ENDS[tag], body)
-        if not single and _is_part_outside(tag, found[3], _inside(here)):
-            here.kids.append(" ")
-            cut.append(tag)
-            continue
-        node = Node(tag, here)
+        node = Node(tag, here, _names_itself(tag, found[3], here))
         here.kids.append(node)
-        if not single:
+        if tag not in VOID and not found[3].endswith("/"):
             here = node
     return body
 
 
-def _inside(node: Node | None) -> bool:
-    return _article(node) is not None
-
-
 def _closed(here: Node, tags: set[str], borders, body: Node) -> Node:
     node = here
     while node is not body and node.tag not in borders:
@@ -166,10 +163,10 @@ def measure(body: Node) -> list[Node]:
     while stack:
         node = stack.pop()
         order.append(node)
-        stack.extend(k for k in node.kids if isinstance(k, Node))
+        stack.extend(node.nodes())
     for node in reversed(order):
         for kid in node.kids:
-            if isinstance(kid, Node):
+            if kid.__class__ is Node:
                 node.chars += kid.chars
                 node.tags += kid.tags + 1
                 node.link_chars += kid.link_chars
@@ -178,53 +175,92 @@ def measure(body: Node) -> list[Node]:
                 node.chars += len(kid) - kid.count(" ") - kid.count("\n")
         if node.tag in ("a", "button"):
             node.link_chars = node.chars
+    _weigh_names(body, order)
     share = body.link_chars / max(1, body.chars)
     for node in order:
-        c, t, lc, lt = node.chars, max(1, node.tags), max(1, node.link_chars), max(1, node.link_tags)
-        if c:
-            base = math.log(c / max(1, c - node.link_chars) * node.link_chars + share * c + math.e)
-            inner = c / lc * t / lt
-            node.density = c / t * (math.log(max(inner, 1.0)) / math.log(max(base, 1.0001)) if inner > 1 else 0.0)
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
     for node in reversed(order):
-        kids = [k for k in node.kids if isinstance(k, Node)]
+        kids = node.nodes()
         node.total = sum(k.density for k in kids)
-        node.best = max([node, *(k.best for k in kids)], key=lambda n: n.total)
+        for k in kids:
+            if k.best.total > node.best.total:
+                node.best = k.best
+        if node.total >= node.best.total:
+            node.best = node
     return order
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density: characters per tag, times a logarithm that falls with the links' part of both."""
+    if not chars:
+        return 0.0
+    t, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
+    inner = chars / lc * t / lt
+    base = chars / max(1, chars - link_chars) * link_chars + share * chars + math.e
+    return chars / t * math.log(inner) / math.log(base) if inner > 1 else 0.0
+
+
+def _weigh_names(body: Node, order: list[Node]) -> None:
+    """Counts the characters of parts that name themselves as links, unless the name can't be true."""
+    plain = lambda n: n.chars - n.link_chars
+    while True:
+        outer, stack = [], [body]
+        while stack:
+            node = stack.pop()
+            if node.named:
+                outer.append(node)
+            else:
+                stack.extend(node.nodes())
+        false = [n for n in outer if 2 * plain(n) > plain(body) and 2 * (n.tags + 1) > body.tags]
+        if not false or plain(body) - sum(map(plain, outer)) >= LEAST_LEFT * plain(body):
+            break
+        false[0].named = False  # two can't both hold most of the page
+    for node in order:
+        node.outside = node.named or (node.parent is not None and node.parent.outside)
+    for node in outer:
+        more, above = plain(node), node.parent
+        while above is not None and more:
+            above.link_chars += more
+            above = above.parent
+    for node in order:
+        if node.outside:
+            node.link_chars = node.chars
+
+
 def main_parts(body: Node) -> tuple[set[Node], set[Node]]:
     """The nodes whose subtrees are main text, and those whose own text (with inline elements) is."""
     measure(body)
     best = body.best
-    if best is body or not best.total:
-        return {body}, set()
-    threshold, node = best.density, best
-    while node is not body:
-        node = node.parent
-        threshold = min(threshold, node.density)
+    threshold = min(n.density for n in _path(best))
     whole: set[Node] = set()
     own: set[Node] = set()
     stack = [body]
     while stack:
         node = stack.pop()
-        if node.density >= threshold:
-            whole.add(_article(node.best) or node.best)
+        if node.outside:
+            continue
+        if node is body and best is body:
+            own.add(body)
+            whole.update(k for k in body.nodes() if k.chars > k.link_chars)
+            continue
+        if node.density >= threshold and node.density > 0:
+            whole.add(node.best)
             if node.best is node:
                 continue
-            if any(isinstance(k, str) and not k.isspace() and k for k in node.kids):
-                article = _article(node)
-                if article:
-                    whole.add(article)
-                else:
-                    own.add(node)
-        stack.extend(k for k in node.kids if isinstance(k, Node))
+            if any(k.__class__ is str and not k.isspace() for k in node.kids):
+                own.add(node)
+        stack.extend(node.nodes())
+    for node in list(whole):
+        if node.tag in _TEXT and node.parent is not None:
+            whole.update(k for k in node.parent.nodes() if k.tag in _TEXT and k.chars > k.link_chars)
     return whole, own
 
 
-def _article(node: Node | None) -> Node | None:
-    while node is not None and node.tag not in _WHOLE:
+def _path(node: Node | None) -> Iterator[Node]:
+    """A node and all above it."""
+    while node is not None:
+        yield node
         node = node.parent
-    return node
 
 
 def text_of(node: Node, whole: set[Node], own: set[Node]) -> str:
@@ -233,16 +269,17 @@ def text_of(node: Node, whole: set[Node], own: set[Node]) -> str:
     stack: list = [(node, False)]
     while stack:
         one, kept = stack.pop()
-        if isinstance(one, str):
+        if one.__class__ is str:
             parts.append(one if kept else " ")
             continue
         kept = kept or one in whole
-        gap = one.tag not in INLINE or not kept
-        if gap:
+        if one.tag not in INLINE or not kept or one.outside:
             parts.append(" ")
+            if one.outside:
+                continue
             stack.append((" ", True))
         running = one in own
-        stack.extend((k, kept or (running and (isinstance(k, str) or k.tag in INLINE))) for k in reversed(one.kids))
+        stack.extend((k, kept or (running and (k.__class__ is str or k.tag in INLINE))) for k in reversed(one.kids))
     return _SPACE.sub(" ", html.unescape("".join(parts))).strip()
 
 

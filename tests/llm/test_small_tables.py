@@ -438,6 +438,7 @@ def test_html(spark):
     assert html_text.extract(deep) == "word"
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, None), (2, None, "", "y"), (3, "v", "<p>" + "long text " * 50_000, "")], "page_id long, url string, html string, text string")
     got = html_text.main_text(df).collect()
+    assert html_text.main_text(df.limit(0)).count() == 0
     assert len(got) == 4 and sorted(r.n_chars for r in got) == [0, 0, len("Head & line First part. Second linked part, with <signs>."), 499_999]
 
 
@@ -451,6 +452,107 @@ def test_html_keeps_an_article_in_several_blocks():
     assert html_text.extract(aside).startswith("own text of this block here") and html_text.extract(aside).endswith(lines[9])
 
 
+PROSE = [" ".join(["word"] * 30) + f" {i}." for i in range(6)]
+BLOCKS = "".join(f"<p>{t}</p>" for t in PROSE)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div class="page has-sidebar">{BLOCKS}</div>', PROSE),
+        (f'<article><div class="article-header"><h1>Title</h1></div>{BLOCKS}</article>', ["Title", *PROSE]),
+        (f'<article><header><h1>Title</h1></header>{BLOCKS}</article>', ["Title", *PROSE]),
+        (f'<form id="aspnet"><div><h1>Title</h1>{BLOCKS}</div><input></form>', ["Title", *PROSE]),
+        (f'<nav><a href="/">Home</a><div>{BLOCKS}</div>', PROSE),
+        (f'<div><h2>Title</h2>{BLOCKS}<p>Ok.</p></div><div class="ad">{"Buy this now. " * 9}</div>', ["Title", *PROSE, "Ok."]),
+        (f'<div>{BLOCKS}</div><div id="comments">{"<p>I say so, at length, again.</p>" * 60}</div>', PROSE),
+        (f'<div>{"<a href=/x>entry</a> " * 40}</div><div><div>{BLOCKS}</div></div>', PROSE),
+        (f'<nav>{"<a href=/x>entry</a> " * 9}</nav><div class="ad">{"Buy this now. " * 9}</div><div><h1>One</h1><p>Two</p></div><footer>{"All rights. " * 9}</footer>', ["One", "Two"]),
+        (f"{BLOCKS}<ul><li><a href=/a>a</a><li><a href=/b>b</a></ul>", PROSE),
+        ("plain text &amp; <b>more</b>", ["plain text & more"]),
+        ("<a href=/a>only</a> words", ["only words"]),
+    ],
+)
+def test_html_layouts(page, want):
+    assert html_text.extract(f"<html><body>{page}</body></html>") == " ".join(want)
+
+
+def _plain_density(node):
+    """(chars, tags, link chars, link tags) of a nested list [tag, kids...] by recursion."""
+    tag, *kids = node
+    c = t = lc = lt = 0
+    for k in kids:
+        if isinstance(k, str):
+            c += len(k.replace(" ", ""))
+        else:
+            a, b, d, e = _plain_density(k)
+            c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e + (k[0] == "a")
+    return c, t, (c if tag == "a" else lc), lt
+
+
+def test_html_densities_equal_a_plain_version():
+    import math
+
+    rng = np.random.default_rng(11)
+    chosen = 0
+
+    def grow(depth):
+        kids = []
+        for _ in range(rng.integers(1, 4)):
+            if depth and rng.random() < 0.7:
+                kids.append([("div", "span", "section", "a")[rng.integers(0, 4 if depth < 3 else 3)], *grow(depth - 1)])
+            else:
+                kids.append("x" * int(rng.integers(1, 80)))
+        return kids
+
+    def no_links_inside(node, inside=False):
+        return [node[0] if not (inside and node[0] == "a") else "span", *(k if isinstance(k, str) else no_links_inside(k, inside or node[0] == "a") for k in node[1:])]
+
+    def shown(node):
+        return "".join(k if isinstance(k, str) else f"<{k[0]}>{shown(k)}</{k[0]}>" for k in node[1:])
+
+    for _ in range(150):
+        tree = no_links_inside(["body", *grow(4)])
+        c, t, lc, lt = _plain_density(tree)
+        share = lc / c
+
+        def density(node):
+            c, t, lc, lt = _plain_density(node)
+            inner = c / max(1, lc) * max(1, t) / max(1, lt)
+            return c / max(1, t) * math.log(inner) / math.log(c / max(1, c - lc) * lc + share * c + math.e) if c and inner > 1 else 0.0
+
+        body = html_text.parse(shown(tree))
+        html_text.measure(body)
+        stack, best, path_of_best = [(tree, body, [body])], -1.0, []
+        while stack:
+            want, got, path = stack.pop()
+            assert (got.chars, got.tags, got.link_chars, got.link_tags) == _plain_density(want)
+            assert got.density == pytest.approx(density(want))
+            kids = [k for k in want[1:] if not isinstance(k, str)]
+            total = sum(map(density, kids))
+            assert got.total == pytest.approx(total)
+            if total > best + 1e-9:
+                best, path_of_best = total, path
+            stack.extend((k, n, [*path, n]) for k, n in zip(kids, got.nodes(), strict=True))
+        assert body.best.total == pytest.approx(best)
+        whole, _ = html_text.main_parts(body)
+        least = min(n.density for n in path_of_best)
+        assert body.best is body or {n.best for n in whole} >= {body.best} and all(any(p.density >= least - 1e-9 for p in html_text._path(n)) for n in whole)
+        chosen += body.best is not body
+    assert chosen > 75
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_html_density_decides_without_an_article_tag(tag):
+    """The same text whatever the article's element is called, and only the article's part of all the page's text."""
+    rng = np.random.default_rng(5)
+    for k in range(40):
+        paragraphs = [prose(1000 * k + j, int(rng.integers(1, 60))) for j in range(int(rng.integers(1, 12)))]
+        links = "".join(f'<li><a href="/{i}">menu entry {i}</a></li>' for i in range(8))
+        page = f"<body><div><ul>{links}</ul></div><{tag}><h1>{paragraphs[0]}</h1>{''.join(f'<p>{p}</p>' for p in paragraphs)}</{tag}><div><a href='/i'>imprint</a> <a href='/p'>privacy</a></div></body>"
+        assert html_text.extract(page) == " ".join([paragraphs[0], *paragraphs])
+
+
 def test_empty_documents(docs):
     none = docs.limit(0)
     assert ngram_join.join_components(none).count() == repeats.repeats(none).count() == digests.fingerprints(none).count() == 0
