@@ -1,18 +1,21 @@
 """URL filter with DataFrame functions only: host and path rules, then a character language-model ratio.
 
 Rules judge what they fit. The URLs that rules accept and reject, over all pages, train two variable-order Markov
-models of characters (interpolated Witten-Bell smoothing up to ``ORDER`` characters of context). A URL that no rule
-fits is accepted if its length-normalised log-likelihood difference reaches a threshold that was calibrated on the
-rule-judged URLs of one fold, which the counts leave out.
+models of characters (interpolated Witten-Bell smoothing up to ``ORDER`` characters of context, down to an even share
+for every code point, so that each context's probabilities sum to 1). A URL that no rule fits is accepted if its
+length-normalised log-likelihood difference reaches a threshold that was calibrated on the rule-judged URLs of one
+fold, which the counts leave out.
 
-The models keep all n-grams. A character's probabilities depend on its longest n-gram alone, so they are worked out
-once per distinct n-gram, from short to long by joins on unique keys. Positions then look their n-gram up: by a
-broadcast while there are at most ``MOST_BROADCAST`` of them, else by a shuffle join, from which only the n-grams of
-more than a share of 1 / ``HOT`` of the positions are kept out by a broadcast. Results do not depend on the way.
+The models keep all n-grams, and apart from them all contexts. A character's probabilities depend on its longest n-gram
+alone, so they are worked out once per distinct n-gram, from short to long by joins on unique keys. Positions then look
+their n-gram up, and pages their URL: by a broadcast of at most ``MOST_BROADCAST`` rows (of ``MOST_CHARS`` on average), else by a shuffle join, from
+which only the keys of more than a share of 1 / ``HOT`` of the rows are kept out by a broadcast. Results do not depend
+on the way.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is judged as empty text,
-by its end mark alone; without URLs of both classes the threshold is 0 and every difference is 0 (accepted); repeated
-rows are kept; other columns are ignored.
+by its end mark alone; URLs may be of any length; without URLs of both classes the threshold is 0 and every difference
+is 0 (accepted); equal URLs are judged alike, repeated rows are kept; an empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import written
+from glyphmill.llm.common import partitions, written
 
 #: (rule, verdict): host and all its subdomains, then a path's beginning.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-ORDER, FOLDS, ALPHABET = 4, 5, 256
-MOST_BROADCAST, HOT = 400_000, 1_000
+ORDER, FOLDS = 4, 5
+#: All code points: what an even share is one of.
+ALPHABET = 0x110000
+#: Rows that may be broadcast and their mean key length; the share of rows that makes a key hot.
+MOST_BROADCAST, MOST_CHARS, HOT = 400_000, 80, 1_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,43 +62,54 @@ def _positions(df: DataFrame) -> DataFrame:
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """Per n-gram its counts under both verdicts, and its context's totals and kinds of next characters."""
+    """Per n-gram its counts under both verdicts (a: accepted, r: rejected)."""
     rows = _positions(labelled).select("good", F.explode(F.array(*[F.col(f"g{k}") for k in range(ORDER + 1)])).alias("gram"))
-    counts = written(rows.groupBy("gram").agg(F.sum(F.col("good").cast("long")).alias("a"), F.sum((~F.col("good")).cast("long")).alias("r")), "url-grams")
-    context = F.expr("substring(gram, 1, length(gram) - 1)")
-    totals = counts.groupBy(context.alias("context"), F.length("gram").alias("n")).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"), F.sum((F.col("a") > 0).cast("long")).alias("ta"), F.sum((F.col("r") > 0).cast("long")).alias("tr"))
-    return counts.join(totals, (context == F.col("context")) & (F.length("gram") == F.col("n"))).drop("context", "n")
+    return rows.groupBy("gram").agg(F.sum(F.col("good").cast("long")).alias("a"), F.sum((~F.col("good")).cast("long")).alias("r"))
 
 
-def gram_scores(grams: DataFrame, model: DataFrame) -> DataFrame:
-    """Rows (gram, pg, pb) of distinct n-grams of ORDER + 1 characters: both models' probabilities of the last one."""
+def context_counts(counts: DataFrame) -> DataFrame:
+    """Per context of n-grams its counts (ca, cr) and its kinds of next characters (ta, tr) under both verdicts."""
+    context = F.expr("substring(gram, 1, length(gram) - 1)").alias("context")
+    return counts.groupBy(context).agg(F.sum("a").alias("ca"), F.sum("r").alias("cr"), F.sum((F.col("a") > 0).cast("long")).alias("ta"), F.sum((F.col("r") > 0).cast("long")).alias("tr"))
+
+
+def gram_scores(grams: DataFrame, counts: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Rows (gram, pg, pb) of distinct n-grams of ORDER + 1 characters: both models' probabilities of the last one.
+
+    A context's own counts discount what comes from the shorter one, whether or not this character was seen after it.
+    """
     found = None
     for k in range(ORDER + 1):
         ends = grams.select(F.substring("gram", ORDER + 1 - k, k + 1).alias("gram")).distinct()
-        at = ends.join(model.where(F.length("gram") == k + 1), "gram", "left")
+        own = contexts.where(F.length("context") == k)
+        at = ends.join(counts.where(F.length("gram") == k + 1), "gram", "left").withColumn("context", F.substring("gram", 1, k))
+        at = at.join(F.broadcast(own) if k < 2 else own, "context", "left")  # one row, or one a character
         if found is None:
             at = at.withColumn("pg", F.lit(1.0 / ALPHABET)).withColumn("pb", F.lit(1.0 / ALPHABET))
         else:
             at = at.withColumn("shorter", F.substring("gram", 2, k)).join(found.withColumnRenamed("gram", "shorter"), "shorter")
-        good, bad = (F.when(F.col(c) > 0, (F.col(n) + F.col(t) * F.col(p)) / (F.col(c) + F.col(t))).otherwise(F.col(p)).alias(p) for n, c, t, p in (("a", "ca", "ta", "pg"), ("r", "cr", "tr", "pb")))
+        good, bad = (F.when(F.col(c) > 0, (F.coalesce(n, F.lit(0)) + F.col(t) * F.col(p)) / (F.col(c) + F.col(t))).otherwise(F.col(p)).alias(p) for n, c, t, p in (("a", "ca", "ta", "pg"), ("r", "cr", "tr", "pb")))
         found = at.select("gram", good, bad)
     return found
 
 
-def ratios(urls: DataFrame, model: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """Rows (body, ratio): mean log-likelihood difference per character, accepted minus rejected."""
+def looked_up(rows: DataFrame, table: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """The rows with ``value`` of a written table (key, value, n) of unique keys, n rows of each; null where there is none."""
+    count, total, chars = table.agg(F.count("*"), F.sum("n"), F.sum(F.length(key))).first()
+    if count <= most and (chars or 0) <= most * MOST_CHARS:
+        return rows.join(F.broadcast(table.select(key, value)), key, "left")
+    often = F.col("n") * HOT > (total or 0)  # fewer than HOT rows
+    marked = rows.join(F.broadcast(table.where(often).select(key, F.col(value).alias("__often"), F.lit(True).alias("__hot"))), key, "left")
+    rest = marked.where("__hot is null").drop("__often", "__hot").join(table.where(~often).select(key, value), key, "left")
+    return marked.where("__hot").withColumn(value, F.col("__often")).select(*rest.columns).union(rest)
+
+
+def ratios(urls: DataFrame, counts: DataFrame, contexts: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Rows (body, ratio) of distinct urls: mean log-likelihood difference per character, accepted minus rejected."""
     at = _positions(urls).select("body", F.col(f"g{ORDER}").alias("gram"))
     grams = written(at.groupBy("gram").agg(F.count("*").alias("n")), "url-positions")
-    scores = written(gram_scores(grams, model).join(grams, "gram").select("gram", (F.log("pg") - F.log("pb")).alias("gain"), "n"), "url-gains")
-    count, total = scores.agg(F.count("*"), F.sum("n")).first()
-    if count <= most:
-        found = at.join(F.broadcast(scores), "gram")
-    else:
-        often = F.col("n") * HOT > (total or 0)  # fewer than HOT rows
-        marked = at.join(F.broadcast(scores.where(often).select("gram", "gain")), "gram", "left")
-        rest = marked.where("gain is null").select("body", "gram").join(scores.where(~often), "gram")
-        found = marked.where("gain is not null").select("body", "gain").union(rest.select("body", "gain"))
-    return found.groupBy("body").agg(F.avg("gain").alias("ratio"))
+    scores = written(gram_scores(grams, counts, contexts).join(grams, "gram").select("gram", (F.log("pg") - F.log("pb")).alias("gain"), "n"), "url-gains")
+    return looked_up(at, scores, "gram", "gain", most).groupBy("body").agg(F.avg("gain").alias("ratio"))
 
 
 def threshold(scored: DataFrame) -> float:
@@ -116,12 +133,13 @@ def filter_urls(df: DataFrame, *, key: str = "page_id", url: str = "url", rules=
     pages = df.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url")).withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = pages.withColumn("rule", rule).withColumn("verdict", verdict).withColumn("body", F.concat("host", "path")).drop("url")
-    bodies = written(judged.select("body", (F.col("verdict") == "allow").alias("good"), (F.crc32(F.col("body").cast("binary")) % FOLDS == 0).alias("tuning")).distinct(), "url-bodies")
-    model = written(gram_counts(bodies.where("good is not null and not tuning")), "url-model")
+    bodies = judged.groupBy("body", (F.col("verdict") == "allow").alias("good")).agg(F.count("*").alias("n")).withColumn("tuning", F.crc32(F.col("body").cast("binary")) % FOLDS == 0)
+    bodies = written(bodies.repartition(partitions(df.sparkSession), "body"), "url-bodies")  # a URL may have thousands of characters
+    counts = written(gram_counts(bodies.where("good is not null and not tuning")), "url-grams")
+    contexts = written(context_counts(counts), "url-contexts")
     wanted = bodies.where("good is null or tuning")
-    scores = written(ratios(wanted, model, most_broadcast).join(wanted.select("body", "good"), "body"), "url-scores")
+    scores = written(ratios(wanted, counts, contexts, most_broadcast).join(wanted.select("body", "good", "n"), "body"), "url-scores")
     cut = threshold(scores.where("good is not null"))
-    free = scores.where("good is null").select("body", F.lit(True).alias("free"), "ratio")
-    found = judged.join(free, "body", "left")
+    found = looked_up(judged, scores.where("good is null").select("body", "ratio", "n"), "body", "ratio", most_broadcast)
     by_model = F.when(F.coalesce("ratio", F.lit(0.0)) >= cut, "allow").otherwise("block")
     return found.select("page_id", "host", "path", "rule", F.coalesce("verdict", by_model).alias("verdict"), F.when(F.col("rule").isNull(), F.coalesce("ratio", F.lit(0.0))).alias("ratio"))

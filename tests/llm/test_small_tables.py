@@ -417,10 +417,67 @@ def test_url_models_keep_all_grams(spark):
     assert len(want) > 500_000 and url_filter.gram_counts(rows).count() == len(want)
 
 
+def _plain_urls(rows):
+    """Counts, probabilities, ratios and verdicts of (url, n times) by dictionaries; rules as the operator gives them."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    bodies = sorted({(r.host + r.path, None if r.rule is None else r.verdict == "allow") for r in rows}, key=str)
+    order, counts = url_filter.ORDER, {True: Counter(), False: Counter()}
+    places = lambda body: [(p[at - order : at], p[at]) for p in ["\1" * order + body + "\2"] for at in range(order, len(p))]
+    tuning = lambda body: zlib.crc32(body.encode()) % url_filter.FOLDS == 0
+    for body, good in bodies:
+        if good is not None and not tuning(body):
+            for context, char in places(body):
+                for k in range(order + 1):
+                    counts[good][context[order - k :], char] += 1
+    totals = {g: Counter() for g in counts}
+    kinds = {g: defaultdict(set) for g in counts}
+    for g in counts:
+        for (context, char), n in counts[g].items():
+            totals[g][context] += n
+            kinds[g][context].add(char)
+
+    def probability(g, context, char):
+        below = probability(g, context[1:], char) if context else 1 / url_filter.ALPHABET
+        c, t = totals[g][context], len(kinds[g][context])
+        return (counts[g][context, char] + t * below) / (c + t) if c else below
+
+    ratio = {body: np.mean([log(probability(True, *p)) - log(probability(False, *p)) for p in places(body)]) for body, good in bodies if good is None or tuning(body)}
+    return counts, totals, probability, ratio, bodies, tuning
+
+
+def test_url_models_equal_a_plain_version(spark):
+    urls = ["http://" + u for u in random_urls(3, 150, 3)] + ["http://shop.example.net/x", "http://blog.org/y", None, "q", "http://ünï.org/é"] * 2
+    got = url_filter.filter_urls(spark.createDataFrame([(k, u, "x", 0) for k, u in enumerate(urls)], "page_id long, url string, verdict string, n int")).collect()
+    counts, totals, probability, ratio, bodies, tuning = _plain_urls(got)
+    free = [r for r in got if r.rule is None]
+    assert free and all(r.ratio == pytest.approx(ratio[r.host + r.path], abs=1e-9) for r in free)
+    tuned = [(ratio[b], g) for b, g in bodies if g is not None and tuning(b)]
+    accuracy = lambda cut: np.mean([r >= cut for r, g in tuned if g]) + np.mean([r < cut for r, g in tuned if not g])
+    cut = url_filter.threshold(spark.createDataFrame([(bool(g), float(r)) for r, g in tuned], "good boolean, ratio double"))
+    assert accuracy(cut) == pytest.approx(max(accuracy(k / 100) for k in range(-500, 501)))
+    assert all(r.verdict == ("allow" if ratio[r.host + r.path] >= cut else "block") for r in free)
+
+
+def test_url_contexts_sum_to_one(spark):
+    rows = spark.createDataFrame([("abc", True), ("abd", True), ("xbq", False), ("ab", False)], "body string, good boolean")
+    counts = url_filter.gram_counts(rows)
+    contexts = url_filter.context_counts(counts)
+    letters = "abcdqx\2z"
+    for context in ("\1\1ab", "zzab", "zzzz", "\1\1\1\1", "\1xbq"):
+        grams = spark.createDataFrame([(context + c,) for c in letters], "gram string")
+        found = url_filter.gram_scores(grams, counts, contexts).collect()
+        unseen = next(r for r in found if r.gram[-1] == "z")  # as likely as any other code point that no URL has
+        for p in ("pg", "pb"):
+            total = sum(r[p] for r in found) + unseen[p] * (url_filter.ALPHABET - len(letters))
+            assert total == pytest.approx(1.0, abs=1e-9)
+
+
 def test_url_ratios_are_the_same_by_broadcast_and_by_shuffle(spark):
     df = spark.createDataFrame(list(enumerate("http://" + u for u in random_urls(2, 400, 6))), "page_id long, url string")
     one, other = ({r.page_id: r for r in url_filter.filter_urls(df, most_broadcast=m).collect()} for m in (10**9, 0))
-    assert len(one) == 400 and any(r.ratio for r in one.values())
+    assert len(one) == len(other) == 400 and any(r.ratio for r in one.values())
     for k, r in one.items():
         assert r[:5] == other[k][:5] and (r.ratio == other[k].ratio or abs(r.ratio - other[k].ratio) < 1e-9)
 
