@@ -2,7 +2,7 @@
 
 # They decide results and are stated as such.
 DATE_VOCABULARY = "0123456789/-."
-FULL_VOCABULARY = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ/-."
+FULL_VOCABULARY = "0123456789/-.ABCDEFGHIJKLMNOPQRSTUVWXYZ"  # a character's place is its class
 PIN_VOCABULARY = "0123456789"
 
 # How much less likely a visually confused pair is than a listed alternative (natural log scale).

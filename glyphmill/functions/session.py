@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Written folders of this process, removed when it ends, and its own temporary one.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+_OWN_DIR: list[str] = []
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -16,3 +23,37 @@ def importable(spark: SparkSession) -> None:
     paths = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         known["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares; an own temporary one only where none is set and all runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN_DIR:
+        _OWN_DIR.append(tempfile.mkdtemp(prefix="glyphmill-"))
+        atexit.register(shutil.rmtree, _OWN_DIR[0], True)
+    return "file://" + _OWN_DIR[0]
+
+
+def fresh_path(spark: SparkSession, what: str) -> str:
+    path = f"{shared_dir(spark)}/glyphmill-{what}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            delete(spark, path)
+        except Exception:  # the session may have ended; the folder's owner removes the rest
+            return

@@ -47,14 +47,20 @@ def decision_log(log: DataFrame, status: str = "status") -> DataFrame:
     return log.withColumn("decision", label)
 
 
-def numbered(log: DataFrame, parts: int = 64) -> DataFrame:
-    """Sequential record ids in time order, without one global sort: counts per day give each day its first number."""
-    day = F.to_date("ts")
-    counts = log.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
-    before = counts.select("day", (F.sum("n").over(Window.orderBy("day")) - F.col("n")).alias("before"))  # a row a day
-    place = F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id"))
-    rows = log.withColumn("day", day).join(F.broadcast(before), "day")
-    return rows.withColumn("record_id", F.concat(F.lit("REC-"), (place + F.col("before") + 1000).cast("string"))).drop("day", "before")
+def numbered(log: DataFrame) -> DataFrame:
+    """Sequential record ids in time order, without one global sort: counts per minute give each minute its first number.
+
+    Minutes, of which a day has 1,440, keep a busy day from being one task.
+    """
+    minute = F.date_trunc("minute", "ts")
+    counts = log.groupBy(minute.alias("minute")).agg(F.count("*").alias("n")).withColumn("day", F.to_date("minute"))
+    days = counts.groupBy("day").agg(F.sum("n").alias("n"))
+    first = days.select("day", (F.sum("n").over(Window.orderBy("day")) - F.col("n")).alias("first"))  # a row a day
+    within = F.sum("n").over(Window.partitionBy("day").orderBy("minute")) - F.col("n")
+    before = counts.withColumn("within", within).join(F.broadcast(first), "day").select("minute", (F.col("first") + F.col("within")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("minute").orderBy("ts", "event_id"))
+    rows = log.withColumn("minute", minute).withColumn("place", place).join(before, "minute")
+    return rows.withColumn("record_id", F.concat(F.lit("REC-"), (F.col("place") + F.col("before") + 1000).cast("string"))).drop("minute", "before", "place")
 
 
 def payload(predictions: DataFrame) -> DataFrame:
@@ -71,5 +77,11 @@ def next_field(fields: DataFrame, key: str = "id", within: str = "field_type") -
 
 
 def hourly_actions(log: DataFrame) -> DataFrame:
-    """Actions per hour; the same plan runs on a stream (see streaming.audit_stream)."""
-    return log.groupBy(F.window("ts", "1 hour").alias("w"), "action").agg(F.count("*").alias("n"), F.round(F.avg("latency_s"), 4).alias("mean_latency")).select(F.col("w.start").alias("hour"), "action", "n", "mean_latency")
+    """Actions per hour; the same plan runs on a stream (see streaming.audit_stream).
+
+    Latencies are added as whole ten-thousandths and the mean is rounded half up, so that it depends on no order.
+    """
+    unit = 10_000
+    sums = log.groupBy(F.window("ts", "1 hour").alias("w"), "action").agg(F.count("*").alias("n"), F.count("latency_s").alias("m"), F.sum(F.round(F.col("latency_s") * unit, 0).cast("long")).alias("units"))
+    mean = F.floor((2 * F.col("units") + F.col("m")) / (2 * F.col("m"))).cast("double") / unit
+    return sums.select(F.col("w.start").alias("hour"), "action", "n", F.when(F.col("m") > 0, mean).alias("mean_latency"))

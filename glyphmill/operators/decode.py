@@ -2,12 +2,16 @@
 
 Each decoder adds ``text``, ``fsm_conf``, ``valid`` and ``notes`` to its rows. Dates and the parts of the others that
 need no lexicon are one projection without a shuffle. A lexicon is an argument: a DataFrame (kind, entry, prefix).
-Exact hits are an equi-join; only the rest is compared with the whole lexicon, by broadcast up to ``MOST_ENTRIES``
-entries and by a join on (position, character) beyond.
+Exact hits are an equi-join; only the rest is compared with the whole lexicon: up to ``MOST_ENTRIES`` entries as one
+table of look-ups per batch of rows, beyond as a nested-loop join, which is exact but makes a row of every pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from glyphmill.functions import constants as C
 from glyphmill.functions.chars import char_at, digit_alternatives, first_alternative, is_digit, is_letter, least_confidence, letter_alternatives, literal_map
 
 MOST_ENTRIES = 50_000
+#: Scores that are worked out at a time.
+CELLS = 1 << 21
 
 
 def _note(when: Column, *parts) -> Column:
@@ -128,15 +134,42 @@ def position_costs(lattice: Column, alphabet: str, mismatch: float) -> Column:
 def nearest_entries(rows: DataFrame, entries: DataFrame, keys: list[str], length: int, alphabet: str, mismatch: float) -> DataFrame:
     """Rows (keys, entry, score) with the best entry of each row; of equal scores the smallest entry.
 
-    Every entry has ``length`` characters. The comparison is exhaustive over distinct lattices.
+    Every entry has ``length`` characters. The comparison is exhaustive.
     """
-    if entries.limit(MOST_ENTRIES + 1).count() <= MOST_ENTRIES:
-        entries = F.broadcast(entries)
+    table = rows.select(*keys, position_costs(F.col("lattice"), alphabet, mismatch).alias("costs"))
+    some = entries.limit(MOST_ENTRIES + 1).collect()
+    if len(some) > MOST_ENTRIES:
+        return _nearest_by_join(table, entries, keys, length, alphabet, mismatch)
+    names = sorted(r["entry"] for r in some)
+    sent = rows.sparkSession.sparkContext.broadcast((names, np.array([[alphabet.find(c) for c in n] for n in names], np.int64).reshape(-1, length)))
+    width = len(alphabet)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, codes = sent.value
+        for batch in batches if names else ():
+            step = max(1, CELLS // len(names))
+            for low in range(0, batch.num_rows, step):
+                part = batch.slice(low, step)
+                costs = np.full((part.num_rows, length, width + 1), mismatch)  # the last column: a character out of the alphabet
+                for k, cells in enumerate(part.column(len(keys)).to_pylist()):
+                    costs[k, : len(cells), :width] = np.array(cells, float).reshape(-1, width)[:length]
+                score = np.zeros((part.num_rows, len(names)))
+                for place in range(length):
+                    score += costs[:, place, codes[:, place]]
+                score = np.round(score, 6)
+                best = score.argmax(1)  # entries are sorted: the first is the smallest
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array([names[k] for k in best.tolist()]), pa.array(score[np.arange(len(best)), best])], names=[*keys, "entry", "score"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[: len(keys)])
+    return table.mapInArrow(run, f"{kept}, entry string, score double")
+
+
+def _nearest_by_join(table: DataFrame, entries: DataFrame, keys: list[str], length: int, alphabet: str, mismatch: float) -> DataFrame:
     place = [F.instr(F.lit(alphabet), F.substring("entry", pos + 1, 1)) for pos in range(length)]
     coded = entries.select("entry", *[p.alias(f"c{pos}") for pos, p in enumerate(place)])
-    table = rows.select(*keys, position_costs(F.col("lattice"), alphabet, mismatch).alias("costs")).select(*keys, *[F.get("costs", F.lit(pos)).alias(f"k{pos}") for pos in range(length)])
+    flat = table.select(*keys, *[F.get("costs", F.lit(pos)).alias(f"k{pos}") for pos in range(length)])
     score = F.round(sum((F.coalesce(F.get(F.col(f"k{pos}"), F.col(f"c{pos}") - 1), F.lit(mismatch)) for pos in range(length)), F.lit(0.0)), 6)
-    scored = table.join(coded).select(*keys, "entry", score.alias("score"))
+    scored = flat.join(coded).select(*keys, "entry", score.alias("score"))
     best = scored.groupBy(*keys).agg(F.max("score").alias("score"), F.min_by("entry", F.struct(-F.col("score"), "entry")).alias("entry"))
     return best.select(*keys, "entry", "score")
 

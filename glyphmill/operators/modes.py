@@ -28,16 +28,23 @@ def mode_of(name: Column) -> Column:
     return F.when(name.isin("raw_cnn", "grammar_fsm"), name).otherwise("tri_engine")
 
 
-def read_fields(fields: DataFrame, lexicon: DataFrame, keys: list[str], theta: float = C.GATE, registry_substitution: bool = False) -> DataFrame:
-    """Predictions of all modes: the hypotheses are decoded once and fanned out by an explode, not by a second pass."""
-    done = verify(decode(fields, lexicon, keys, registry_substitution=registry_substitution))
+def read_fields(fields: DataFrame, lexicon: DataFrame, keys: list[str], theta: float = C.GATE, registry_substitution: bool = False, modes: tuple[str, ...] = C.MODES) -> DataFrame:
+    """Predictions of the wanted modes: the hypotheses are decoded once and fanned out by an explode, not by a second pass.
+
+    The raw mode alone needs no decoding, and the repair is made for the last mode only. latency_ms is for callers that
+    measure single fields; a plan over many has none.
+    """
     hyp = F.col("hyp")
-    result = lambda mode, text, conf, valid: F.struct(F.lit(mode).alias("mode"), text.alias("text"), conf.alias("conf"), valid.alias("syntax_valid"), F.col("valid").alias("rule_valid"))
-    fan = F.array(
-        result("raw_cnn", raw_text(hyp), least_confidence(hyp), F.lit(True)),
-        result("grammar_fsm", F.col("text"), F.col("fsm_conf"), F.col("valid")),
-        result("tri_engine", F.col("verified_text"), fused(F.col("fsm_conf"), F.col("sem_conf")), F.lit(True)),
-    )
     kept = [c for c in fields.columns if c != "hyp"]
-    rows = done.select(*kept, raw_text(hyp).alias("raw_text"), mean_confidence(hyp).alias("mean_conf"), F.explode(fan).alias("r")).select(*kept, "raw_text", "mean_conf", "r.*")
+    ready = fields.select(*kept, "hyp", raw_text(hyp).alias("raw_text"), mean_confidence(hyp).alias("mean_conf"))
+    result = lambda mode, text, conf, valid, rule: F.struct(F.lit(mode).alias("mode"), text.alias("text"), conf.alias("conf"), valid.alias("syntax_valid"), rule.alias("rule_valid"))
+    fan = [result("raw_cnn", F.col("raw_text"), least_confidence(hyp), F.lit(True), F.lit(None).cast("boolean"))] if "raw_cnn" in modes else []
+    if set(modes) & {"grammar_fsm", "tri_engine"}:
+        ready = decode(ready, lexicon, keys, registry_substitution=registry_substitution)
+        fan += [result("grammar_fsm", F.col("text"), F.col("fsm_conf"), F.col("valid"), F.col("valid"))] if "grammar_fsm" in modes else []
+    if "tri_engine" in modes:
+        ready = verify(ready)
+        fan.append(result("tri_engine", F.col("verified_text"), fused(F.col("fsm_conf"), F.col("sem_conf")), F.lit(True), F.col("valid")))
+    one = F.explode(F.array(*fan)) if len(fan) > 1 else fan[0]
+    rows = ready.select(*kept, "raw_text", "mean_conf", one.alias("r")).select(*kept, "raw_text", "mean_conf", "r.*", F.lit(None).cast("double").alias("latency_ms"))
     return gate(rows, theta)

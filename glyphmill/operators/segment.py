@@ -1,6 +1,7 @@
-"""Segmentation geometry as relations: pixels (img_id, y, x, v) and boxes (img_id, seq, x, y, w, h).
+"""Segmentation geometry as relations: pixels (img_id, y, x, v), boxes (img_id, seq, x, y, w, h, area), images (img_id).
 
-Images are small and independent, so every step groups by image; nothing crosses images.
+Images are small and independent, so every step groups by image; nothing crosses images. ``fields.segment`` runs the
+same steps on whole images, one row each.
 """
 
 from __future__ import annotations
@@ -55,38 +56,44 @@ def column_sums(ink: DataFrame) -> DataFrame:
     return ink.groupBy("img_id", "x").agg(F.count("*").alias("ink"))
 
 
-def grid_extent(columns: DataFrame, width: int, cells: int) -> DataFrame:
-    """First and last line column if they span over half the width, else a fixed padding."""
-    pad = max(4, (width % cells) // 2)
-    out = columns.groupBy("img_id").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-    wide = (F.col("n") >= 2) & (F.col("high") - F.col("low") > 0.5 * width)
-    return out.select("img_id", F.when(wide, F.col("low")).otherwise(pad).alias("x0"), F.when(wide, F.col("high")).otherwise(width - pad).alias("x1"))
+def grid_extent(images: DataFrame, columns: DataFrame, width: int) -> DataFrame:
+    """Of images (img_id, cells): first and last line column if they span over half the width, else a fixed padding."""
+    pad = F.greatest(F.lit(4), F.floor((F.lit(width) % F.col("cells")) / 2)).cast("int")
+    found = columns.groupBy("img_id").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    wide = (F.col("n") >= 2) & (F.col("high") - F.col("low") > 0.5 * width)  # null, so not wide, where there is no line
+    return images.join(found, "img_id", "left").select("img_id", "cells", F.when(wide, F.col("low")).otherwise(pad).alias("x0"), F.when(wide, F.col("high")).otherwise(width - pad).alias("x1"))
 
 
-def cells(extents: DataFrame, n: int, width: int, inset: int = 2) -> DataFrame:
-    """Equal cells between x0 and x1; bounds rounded half to even, inset and clamped; an empty cell gets its plain bounds."""
-    rows = extents.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cell"))
-    step = (F.col("x1") - F.col("x0")) / n
-    low = F.bround(F.col("x0") + F.col("cell") * step, 0).cast("int")
-    high = F.bround(F.col("x0") + (F.col("cell") + 1) * step, 0).cast("int")
-    rows = rows.withColumn("left", F.greatest(F.lit(0), low + inset)).withColumn("right", F.least(F.lit(width), high - inset))
-    bad = F.col("right") <= F.col("left")
-    return rows.select("img_id", "cell", F.when(bad, F.greatest(F.lit(0), low)).otherwise(F.col("left")).alias("left"), F.when(bad, F.least(F.lit(width), F.greatest(high, low + 1))).otherwise(F.col("right")).alias("right"))
+def cells(extents: DataFrame, width: int, inset: int = 2, least: int = 10) -> DataFrame:
+    """Equal cells from x0 on; bounds rounded half to even, inset and clamped.
+
+    A cell that the inset leaves empty keeps its left edge and gets the whole pixels of a cell's width.
+    """
+    rows = extents.select("*", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
+    step = F.greatest(F.lit(least), F.col("x1") - F.col("x0")) / F.col("cells")
+    edge = lambda k: F.bround(F.col("x0") + k * step, 0).cast("int")
+    rows = rows.withColumn("left", F.greatest(F.lit(0), edge(F.col("cell")) + inset)).withColumn("right", F.least(F.lit(width), edge(F.col("cell") + 1) - inset))
+    repaired = F.least(F.lit(width), F.col("left") + F.floor(step)).cast("int")
+    return rows.select("img_id", "x0", "x1", "cell", "left", F.when(F.col("right") <= F.col("left"), repaired).otherwise(F.col("right")).alias("right"))
 
 
 def plausible_boxes(boxes: DataFrame, width: int) -> DataFrame:
-    return boxes.where((F.col("w") * F.col("h") >= 6) & (F.col("h") >= 3) & (F.col("w") >= 2) & (F.col("w") < 0.85 * width))
+    """Components of at least 6 ink pixels, 3 rows and 2 columns that don't span the image."""
+    return boxes.where((F.col("area") >= 6) & (F.col("h") >= 3) & (F.col("w") >= 2) & (F.col("w") < 0.85 * width))
 
 
 def equal_slices(images: DataFrame, width: int, n: int = 6) -> DataFrame:
-    """For images without ink: n slices of the same width."""
-    return images.select("img_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cell")).select("img_id", "cell", (F.col("cell") * (width // n)).alias("x"), F.lit(width // n).alias("w"))
+    """For images without ink: n slices between whole pixels; w is a slice's width in whole pixels."""
+    step = F.lit(float(width)) / n
+    rows = images.select("img_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cell"))
+    return rows.select("img_id", "cell", F.floor(F.col("cell") * step).cast("int").alias("x"), F.floor((F.col("cell") + 1) * step).cast("int").alias("right"), F.floor(step).cast("int").alias("w"))
 
 
 def merged_boxes(boxes: DataFrame, pitch: float, gap: int = 6) -> DataFrame:
     """Boxes of an image from left to right, joined when they overlap in x, or nearly touch and stay narrow together.
 
-    The width test looks at the box grown so far, so this is an ordered fold over one image's boxes.
+    The width test looks at the box grown so far, so this is an ordered fold over one image's boxes; boxes that start
+    in the same column follow seq, then y, w and h.
     """
     item = F.struct("x", "seq", "y", "w", "h")
     lists = boxes.groupBy("img_id").agg(F.array_sort(F.collect_list(item)).alias("boxes"), F.median("w").alias("median_w"))
@@ -114,15 +121,21 @@ def padded_boxes(boxes: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def without_grid_parts(boxes: DataFrame, width: int, height: int) -> DataFrame:
-    """Leaves out long thin boxes and slivers at the edges."""
+    """Leaves out long thin boxes and slivers at the four edges."""
     flat = (F.col("w") > 0.6 * width) & (F.col("h") <= 3)
     tall = (F.col("h") > 0.6 * height) & (F.col("w") <= 3)
-    edge = ((F.col("x") <= 1) | (F.col("x") + F.col("w") >= width - 1)) & (F.col("w") <= 2)
-    return boxes.where(~(flat | tall | edge))
-
-
-def tight_crop(ink: DataFrame) -> DataFrame:
-    return ink.groupBy("img_id").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    side = ((F.col("x") <= 1) | (F.col("x") + F.col("w") >= width - 1)) & (F.col("w") <= 2)
+    end = ((F.col("y") <= 1) | (F.col("y") + F.col("h") >= height - 1)) & (F.col("h") <= 2)
+    return boxes.where(~(flat | tall | side | end))
+
+
+def tight_crop(images: DataFrame, kept: DataFrame, ink: DataFrame) -> DataFrame:
+    """Of every image the bounds of the kept ink, else of all ink, else none; ``source`` says which."""
+    names = ("x0", "x1", "y0", "y1")
+    bounds = lambda rows, tag: rows.groupBy("img_id").agg(*[f(c).alias(f"{tag}_{n}") for n, f, c in zip(names, (F.min, F.max, F.min, F.max), "xxyy", strict=True)])
+    both = images.select("img_id").join(bounds(kept, "kept"), "img_id", "left").join(bounds(ink, "all"), "img_id", "left")
+    source = F.when(F.col("kept_x0").isNotNull(), "kept").when(F.col("all_x0").isNotNull(), "all").otherwise("blank")
+    return both.select("img_id", *[F.coalesce(f"kept_{n}", f"all_{n}").alias(n) for n in names], source.alias("source"))
 
 
 def scale_factor(w: Column, h: Column, room: int = 24) -> Column:

@@ -79,16 +79,27 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "ts", action.alias("action"), field.alias("field_type"), F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("verified_text"), F.col("value").alias("latency_s"), F.when(F.col("event_type") == "error", "unreadable").alias("notes"), F.when(F.col("event_id") % 3 == 0, "FLAGGED").otherwise("APPROVED").alias("status"))
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(img_id, cells): an image for each supplier, with 5 wide or 12 narrow cells."""
+    key = F.col("s_suppkey").cast("long")
+    return table(spark, sf_dir, "supplier").select(key.alias("img_id"), F.when(key % 2 == 0, 5).otherwise(12).alias("cells"))
+
+
 def pixels(spark: SparkSession, sf_dir: str, side: int = 40) -> DataFrame:
-    """(img_id, y, x, v): a small image for each nation, dark pixels by integer arithmetic, lines in row 30 and column 12."""
-    images = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("img_id"))
-    grid = images.select("img_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y")).select("img_id", "y", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("x"))
-    inside = F.col("y").between(3, side - 4) & F.col("x").between(3, side - 4)
-    dark = inside & ((F.col("y") == 30) | (F.col("x") == 12) | ((F.col("x") * 7 + F.col("y") * 13 + F.col("img_id") * 5) % 11 < 3))
+    """(img_id, y, x, v): dark pixels by integer arithmetic, a line in row 30 and none, two or one line columns.
+
+    Every seventh image has no dark pixel.
+    """
+    grid = images(spark, sf_dir).select("img_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("y")).select("img_id", "y", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("x"))
+    inside = F.col("y").between(3, side - 4) & F.col("x").between(3, side - 4) & (F.col("img_id") % 7 != 0)
+    line = F.when(F.col("img_id") % 3 == 1, F.col("x").isin(5, 33)).when(F.col("img_id") % 3 == 2, F.col("x") == 12).otherwise(False)
+    dark = inside & ((F.col("y") == 30) | line | ((F.col("x") * 7 + F.col("y") * 13 + F.col("img_id") * 5) % 11 < 3))
     return grid.withColumn("v", F.when(dark, (F.col("x") * 3 + F.col("y") * 5 + F.col("img_id")) % 200).otherwise(255 - (F.col("x") + F.col("y")) % 40).cast("int"))
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(img_id, seq, x, y, w, h): the boxes of each order, by integer arithmetic."""
+    """(img_id, seq, x, y, w, h, area): the boxes of each order, by integer arithmetic; lines of a number may repeat."""
     line, part = F.col("l_linenumber"), F.col("l_partkey")
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("img_id"), line.cast("int").alias("seq"), (line * 22 + part % 9).cast("int").alias("x"), (4 + part % 5).cast("int").alias("y"), (2 + part % 23).cast("int").alias("w"), (1 + part % 31).cast("int").alias("h"))
+    w, h = 2 + part % 23, 1 + part % 31
+    area = F.least(w * h, F.greatest(w, h) + part % 4)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("img_id"), line.cast("int").alias("seq"), (line * 22 + part % 9 - 22).cast("int").alias("x"), ((part * 5) % 39).cast("int").alias("y"), w.cast("int").alias("w"), h.cast("int").alias("h"), area.cast("int").alias("area"))

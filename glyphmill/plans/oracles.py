@@ -123,11 +123,12 @@ compared AS (SELECT *, pos, substr(text, CAST(pos AS INT), 1) AS p, substr(groun
 LOG = """
 log AS (SELECT event_id, ts, CASE event_type WHEN 'signup' THEN 'CORRECT' WHEN 'error' THEN 'REJECT' ELSE 'ACCEPT' END AS action, CASE user_id % 4 WHEN 0 THEN 'date' WHEN 1 THEN 'pin' WHEN 2 THEN 'code' END AS field_type, 'v' || user_id AS verified_text, value AS latency_s, CASE WHEN event_type = 'error' THEN 'unreadable' END AS notes, CASE WHEN event_id % 3 = 0 THEN 'FLAGGED' ELSE 'APPROVED' END AS status FROM events)"""
 PIXELS = """
-grid AS (SELECT CAST(n_nationkey AS BIGINT) AS img_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM nation, range(40) a(y), range(40) b(x)),
-pixels AS (SELECT *, CAST(CASE WHEN y BETWEEN 3 AND 36 AND x BETWEEN 3 AND 36 AND (y = 30 OR x = 12 OR (x * 7 + y * 13 + img_id * 5) % 11 < 3) THEN (x * 3 + y * 5 + img_id) % 200 ELSE 255 - (x + y) % 40 END AS INT) AS v FROM grid),
+images AS (SELECT CAST(s_suppkey AS BIGINT) AS img_id, CASE WHEN s_suppkey % 2 = 0 THEN 5 ELSE 12 END AS cells FROM supplier),
+grid AS (SELECT img_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM images, range(40) a(y), range(40) b(x)),
+pixels AS (SELECT *, CAST(CASE WHEN img_id % 7 <> 0 AND y BETWEEN 3 AND 36 AND x BETWEEN 3 AND 36 AND (y = 30 OR (img_id % 3 = 1 AND x IN (5, 33)) OR (img_id % 3 = 2 AND x = 12) OR (x * 7 + y * 13 + img_id * 5) % 11 < 3) THEN (x * 3 + y * 5 + img_id) % 200 ELSE 255 - (x + y) % 40 END AS INT) AS v FROM grid),
 ink AS (SELECT * FROM pixels WHERE v <= 210)"""
 BOXES = """
-boxes AS (SELECT l_orderkey AS img_id, CAST(l_linenumber AS INT) AS seq, CAST(l_linenumber * 22 + l_partkey % 9 AS INT) AS x, CAST(4 + l_partkey % 5 AS INT) AS y, CAST(2 + l_partkey % 23 AS INT) AS w, CAST(1 + l_partkey % 31 AS INT) AS h FROM lineitem)"""
+boxes AS (SELECT *, least(w * h, greatest(w, h) + part % 4) AS area FROM (SELECT l_orderkey AS img_id, CAST(l_linenumber AS INT) AS seq, CAST(l_linenumber * 22 + l_partkey % 9 - 22 AS INT) AS x, CAST((l_partkey * 5) % 39 AS INT) AS y, CAST(2 + l_partkey % 23 AS INT) AS w, CAST(1 + l_partkey % 31 AS INT) AS h, l_partkey AS part FROM lineitem))"""
 
 
 def with_(ctes: str, select: str) -> str:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import constants as C
 from glyphmill.functions.chars import field_kind, least_confidence, mean_confidence, raw_text
-from glyphmill.operators import audit, catalog, decode, evaluate, glyphs, modes, recognize, segment, verify
+from glyphmill.functions.session import fresh_path
+from glyphmill.operators import audit, catalog, decode, evaluate, fields, glyphs, modes, network, recognize, segment, verify
 from glyphmill.plans import fixtures, oracles
 from glyphmill.plans.fixtures import KEYS
 from glyphmill.plans.oracles import with_
@@ -30,8 +31,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modes.read_fields(fixtures.hypotheses(spark, sf_dir), fixtures.lexicon(spark, sf_dir), KEYS)
+def _predictions(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    return modes.read_fields(fixtures.hypotheses(spark, sf_dir), fixtures.lexicon(spark, sf_dir), KEYS, modes=wanted or C.MODES)
 
 
 def _of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -260,12 +261,12 @@ def a1_a3_a6_leaderboard(spark, sf_dir):
 
 @query(with_(oracles.PREDICTIONS, "SELECT t AS truth, p AS pred, count(*) AS n FROM compared WHERE mode = 'raw_cnn' AND t <> p GROUP BY 1, 2"))
 def a4_confusions(spark, sf_dir):
-    return evaluate.confusions(_predictions(spark, sf_dir))
+    return evaluate.confusions(_predictions(spark, sf_dir, "raw_cnn"))
 
 
 @query(with_(oracles.PREDICTIONS, "SELECT t AS truth, p AS pred, count(*) AS n FROM compared WHERE mode = 'raw_cnn' AND t <> p GROUP BY 1, 2 ORDER BY n DESC, truth, pred LIMIT 10"))
 def a5_top_confusions(spark, sf_dir):
-    return evaluate.top_confusions(_predictions(spark, sf_dir))
+    return evaluate.top_confusions(_predictions(spark, sf_dir, "raw_cnn"))
 
 
 def _sweep_sql(conf: str, mode: str) -> str:
@@ -276,12 +277,12 @@ def _sweep_sql(conf: str, mode: str) -> str:
 
 @query(with_(oracles.PREDICTIONS, _sweep_sql("conf", "tri_engine")))
 def a7_threshold_sweep(spark, sf_dir):
-    return evaluate.threshold_sweep(_predictions(spark, sf_dir))
+    return evaluate.threshold_sweep(_predictions(spark, sf_dir, "tri_engine"))
 
 
 @query(with_(oracles.PREDICTIONS, _sweep_sql("conf", "raw_cnn")))
 def a7_true_confidence_sweep(spark, sf_dir):
-    return evaluate.threshold_sweep(_predictions(spark, sf_dir), mode="raw_cnn")
+    return evaluate.threshold_sweep(_predictions(spark, sf_dir, "raw_cnn"), mode="raw_cnn")
 
 
 @query(with_(oracles.PREDICTIONS, "SELECT mode, sum(levenshtein(text, ground_truth))::BIGINT AS edits, sum(length(ground_truth))::BIGINT AS chars, round(100.0::DOUBLE * sum(levenshtein(text, ground_truth)) / sum(length(ground_truth)), 2) AS cer FROM predictions GROUP BY mode"))
@@ -338,7 +339,7 @@ def a15_next_field(spark, sf_dir):
     return audit.next_field(fixtures.form_fields(spark, sf_dir)).select("field_type", "id", "next_id")
 
 
-@query(with_(oracles.LOG, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, action, count(*) AS n, round(avg(latency_s), 4) AS mean_latency FROM log GROUP BY 1, 2"))
+@query(with_(oracles.LOG, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, action, count(*) AS n, CAST((2 * sum(CAST(round(latency_s * 10000) AS BIGINT)) + count(latency_s)) // (2 * count(latency_s)) AS DOUBLE) / 10000 AS mean_latency FROM log GROUP BY 1, 2"))
 def ext_hourly_actions(spark, sf_dir):
     return audit.hourly_actions(fixtures.audit_events(spark, sf_dir)).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
 
@@ -357,9 +358,10 @@ def i2_field_ink(spark, sf_dir):
     return segment.field_ink(fixtures.pixels(spark, sf_dir)).groupBy("img_id").agg(F.count("*").alias("ink"))
 
 
-@query(with_(oracles.PIXELS, "SELECT img_id, count(*) AS ink FROM pixels JOIN (SELECT img_id, median(v) AS m FROM pixels GROUP BY 1) USING (img_id) WHERE CASE WHEN m > 120 THEN v <= 210 ELSE v > 45 END GROUP BY 1"))
+@query(with_(oracles.PIXELS + ", turned AS (SELECT img_id, CASE WHEN img_id % 5 = 4 THEN 255 - v ELSE v END AS v FROM pixels)", "SELECT img_id, count(*) AS ink FROM turned JOIN (SELECT img_id, median(v) AS m FROM turned GROUP BY 1) USING (img_id) WHERE CASE WHEN m > 120 THEN v <= 210 ELSE v > 45 END GROUP BY 1"))
 def i3_glyph_ink(spark, sf_dir):
-    return segment.glyph_ink(fixtures.pixels(spark, sf_dir)).groupBy("img_id").agg(F.count("*").alias("ink"))
+    rows = fixtures.pixels(spark, sf_dir).withColumn("v", F.when(F.col("img_id") % 5 == 4, 255 - F.col("v")).otherwise(F.col("v")))
+    return segment.glyph_ink(rows).groupBy("img_id").agg(F.count("*").alias("ink"))
 
 
 @query(with_(oracles.PIXELS, f"SELECT img_id, y, x FROM {oracles.runs('y', 'x', 16)}"))
@@ -367,34 +369,42 @@ def i4_vertical_lines(spark, sf_dir):
     return segment.vertical_lines(segment.field_ink(fixtures.pixels(spark, sf_dir)), 40).select("img_id", "y", "x")
 
 
-@query(with_(oracles.PIXELS, f"SELECT img_id, x0, x1, cell, \"left\", \"right\" FROM (SELECT *, CASE WHEN r <= l THEN greatest(0, lo) ELSE l END AS \"left\", CASE WHEN r <= l THEN least(40, greatest(hi, lo + 1)) ELSE r END AS \"right\" FROM (SELECT *, greatest(0, lo + 2) AS l, least(40, hi - 2) AS r FROM (SELECT *, CAST(round_even(x0 + cell * ((x1 - x0) / 5.0::DOUBLE), 0) AS INT) AS lo, CAST(round_even(x0 + (cell + 1) * ((x1 - x0) / 5.0::DOUBLE), 0) AS INT) AS hi FROM (SELECT img_id, CASE WHEN n >= 2 AND b - a > 20 THEN a ELSE 4 END AS x0, CASE WHEN n >= 2 AND b - a > 20 THEN b ELSE 36 END AS x1 FROM (SELECT img_id, count(DISTINCT x) AS n, min(x) AS a, max(x) AS b FROM {oracles.runs('y', 'x', 16)} GROUP BY 1)), (SELECT CAST(unnest(range(5)) AS INT) AS cell))))"))
+_CELLS = f"""SELECT img_id, x0, x1, cell, l AS "left", CASE WHEN r <= l THEN CAST(least(40, l + floor(step)) AS INT) ELSE r END AS "right" FROM (
+  SELECT *, CAST(greatest(0, round_even(x0 + cell * step, 0) + 2) AS INT) AS l, CAST(least(40, round_even(x0 + (cell + 1) * step, 0) - 2) AS INT) AS r FROM (
+    SELECT *, greatest(10, x1 - x0) / cells::DOUBLE AS step, CAST(unnest(range(cells)) AS INT) AS cell FROM (
+      SELECT img_id, cells, CAST(CASE WHEN wide THEN a ELSE pad END AS INT) AS x0, CAST(CASE WHEN wide THEN b ELSE 40 - pad END AS INT) AS x1 FROM (
+        SELECT img_id, cells, a, b, coalesce(n >= 2 AND b - a > 20, false) AS wide, greatest(4, (40 % cells) // 2) AS pad
+        FROM images LEFT JOIN (SELECT img_id, count(DISTINCT x) AS n, min(x) AS a, max(x) AS b FROM {oracles.runs('y', 'x', 16)} GROUP BY 1) USING (img_id)))))"""
+
+
+@query(with_(oracles.PIXELS, _CELLS))
 def i5_i7_cells(spark, sf_dir):
     lines = segment.column_sums(segment.vertical_lines(segment.field_ink(fixtures.pixels(spark, sf_dir)), 40))
-    extent = segment.grid_extent(lines, 40, 5)
-    return extent.join(segment.cells(extent, 5, 40), "img_id").select("img_id", "x0", "x1", "cell", "left", "right")
+    return segment.cells(segment.grid_extent(fixtures.images(spark, sf_dir), lines, 40), 40)
 
 
-@query(with_(oracles.PIXELS, f"SELECT img_id, y, x FROM ink ANTI JOIN {oracles.runs('x', 'y', 20)} l USING (img_id, y, x) WHERE y BETWEEN 2 AND 37 AND x BETWEEN 2 AND 37"))
+@query(with_(oracles.PIXELS, "SELECT img_id, y, x FROM (SELECT *, count(*) OVER (PARTITION BY img_id, y, g) AS n FROM (SELECT *, x - row_number() OVER (PARTITION BY img_id, y ORDER BY x) AS g FROM ink)) WHERE n < 20 AND y BETWEEN 2 AND 37 AND x BETWEEN 2 AND 37"))
 def i8_i10_cleaned(spark, sf_dir):
     ink = segment.field_ink(fixtures.pixels(spark, sf_dir))
     return segment.border_cleared(segment.without(ink, segment.underlines(ink, 40)), 40, 40).select("img_id", "y", "x")
 
 
-@query(with_(oracles.BOXES, "SELECT img_id, seq, CAST(row_number() OVER (PARTITION BY img_id ORDER BY x, seq) AS INT) AS place FROM boxes WHERE w * h >= 6 AND h >= 3 AND w >= 2 AND w < 0.85 * 200"))
+@query(with_(oracles.BOXES, "SELECT img_id, seq, CAST(row_number() OVER (PARTITION BY img_id ORDER BY x, seq) AS INT) AS place FROM boxes WHERE area >= 6 AND h >= 3 AND w >= 2 AND w < 0.85 * 200"))
 def i12_i13_plausible(spark, sf_dir):
     rows = segment.plausible_boxes(fixtures.boxes(spark, sf_dir), 200)
     return rows.select("img_id", "seq", F.row_number().over(Window.partitionBy("img_id").orderBy("x", "seq")).alias("place"))
 
 
-@query("SELECT CAST(n_nationkey AS BIGINT) AS img_id, CAST(cell AS INT) AS cell, CAST(cell * 33 AS INT) AS x, 33::INT AS w FROM nation, range(6) r(cell)")
+@query(with_(oracles.PIXELS, "SELECT img_id, CAST(cell AS INT) AS cell, CAST(floor(cell * (40::DOUBLE / 6)) AS INT) AS x, CAST(floor((cell + 1) * (40::DOUBLE / 6)) AS INT) AS \"right\", 6::INT AS w FROM images, range(6) r(cell) WHERE img_id NOT IN (SELECT img_id FROM ink)"))
 def i14_slices(spark, sf_dir):
-    return segment.equal_slices(fixtures.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("img_id")), 200)
+    ink = segment.field_ink(fixtures.pixels(spark, sf_dir))
+    return segment.equal_slices(fixtures.images(spark, sf_dir).join(ink, "img_id", "left_anti"), 40)
 
 
 _MERGE = """SELECT img_id, CAST(pos - 1 AS INT) AS pos, m.x AS x, m.y AS y, m.r - m.x AS w, m.b - m.y AS h FROM (SELECT img_id, generate_subscripts(merged, 1) AS pos, unnest(merged) AS m FROM (
   SELECT img_id, list_reduce(items, lambda acc, n: CASE WHEN least(acc[-1].r, n[1].r) - greatest(acc[-1].x, n[1].x) > 0 OR (n[1].x - acc[-1].r < 6 AND greatest(acc[-1].r, n[1].r) - least(acc[-1].x, n[1].x) <= lim)
     THEN list_concat(acc[1:len(acc) - 1], [{'x': least(acc[-1].x, n[1].x), 'y': least(acc[-1].y, n[1].y), 'r': greatest(acc[-1].r, n[1].r), 'b': greatest(acc[-1].b, n[1].b)}]) ELSE list_concat(acc, n) END) AS merged
-  FROM (SELECT img_id, list([{'x': x, 'y': y, 'r': x + w, 'b': y + h}] ORDER BY x, seq) AS items, greatest(1.3::DOUBLE * median(w), 0.8::DOUBLE * 24) AS lim FROM boxes GROUP BY img_id)))"""
+  FROM (SELECT img_id, list([{'x': x, 'y': y, 'r': x + w, 'b': y + h}] ORDER BY x, seq, y, w, h) AS items, greatest(1.3::DOUBLE * median(w), 0.8::DOUBLE * 24) AS lim FROM boxes GROUP BY img_id)))"""
 
 
 @query(with_(oracles.BOXES, _MERGE))
@@ -407,14 +417,16 @@ def i16_padded(spark, sf_dir):
     return segment.padded_boxes(fixtures.boxes(spark, sf_dir), 200, 40).select("img_id", "seq", "x0", "y0", "x1", "y1")
 
 
-@query(with_(oracles.BOXES, "SELECT img_id, seq FROM boxes WHERE NOT ((w > 0.6 * 30 AND h <= 3) OR (h > 0.6 * 40 AND w <= 3) OR ((x <= 1 OR x + w >= 29) AND w <= 2))"))
+@query(with_(oracles.BOXES, "SELECT img_id, seq FROM boxes WHERE NOT ((w > 0.6 * 30 AND h <= 3) OR (h > 0.6 * 40 AND w <= 3) OR ((x <= 1 OR x + w >= 29) AND w <= 2) OR ((y <= 1 OR y + h >= 39) AND h <= 2))"))
 def i17_without_grid(spark, sf_dir):
     return segment.without_grid_parts(fixtures.boxes(spark, sf_dir), 30, 40).select("img_id", "seq")
 
 
-@query(with_(oracles.PIXELS, "SELECT img_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ink GROUP BY 1"))
+@query(with_(oracles.PIXELS, """SELECT img_id, coalesce(k.x0, a.x0, -1) AS x0, coalesce(k.x1, a.x1, -1) AS x1, coalesce(k.y0, a.y0, -1) AS y0, coalesce(k.y1, a.y1, -1) AS y1, CASE WHEN k.x0 IS NOT NULL THEN 'kept' WHEN a.x0 IS NOT NULL THEN 'all' ELSE 'blank' END AS source
+FROM images LEFT JOIN (SELECT img_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ink WHERE img_id % 4 <> 0 AND x BETWEEN 14 AND 30 GROUP BY 1) k USING (img_id) LEFT JOIN (SELECT img_id, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM ink GROUP BY 1) a USING (img_id)"""))
 def i18_tight_crop(spark, sf_dir):
-    return segment.tight_crop(segment.field_ink(fixtures.pixels(spark, sf_dir)))
+    ink = segment.field_ink(fixtures.pixels(spark, sf_dir))
+    return segment.tight_crop(fixtures.images(spark, sf_dir), ink.where((F.col("img_id") % 4 != 0) & F.col("x").between(14, 30)), ink).fillna(-1)
 
 
 @query(with_(oracles.BOXES, "SELECT img_id, seq, round(CASE WHEN greatest(w, h) <= 8 THEN least(least(24::DOUBLE / w, 24::DOUBLE / h), 1.2::DOUBLE) WHEN h <= 6 AND w >= 8 THEN least(least(24::DOUBLE / w, 24::DOUBLE / h), 2.0::DOUBLE) ELSE least(24::DOUBLE / w, 24::DOUBLE / h) END, 6) AS scale FROM boxes"))
@@ -449,3 +461,67 @@ def s6_report(spark, sf_dir):
 def t10_best_epoch(spark, sf_dir):
     rows = fixtures.table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).cast("int").alias("epoch"), ((F.col("n_nationkey") * 7) % 11).cast("double").alias("accuracy"))
     return glyphs.best_epoch(rows)
+
+
+# --- sources and sinks: written, read again -------------------------------------------------------------------------
+
+
+@query(with_(oracles.FIELDS, "SELECT id AS field_id, field_type, ground_truth, is_comb_box, field_type || '.png' AS image_path, num_chars FROM fields"))
+def s1_s5_metadata(spark, sf_dir):
+    path = fresh_path(spark, "metadata")
+    rows = fixtures.form_fields(spark, sf_dir)
+    files.write_metadata(rows.select(F.col("id").alias("field_id"), "field_type", "ground_truth", "is_comb_box", F.concat("field_type", F.lit(".png")).alias("image_path"), "num_chars"), path)
+    return files.read_metadata(spark, path)
+
+
+@query("SELECT CAST(n_nationkey + 1 AS INT) AS epoch, CAST(1.0 / (n_nationkey + 1) AS DOUBLE) AS loss, CAST((n_nationkey * 7) % 11 AS DOUBLE) AS accuracy FROM nation")
+def s7_history(spark, sf_dir):
+    path = fresh_path(spark, "history")
+    n = F.col("n_nationkey")
+    files.write_history(fixtures.table(spark, sf_dir, "nation").select((n + 1).cast("int").alias("epoch"), (F.lit(1.0) / (n + 1)).alias("loss"), ((n * 7) % 11).cast("double").alias("accuracy")), path)
+    return spark.read.schema("epoch int, loss double, accuracy double").json(path)
+
+
+@query(with_(oracles.LOG, "SELECT substr(sha256(CAST(event_id AS VARCHAR)), 1, 8) AS audit_id, coalesce(field_type, 'Custom') AS field_type, action, CASE WHEN action = 'REJECT' THEN '[REJECTED]' ELSE verified_text END AS verified_text, coalesce(notes, '') AS notes FROM log"))
+def s8_s9_audit(spark, sf_dir):
+    path = fresh_path(spark, "audit")
+    rows = audit.appended(fixtures.audit_events(spark, sf_dir)).select("audit_id", "field_type", "action", "verified_text", "notes")
+    for part in (0, 1):  # two appends, and a line that is no JSON
+        files.write_audit_json(rows.where(F.pmod(F.crc32(F.col("audit_id").cast("binary")), F.lit(2)) == part), path)
+    spark.createDataFrame([("no json",)], "value string").write.mode("append").text(path)
+    return files.read_audit(spark, path).select(*rows.columns)
+
+
+@query(with_(oracles.LOG, "SELECT event_id, action, 'say \"' || verified_text || '\", twice' AS verified_text FROM log"))
+def s14_export(spark, sf_dir):
+    path = fresh_path(spark, "export")
+    rows = fixtures.audit_events(spark, sf_dir).select("event_id", "action", F.concat(F.lit('say "'), "verified_text", F.lit('", twice')).alias("verified_text"))
+    files.write_csv_export(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
+
+
+@query()
+def t3_t4_s2_s13_benchmark(spark, sf_dir):
+    rows = glyphs.benchmark_fields(spark, 150)
+    path = fresh_path(spark, "benchmark")
+    meta = files.build_benchmark(rows, glyphs.field_images(spark, rows), path)
+    images = files.read_images(spark, f"{path}/images").select(F.element_at(F.split("origin", "/"), -1).alias("filename"), "height", "width")
+    return meta.withColumn("filename", F.element_at(F.split("image_path", "/"), -1)).join(images, "filename").select("field_id", "field_type", "ground_truth", "is_comb_box", "num_chars", "height", "width")
+
+
+@query()
+def i20_i22_segmented(spark, sf_dir):
+    rows = glyphs.benchmark_fields(spark, 150)
+    path = fresh_path(spark, "fields")
+    files.build_benchmark(rows, glyphs.field_images(spark, rows), path)
+    images = files.read_images(spark, f"{path}/images").withColumn("id", F.regexp_extract("origin", r"field_(\d+)_", 1).cast("long"))
+    cut = fields.segment(rows.withColumn("cells", F.length("ground_truth")).join(images, "id"), ["field_type", "id"])
+    return cut.select("field_type", "id", "pos", "x", "y", "w", "h", F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), 3).alias("ink"))
+
+
+@query()
+def r1_s10_logits(spark, sf_dir):
+    path = fresh_path(spark, "network")
+    network.save_checkpoint(spark, network.drawn_weights(7), path)
+    read = recognize.hypotheses(network.classify(glyphs.glyph_set(spark, 10), network.load_checkpoint(spark, path)), C.FULL_VOCABULARY)
+    return read.select("label", "sample", "ch", F.round("conf", 3).alias("conf"))

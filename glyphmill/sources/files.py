@@ -37,6 +37,45 @@ def read_image_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
 
 
+def write_images(images: DataFrame, path: str) -> DataFrame:
+    """Writes each row's content under its filename into a folder that all executors share; returns (filename, image_path, n_bytes).
+
+    A file is written under another name and moved, so that a repeated task leaves whole files.
+    """
+    import uuid
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        system, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        system.create_dir(folder, recursive=True)
+        for frame in batches:
+            for name, content in zip(frame.filename, frame.content, strict=True):
+                own = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(own) as out:
+                    out.write(content)
+                system.move(own, f"{folder}/{name}")
+            yield pd.DataFrame({"filename": frame.filename, "image_path": [f"{path}/{n}" for n in frame.filename], "n_bytes": [len(c) for c in frame.content]})
+
+    return images.select("filename", "content").mapInPandas(run, "filename string, image_path string, n_bytes long")
+
+
+def build_benchmark(fields: DataFrame, images: DataFrame, path: str) -> DataFrame:
+    """Writes images and their metadata (CSV) under a folder; returns the metadata."""
+    named = images.select("field_type", "id", "filename")
+    stored = write_images(images, f"{path}/images").select("filename", "image_path")
+    rows = fields.join(named, ["field_type", "id"]).join(stored, "filename")
+    meta = rows.select(F.col("id").alias("field_id"), "field_type", "ground_truth", "is_comb_box", "image_path", F.length("ground_truth").alias("num_chars"))
+    write_metadata(meta, f"{path}/metadata")
+    return read_metadata(fields.sparkSession, f"{path}/metadata")
+
+
+def write_history(history: DataFrame, path: str) -> None:
+    """Training history as JSON lines, a row an epoch."""
+    history.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_report(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)
 
@@ -57,6 +96,10 @@ def append_audit(log: DataFrame, path: str) -> None:
     log.write.mode("append").parquet(path)
 
 
+def write_audit_json(log: DataFrame, path: str) -> None:
+    log.write.mode("append").json(path)
+
+
 def write_csv_export(log: DataFrame, path: str) -> None:
     log.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
