@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents.
+
+Defined cases: documents without text, without a letter or without a recognized language go in the first stage; repeated
+rows of a doc_id stay or go together; other columns pass, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -9,7 +12,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.llm.common import fresh_path, table
+from glyphmill.functions.session import fresh_path
+from glyphmill.llm.common import table
 from glyphmill.llm.decontam import clean
 from glyphmill.llm.langid import learn, recognized
 from glyphmill.llm.ngram_join import one_of_each

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
-import uuid
 import weakref
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.functions.session import importable
+from glyphmill.functions.session import fresh_path, importable
 
-#: Kept files of this process; removed when it ends.
-_WRITTEN: list[tuple[SparkSession, str]] = []
-_OWN_DIR: list[str] = []
 _MEMOS: list[weakref.ref] = []
 #: glibc's call that returns freed memory; other C libraries do without.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -29,23 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; an own temporary one only where none is set (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="glyphmill-"))
-        atexit.register(shutil.rmtree, _OWN_DIR[0], True)
-    return "file://" + _OWN_DIR[0]
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    path = f"{shared_dir(spark)}/glyphmill-{what}-{uuid.uuid4().hex[:12]}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """Cuts lineage: writes ``df`` as Parquet into the shared folder and reads it again."""
     spark = df.sparkSession
@@ -54,21 +30,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            delete(spark, path)
-        except Exception:  # the session may have ended; the folder's owner removes the rest
-            return
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

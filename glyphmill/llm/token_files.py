@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import bucket_tree, fresh_path, id_bounds, partitions, settle
+from glyphmill.functions.session import fresh_path
+from glyphmill.llm.common import bucket_tree, id_bounds, partitions, settle
 from glyphmill.llm.runs import Lists, code_points, pieces_of, ranges
 
 END_ID = 1
