@@ -40,6 +40,8 @@ FIRST, MOST_L, CHECK_COST = 6, 8, 0.1
 BLOCK = 1024
 #: Lists of at least so many members check their pairs on the spot.
 LONG_LIST = 24
+#: Bytes of packed rows that wait to be sent; cells of one table of members and n-grams.
+WAITING, CELLS = 1 << 21, 1 << 22
 #: Ids (8 bytes each) that may be broadcast; beyond, the texts are shuffled.
 MOST_BROADCAST = 2_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -246,41 +248,56 @@ def prefixes(percent: int):
     return run
 
 
-_LISTS = {"list": {"key": "<i8", "tokens": "<i8", "lengths": "<i4", "at": "<i4", "docs": "<i8", "groups": "<i8", "sizes": "<i4", "l": "<i4", "side": "<i4", "whole": "<i8"}}
+_LISTS = {"list": {"key": "<i8", "tokens": "<i8", "lengths": "<i4", "at": "<i4", "docs": "<i8", "groups": "<i8", "sizes": "<i4", "l": "<i4", "side": "<i4", "long": "<i4"}, "set": {"docs": "<i8", "whole": "<i8"}}
 
 
-def candidates(prefix: DataFrame, percent: int, parts: int) -> DataFrame:
+def candidates(prefix: DataFrame, percent: int, parts: int, block: int = BLOCK, long_list: int = LONG_LIST) -> DataFrame:
     """Rows (a, b, sure): pairs of different groups that share at least the smaller L prefix n-grams and can link by their sizes.
 
-    Members of a long list bring all their shared n-grams along: their pairs are checked on the spot, and only links
-    (sure) go on, so that a large group of texts that are alike but not linked makes no rows.
+    Of members of a list of ``long_list`` or more all shared n-grams are sent along, once for each partition: their
+    pairs are checked on the spot, and only links (sure) go on, so that a large group of texts that are alike but not
+    linked makes no rows. Lists of more than ``block`` members are split into blocks.
 
     ``prefix``: the chosen prefixes. Tokens that only one group has in a prefix are left out first; a document with
     none left has no candidates (one with fewer than its L may still meet others of a smaller L).
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = Packer(_LISTS), 0
         for batch in batches:
-            out = Packer(_LISTS)
-            for doc, group, size, level, tokens, times, every in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                every = np.array(every, np.int64).tobytes()
-                if len(out.rows) > 2_000:
-                    yield out.flush()
-                tokens, times = np.array(tokens, np.int64), np.array(times, np.int64)
+            for row in range(batch.num_rows):
+                doc, group, size, level, tokens, times, every = (c[row] for c in batch.columns)
+                doc, group, size, level = doc.as_py(), group.as_py(), size.as_py(), level.as_py()
+                tokens, times, every = np.asarray(tokens.values, np.int64), np.asarray(times.values, np.int64), np.asarray(every.values, np.int64)
                 order = np.lexsort((tokens, times))
                 tokens, times = tokens[order], times[order]
+                common = {"docs": np.int64(doc).tobytes(), "groups": np.int64(group).tobytes(), "sizes": np.int32(size).tobytes(), "l": np.int32(level).tobytes()}
+                checks = set()
                 for at in range(len(tokens)):
-                    blocks = -(-int(times[at]) // BLOCK)
+                    blocks = -(-int(times[at]) // block)
                     own = int(mix(np.array([doc]))[0] % np.uint64(blocks))
+                    is_long = times[at] >= long_list
                     for other in range(blocks):
                         low, high = min(own, other), max(own, other)
                         key = int(mix(np.array([tokens[at] + low * 1_000_003 + high * 7_919], np.int64)).view(np.int64)[0]) if blocks > 1 else int(tokens[at])
-                        out.one("list", int(spread(mix(np.array([key])), parts)[0]), {"key": np.int64(key).tobytes(), "tokens": tokens[: at + 1].tobytes(), "lengths": np.int32(at + 1).tobytes(), "at": np.int32(at).tobytes(), "docs": np.int64(doc).tobytes(), "groups": np.int64(group).tobytes(), "sizes": np.int32(size).tobytes(), "l": np.int32(level).tobytes(), "side": np.int32(own - low if low != high else -1).tobytes(), "whole": every if times[at] >= LONG_LIST else b""})
-            yield out.flush()
+                        target = int(spread(mix(np.array([key])), parts)[0])
+                        out.one("list", target, common | {"key": np.int64(key).tobytes(), "tokens": tokens[: at + 1].tobytes(), "lengths": np.int32(at + 1).tobytes(), "at": np.int32(at).tobytes(), "side": np.int32(own - low if low != high else -1).tobytes(), "long": np.int32(is_long).tobytes()})
+                        held += 8 * (at + 1) + 100
+                        if is_long:
+                            checks.add(target)
+                for target in checks:
+                    out.one("set", target, {"docs": common["docs"], "whole": every.tobytes()})
+                    held += every.nbytes + 100
+                if held > WAITING:
+                    yield out.flush()
+                    held = 0
+        yield out.flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = gathered(batches, _LISTS)["list"]
-        key, docs, groups, sizes, level, side = (joined(got[c], _LISTS["list"][c]) for c in ("key", "docs", "groups", "sizes", "l", "side"))
+        both = gathered(batches, _LISTS)
+        got = both["list"]
+        whole_of = {int(d[0]): w for d, w in zip(both["set"]["docs"], both["set"]["whole"], strict=True)}
+        key, docs, groups, sizes, level, side, long_ = (joined(got[c], _LISTS["list"][c]) for c in ("key", "docs", "groups", "sizes", "l", "side", "long"))
         order = np.argsort(key, kind="stable")
         cuts = np.flatnonzero(np.diff(key[order])) + 1
         rows: list[tuple[int, int, bool]] = []
@@ -288,9 +305,8 @@ def candidates(prefix: DataFrame, percent: int, parts: int) -> DataFrame:
             if len(members) < 2 or (groups[members] == groups[members[0]]).all():
                 continue
             found = _pairs([got["tokens"][m] for m in members], docs[members], groups[members], sizes[members], level[members], side[members], percent)
-            whole = {int(docs[m]): (got["whole"][m], int(sizes[m])) for m in members}
-            sure = bool(len(got["whole"][members[0]]))
-            rows += [(a, b, sure) for a, b in (_links(found, whole, percent) if sure else found)]
+            sure = bool(long_[members[0]])
+            rows += [(a, b, sure) for a, b in (_links(found, {int(docs[m]): (whole_of[int(docs[m])], int(sizes[m])) for m in members}, percent) if sure else found)]
         a, b, c = zip(*rows, strict=True) if rows else ([], [], [])
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.bool_())], ["a", "b", "sure"])
 
@@ -327,13 +343,18 @@ def _pairs(lists: list[np.ndarray], docs, groups, sizes, level, side, percent: i
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     often = np.bincount(where)
     used = often[where] > 1
-    column = np.cumsum(often > 1) - 1
-    table = np.zeros((len(lists), int((often > 1).sum())), np.float32)
-    table[owner[used], column[where[used]]] = 1
+    owner, column = owner[used], (np.cumsum(often > 1) - 1)[where[used]]
+    width = int((often > 1).sum())
+    wide = max(64, CELLS // len(lists))  # n-grams of a table at a time
     out = []
     for cut in range(0, len(lists), 512):
         some = np.arange(cut, min(cut + 512, len(lists)))
-        common = (table[some] @ table.T).astype(np.int32)
+        common = np.zeros((len(some), len(lists)), np.int32)
+        for low in range(0, width, wide):
+            table = np.zeros((len(lists), min(wide, width - low)), np.float32)
+            mine = (column >= low) & (column < low + wide)
+            table[owner[mine], column[mine] - low] = 1
+            common += (table[some] @ table.T).astype(np.int32)
         ok = common == np.minimum(level[some][:, None], level[None, :])
         ok &= (groups[some][:, None] != groups[None, :]) & (docs[some][:, None] < docs[None, :])
         ok &= (100 * np.minimum(sizes[some][:, None], sizes[None, :]) >= percent * np.maximum(sizes[some][:, None], sizes[None, :])) & ((side[some][:, None] != side[None, :]) | (side[some][:, None] < 0))
@@ -361,7 +382,7 @@ def first_links(sets: DataFrame, percent: int) -> DataFrame:
     return checked(pairs, sets, percent)
 
 
-def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, parts: int | None = None, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, parts: int | None = None, every: bool = False, block: int = BLOCK, long_list: int = LONG_LIST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, classes, links): rows (doc_id, n_shingles, mark) of every row; (mark, lead) of every set; links (a, b) between leads.
 
     The links span every component; those within a first group are not all listed, unless ``every`` asks for all links
@@ -387,7 +408,7 @@ def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", n: int =
     stars = sets.sparkSession.createDataFrame([], "a long, b long") if every else written(first_links(sets, percent), "join-stars")
     grouped = sets.join(components(stars).toDF("doc_id", "group"), "doc_id", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group"), F.size("tokens").alias("size"), F.lit(1).alias("l"), "tokens")
     chosen = written(shared_by_groups(grouped, parts, prefixes(percent), _PREFIXES), "join-prefixes")
-    pairs = written(candidates(chosen, percent, parts), "join-pairs")
+    pairs = written(candidates(chosen, percent, parts, block, long_list), "join-pairs")
     found = checked(pairs.where("not sure").select("a", "b"), sets, percent).union(pairs.where("sure").select("a", "b"))
     return docs, classes, stars.union(found).distinct()
 
