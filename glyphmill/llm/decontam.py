@@ -5,29 +5,33 @@ nearby, the surrounding words are aligned with the item, however frequent these
 were all of them in order, could not reach the threshold are passed over. The score is the alignment's, divided by
 that of the whole item against itself: substituted, lost and added words lower it. A pair counts from ``THRESHOLD`` on.
 
-Items are few by nature; they are broadcast after a check of their size (``MOST_ITEM_BYTES``).
+Items are few by nature: they are broadcast with their n-grams, about 80 bytes for each character of text. More than
+``MOST_ITEM_CHARS`` are dealt into groups by a hash, and the texts are read once for each group.
 
 Defined cases: null or empty texts and items match nothing; an item with fewer words than an n-gram matches as a
-whole; repeated rows of a document or item are one; an empty table on either side gives no rows; equal scores of
-several places in a text: the first place counts.
+whole; texts of any length are read whole, and places in them are aligned in pieces that overlap by more than an item;
+repeated rows of a document or item are one; an empty table on either side gives no rows; equal scores of several
+places in a text: the first place counts; other columns are ignored by ``contaminated``, whatever their names, and kept
+by ``clean``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import settle
+from glyphmill.llm.common import settle, written
 
 WORD = re.compile(r"[^\W_]+")
 N, SHARED, THRESHOLD = 3, 2, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-MOST_ITEM_BYTES = 256 << 20
+MOST_ITEM_CHARS = 2 << 20
 #: Words of places that wait for their alignment, and table cells of one alignment, at a time.
 WAITING, CELLS = 1 << 20, 1 << 20
 
@@ -140,14 +144,26 @@ def _windows(at: np.ndarray, q: np.ndarray, size: int, n: int, shared: int) -> I
             low += 4 * size
 
 
-def contaminated(df: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = N, shared: int = SHARED, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(df: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = N, shared: int = SHARED, threshold: float = THRESHOLD, most_chars: int = MOST_ITEM_CHARS) -> DataFrame:
     """Rows (doc_id, item_id, score, start, end): the place is in characters of the text."""
-    spark = df.sparkSession
-    few = items.select(F.col(item_key).cast("long"), F.col(item_text).cast("string"))
-    size = few.agg(F.sum(F.length(item_text) + 16)).first()[0] or 0
-    if size > MOST_ITEM_BYTES:
-        raise ValueError(f"the items have {size} characters; at most {MOST_ITEM_BYTES} can be broadcast, pass them in several calls")
-    sent = spark.sparkContext.broadcast(Items([tuple(r) for r in few.collect()], n))
+    few = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    size = few.agg(F.sum(F.length("text") + 16)).first()[0] or 0
+    groups = -(-size // most_chars)
+    if groups <= 1:
+        return _first_places(_places(df, few, key, text, n, shared, threshold))
+    found = [written(_places(df, few.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k), key, text, n, shared, threshold), "contaminated") for k in range(groups)]
+    return _first_places(reduce(DataFrame.union, found))
+
+
+def _first_places(scored: DataFrame) -> DataFrame:
+    """Of each document and item the best place, the first among equals."""
+    first = F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "start", "end"))
+    return scored.withColumn("__rank", first).where("__rank = 1").drop("__rank")
+
+
+def _places(df: DataFrame, few: DataFrame, key: str, text: str, n: int, shared: int, threshold: float) -> DataFrame:
+    """Rows (doc_id, item_id, score, start, end) of all places that reach the threshold."""
+    sent = df.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in few.collect()], n))  # at most most_chars of text
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
@@ -182,9 +198,7 @@ def contaminated(df: DataFrame, items: DataFrame, *, key: str = "doc_id", text:
                             waiting, held = {}, 0
             yield _scored(book, waiting, threshold)
 
-    scored = df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(find, "doc_id long, item_id long, score double, start long, end long")
-    first = F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "start", "end"))
-    return scored.withColumn("__rank", first).where("__rank = 1").drop("__rank")
+    return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(find, "doc_id long, item_id long, score double, start long, end long")
 
 
 def _scored(book: Items, waiting: dict[int, list[tuple[int, np.ndarray, list[tuple[int, int]]]]], threshold: float) -> pa.RecordBatch:
