@@ -1,11 +1,15 @@
 """Document fingerprints: quartile bucket digests.
 
-A text's UTF-8 bytes are cut into all byte triplets of a five-byte window's first byte; each is hashed into one of
+A text's UTF-8 bytes are cut into all byte triplets of a five-byte window's first byte (six); each is hashed into one of
 ``BUCKETS`` counters. The counters' quartiles turn each counter into two bits. The digest is the length's code and
 these bits in hexadecimal. Two digests differ by a bounded score: the distances of the codes (0 to 3, the largest
-counting double, as 6) and of the lengths (at most ``LENGTH_MOST``). Likeness is 1 - score / largest score.
+counting double, as 6) and of the lengths (at most ``LENGTH_MOST``). Likeness is 1 - score / the score that digests of
+independent codes have on average, 0 at least.
 
 Defined cases: null or empty text: all counters zero, every code 0, length code 0. Equal texts have equal digests.
+Repeated rows are kept, each with the row after it (equal keys follow their texts); a null key comes first; a single row
+follows itself; an empty table gives no rows; texts may be of any length; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -74,8 +78,14 @@ def most_difference(buckets: int = BUCKETS) -> int:
     return 6 * buckets + LENGTH_MOST
 
 
+def usual_difference(buckets: int = BUCKETS) -> float:
+    """The mean score of two digests whose codes are even and independent and whose lengths differ most."""
+    codes = np.arange(4)
+    return buckets * float(_COST[np.abs(codes[:, None] - codes)].mean()) + LENGTH_MOST
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    return 1 - difference(a, b) / most_difference(len(a) - 1)
+    return max(0.0, 1 - difference(a, b) / usual_difference(len(a) - 1))
 
 
 def from_hex(text: str) -> np.ndarray:
