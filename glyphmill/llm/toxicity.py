@@ -7,7 +7,8 @@ holds words and word beginnings that labelled toxic documents have far more ofte
 lexicon, folds 3 and 4 the trees, and a quarter of these the calibration alone.
 
 Defined cases: null and empty texts have all features 0 and get a score like any other; with no labelled rows of both
-classes every score is 0; a document with several labels takes the largest; repeated rows are kept.
+classes every score is 0; a document with several labels takes the largest; repeated rows are kept; an empty table of
+documents gives no rows; texts are read whole, whatever their length; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

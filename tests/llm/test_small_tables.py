@@ -1,5 +1,6 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names."""
 
+import functools
 import hashlib
 import zlib
 
@@ -9,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from glyphmill.llm import decontam, digests, html_text, langid, ngram_join, repeats, token_files, toxicity, url_filter
+from glyphmill.llm.components import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -129,6 +131,30 @@ def test_candidates_of_a_document_with_fewer_shared_ngrams_than_its_level(spark)
     assert [(r.a, r.b) for r in ngram_join.candidates(prefix, 80, 2).collect()] == [(1, 2)]
 
 
+@pytest.mark.parametrize(("block", "long_list"), [(8, 4), (8, 10**9), (1024, 4)])
+def test_join_of_split_and_checked_lists(spark, monkeypatch, block, long_list):
+    monkeypatch.setattr(ngram_join, "FIRST", 0)
+    rows = overlapping_sets(9, 120)
+    links = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), n=1, percent=80, block=block, long_list=long_list)[2]
+    assert {(r.a, r.b) for r in links.collect()} == brute_links(rows, 1, 80)
+
+
+def test_pairs_are_the_same_by_slices(monkeypatch):
+    rng = np.random.default_rng(6)
+    lists = [np.unique(rng.integers(0, 400, 60)) for _ in range(90)]
+    other = [np.arange(90), np.arange(90), np.full(90, 60), rng.integers(4, 12, 90), np.full(90, -1)]
+    whole = ngram_join._pairs(lists, *other, 80)
+    monkeypatch.setattr(ngram_join, "CELLS", 1)
+    assert whole and ngram_join._pairs(lists, *other, 80) == whole
+
+
+def test_components_of_paths_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200), (5, 5)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_join_keeps_one_of_each_with_all_columns(docs):
     got = ngram_join.one_of_each(docs)
     assert got.columns == docs.columns
@@ -176,16 +202,41 @@ def test_texts_without_repeats_keep_columns(docs):
     assert 6 not in rows and rows[5].text == LONG and rows[1].text == ROWS[0][1] and rows[3].text is None
 
 
-def test_digests(docs):
+def plain_digest(text):
+    """Length code, then the quartile codes of hashed byte triplets, one by one."""
+    import math
+
+    data, counts = text.encode(), [0] * 256
+    for i in range(len(data)):
+        for number, (j, k) in enumerate([(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]):
+            if i + k < len(data):
+                mixed = ((data[i] * 40503 + data[i + j] * 25931) ^ (data[i + k] * 60493 + number * 7919)) % 65536
+                counts[(mixed * 40503 % 65536) >> 8] += 1
+    quartiles = [sorted(counts)[k] for k in (63, 127, 191)]
+    return min(255, round(4 * math.log2(len(data) + 1))), [sum(c > q for q in quartiles) for c in counts]
+
+
+def plain_likeness(a, b):
+    cost = [0, 1, 2, 6]
+    usual = 256 * sum(cost[abs(x - y)] for x in range(4) for y in range(4)) / 16 + 12
+    return max(0.0, 1 - (sum(cost[abs(x - y)] for x, y in zip(a[1], b[1], strict=True)) + min(12, abs(a[0] - b[0]))) / usual)
+
+
+def test_digests(spark, docs):
     rows = sorted(digests.fingerprints(docs).collect(), key=lambda r: (r.doc_id is not None, r.doc_id))
     ordered = sorted(((i, t or "") for i, t, *_ in ROWS), key=lambda r: (r[0] is not None, r[0], r[1]))
     assert [r.doc_id for r in rows] == [i for i, _ in ordered]
+    digest = functools.cache(plain_digest)
+    shown = lambda d: f"{d[0]:02x}" + "".join(f"{d[1][k] << 6 | d[1][k + 1] << 4 | d[1][k + 2] << 2 | d[1][k + 3]:02x}" for k in range(0, 256, 4))
     for k, (r, (_, text)) in enumerate(zip(rows, ordered, strict=True)):
-        edited = digests.edited_text(text, ordered[(k + 1) % len(ordered)][1])
+        following = ordered[(k + 1) % len(ordered)][1]
+        n = len(text) // 4
+        edited = text[: len(text) - n] + following[:n]
         assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(text)
-        assert r.fingerprint == digests.to_hex(digests.digest(text.encode()))
-        a, b = digests.from_hex(r.fingerprint), digests.from_hex(r.edited_fingerprint)
-        assert r.near_edited == digests.likeness(a, b) and 0 <= r.near_next <= 1
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(digest(text)), shown(digest(edited)))
+        assert r.near_edited == pytest.approx(plain_likeness(digest(text), digest(edited))) and r.near_next == pytest.approx(plain_likeness(digest(text), digest(following)))
+    one = digests.fingerprints(spark.createDataFrame([(1, "alone here")], "doc_id long, text string")).first()
+    assert one.near_next == 1.0
 
 
 def test_digest_counts_by_hand():
@@ -349,6 +400,39 @@ def test_stretched_and_dotted_insults_are_hidden_hits(token):
     assert not toxicity.word_class("a" * 60) & toxicity.HIDDEN
 
 
+def test_toxicity_features_of_a_text():
+    reader = toxicity.Reader({"grob*": 3.0})
+    got = dict(zip(toxicity.FEATURES, reader.features("YOU are an idiot, st*pid grobian! Why? OK i.d.i.o.t"), strict=True))
+    assert got["hits_log"] == pytest.approx(np.log(4)) and got["hit_share"] == pytest.approx(3 / 9) and got["distinct_hits"] == 3
+    assert got["hidden_share"] == pytest.approx(2 / 9) and got["hits_near_you"] == pytest.approx(2 / 3) and got["you_share"] == pytest.approx(1 / 9)
+    assert got["shouted"] == pytest.approx(1 / 9) and got["exclamations"] == pytest.approx(1 / 51) and got["questions"] == pytest.approx(1 / 51)
+    assert got["capitals"] == pytest.approx(6 / 35) and got["learned_share"] == pytest.approx(1 / 9) and got["learned_weight"] == pytest.approx(3 / 9)
+    assert toxicity.Reader({}).features(None) == toxicity.Reader({}).features("") == [0.0] * len(toxicity.FEATURES)
+
+
+def test_the_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(0)
+    x = np.round(rng.random((120, 3)), 1)
+    y = ((x[:, 1] > 0.4) ^ (rng.random(120) < 0.1)).astype(int)
+    tree = toxicity.Boosted(trees=1, depth=1, bins=20, least=5).fit(x, y)
+    p = y.mean()
+    grad, hess = y - p, np.full(120, p * (1 - p))
+    gain = lambda j, c: sum(grad[s].sum() ** 2 / (hess[s].sum() + 1) for s in (x[:, j] <= c, x[:, j] > c))
+    all_ = [(gain(j, c), j, c) for j in range(3) for c in np.unique(x[:, j]) if 5 <= (x[:, j] <= c).sum() <= 115]
+    feature, cut, value = tree.nodes[0]
+    assert gain(feature[0], cut[0]) == pytest.approx(max(all_)[0])
+    raw = tree.raw(x)
+    assert raw == pytest.approx(tree.base + np.where(x[:, feature[0]] > cut[0], value[1], value[0]))
+
+
+def test_isotonic_equals_the_least_squares_rising_fit():
+    rng = np.random.default_rng(1)
+    score, y = np.sort(rng.random(12)), rng.integers(0, 2, 12)
+    x, level = toxicity.isotonic(score, y)
+    fit = [max(min(np.mean(y[a : b + 1]) for b in range(k, 12)) for a in range(k + 1)) for k in range(12)]  # max-min formula
+    assert sorted(set(np.round(fit, 9))) == sorted(set(np.round(level, 9)))
+
+
 def test_isotonic_is_rising():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0, 1, 0, 1, 1]))
     assert (np.diff(y) > 0).all() and (np.diff(x) > 0).all()
@@ -380,6 +464,46 @@ def test_decontamination_finds_edited_copies_whose_item_has_many_other_grams(spa
     assert set(got) == {(0, 0), (1, 1), (2, 2)} and all(0.7 < v < 0.9 for v in got.values())
 
 
+def test_decontamination_in_groups_of_items_and_recall_of_edited_copies(spark):
+    """Nine of ten copies or more are found with a fifth of the words replaced, lost or added; groups of items change nothing."""
+    rng = np.random.default_rng(8)
+    items, docs = [], []
+    for k in range(60):
+        item = prose(5000 + k, int(rng.integers(25, 90))).split()
+        copy = []
+        for w in item:
+            edit = rng.random()
+            copy += [] if edit < 0.05 else ["new"] if edit < 0.15 else [w, "more"] if edit < 0.2 else [w]
+        items.append((k, " ".join(item)))
+        docs.append((k, prose(6000 + k, 80) + " " + " ".join(copy) + " " + prose(7000 + k, 80)))
+    docs += [(1000 + k, prose(8000 + k, 200)) for k in range(60)]
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = {tuple(r) for r in decontam.contaminated(left, right).collect()}
+    assert sum((k, k) in {r[:2] for r in one} for k in range(60)) >= 54 and all(r[0] < 1000 for r in one)
+    assert {tuple(r) for r in decontam.contaminated(left, right, most_chars=4_000).collect()} == one
+
+
+def test_places_equal_an_alignment_with_the_whole_text(spark):
+    """Seeds and windows lose nothing: each score is that of the item's alignment with all words of the text."""
+    rng = np.random.default_rng(3)
+    items = [(k, prose(9000 + k, 30)) for k in range(4)]
+    docs = []
+    for k in range(40):
+        words = prose(9100 + k, 60).split()
+        item = items[k % 4][1].split()
+        low = int(rng.integers(0, 8))
+        words[20:20] = [w if rng.random() > 0.15 else "other" for w in item[low:]]
+        docs.append((k, " ".join(words)))
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            score = brute_alignment(item.split(), text.split()) / (2 * len(item.split()))
+            if score >= decontam.THRESHOLD:
+                want[d, i] = score
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 25
+
+
 def brute_alignment(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a, 1):
@@ -448,7 +572,7 @@ def _plain_urls(rows):
 
 
 def test_url_models_equal_a_plain_version(spark):
-    urls = ["http://" + u for u in random_urls(3, 150, 3)] + ["http://shop.example.net/x", "http://blog.org/y", None, "q", "http://ünï.org/é"] * 2
+    urls = ["http://" + u for u in random_urls(3, 150, 3)] + ["http://shop.example.net/x", "http://blog.org/y", "http://long.org/" + "abc" * 2000, None, "q", "http://ünï.org/é"] * 2
     got = url_filter.filter_urls(spark.createDataFrame([(k, u, "x", 0) for k, u in enumerate(urls)], "page_id long, url string, verdict string, n int")).collect()
     counts, totals, probability, ratio, bodies, tuning = _plain_urls(got)
     free = [r for r in got if r.rule is None]
@@ -610,6 +734,48 @@ def test_html_density_decides_without_an_article_tag(tag):
         assert html_text.extract(page) == " ".join([paragraphs[0], *paragraphs])
 
 
+def test_pipeline_stages_equal_plain_versions(spark, tmp_path):
+    """Each stage on its own input against brute force, and run() as the stages one after the other."""
+    import corpus_pipeline
+    from glyphmill.llm import pieces
+
+    english = [f"the cat and the dog of that house number {k} with them " for k in range(30)]
+    item = prose(700, 40)
+    rows = [(k, english[k] + prose(800 + k, 40), "en") for k in range(25)]
+    rows += [(30, rows[0][1], "en"), (31, rows[1][1] + " and one more", "en"), (32, rows[2][1] + " " + prose(900, 30), None), (33, "12 34", None), (34, None, None), (35, "", "de")]
+    rows += [(36, prose(901, 30) + " " + item, "en"), (37, english[3] + prose(803, 40)[:150] + prose(902, 60), "en")]
+    rows = [(i, t, lang, "src", None if t is None else len(t), 1.5) for i, t, lang in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    now, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        kept[name] = stage(spark, now, str(tmp_path))
+        if name != "sentence_pieces":
+            assert kept[name].columns == docs.columns
+        before, now = {r.doc_id: r for r in now.collect()}, spark.createDataFrame(kept[name].collect(), kept[name].schema)
+        after = {r.doc_id: r for r in now.collect()}
+        if name == "language_id":
+            assert set(before) - set(after) >= {33, 34, 35} and set(range(25)) <= set(after)
+        elif name == "near_duplicates":
+            want = brute_components([(i, r.text) for i, r in before.items()], 5, 80)
+            assert set(after) == {i for i in before if want[i][1] == i} and {30, 31} & set(after) == set()
+        elif name == "repeated_strings":
+            want = brute_repeats([(i, r.text) for i, r in before.items()], 100)
+            assert {i: hashlib.sha256(r.text.encode()).hexdigest() for i, r in after.items()} == {i: w[2] for i, w in want.items() if w[0] > w[1]}
+            assert all(r.n_chars == len(r.text) for r in after.values()) and any(w[1] for w in want.values())
+        elif name == "decontamination":
+            assert set(before) - set(after) == {36}
+        else:
+            codec = pieces.Codec(public_tokenizers.path(corpus_pipeline.PIECES), 4)
+            assert all(codec.decode(np.array(r.ids)) == before[i].text for i, r in after.items()) and set(after) == set(before)
+    whole = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert whole == {r.doc_id: r.ids for r in kept["sentence_pieces"].collect()}
+    spark.createDataFrame([], docs.schema).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_empty_documents(docs):
     none = docs.limit(0)
     assert ngram_join.join_components(none).count() == repeats.repeats(none).count() == digests.fingerprints(none).count() == 0
