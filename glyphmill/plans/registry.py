@@ -85,7 +85,7 @@ def p7_p8_split_and_badge(spark, sf_dir):
 _LABEL = "CASE user_id % 6 WHEN 0 THEN 'Date Field' WHEN 1 THEN 'PIN Code (######)' WHEN 2 THEN 'Short Code' WHEN 3 THEN 'Name' WHEN 4 THEN 'pin' ELSE 'UPDATE' END"
 
 
-@query(f"SELECT label, CASE WHEN contains(lower(label), 'date') THEN 'date' WHEN contains(lower(label), 'pin') THEN 'pin' WHEN contains(lower(label), 'code') THEN 'code' ELSE 'other' END AS kind, CASE WHEN contains(lower(label), 'date') THEN '0123456789/-.' WHEN contains(lower(label), 'pin') THEN '0123456789' ELSE '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ/-.' END AS allowed, CASE WHEN contains(lower(label), 'date') THEN 10 WHEN contains(lower(label), 'pin') THEN 6 ELSE 8 END AS cells, count(*) AS n FROM (SELECT {_LABEL} AS label FROM events) GROUP BY 1, 2, 3, 4")
+@query(f"SELECT label, CASE WHEN contains(lower(label), 'date') THEN 'date' WHEN contains(lower(label), 'pin') THEN 'pin' WHEN contains(lower(label), 'code') THEN 'code' ELSE 'other' END AS kind, CASE WHEN contains(lower(label), 'date') THEN '0123456789/-.' WHEN contains(lower(label), 'pin') THEN '0123456789' ELSE '0123456789/-.ABCDEFGHIJKLMNOPQRSTUVWXYZ' END AS allowed, CASE WHEN contains(lower(label), 'date') THEN 10 WHEN contains(lower(label), 'pin') THEN 6 ELSE 8 END AS cells, count(*) AS n FROM (SELECT {_LABEL} AS label FROM events) GROUP BY 1, 2, 3, 4")
 def p9_vocabulary(spark, sf_dir):
     rows = fixtures.table(spark, sf_dir, "events").select(F.expr(_LABEL).alias("label"))
     chars, length = catalog.vocabulary_for(F.col("label"))
