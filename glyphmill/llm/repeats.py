@@ -8,6 +8,10 @@ doc_id, or earlier in the same one. All strings are judged on the input.
    unique.
 2. Whole texts that equal an earlier one are removed as such. Around each repeated anchor of the others, the bytes of
    its strings go to the anchor's partition; pieces that are the same within a batch go once, with the earliest place.
+   An anchor that occurs more than ``hot`` times has its strings dealt in several ranges of the anchor's place in them,
+   the more the hotter, down to one string alone. A range goes where the hash of the bytes that all its strings share
+   says, so equal strings still meet, and its equal pieces go once from each task. So no more than ``hot`` pieces a string
+   of the anchor, or one a task, share a key, however many documents hold the anchor.
 3. There the strings' suffixes are ordered by two-stage sorting (see ``suffixes``), neighbours with a common prefix of
    ``length`` bytes are one string, and all its places but the earliest are repeats.
 4. The repeats' spans return to their documents.
@@ -36,7 +40,10 @@ from glyphmill.llm.suffixes import common_prefix_reaches, suffix_order
 NULL_ID = -(2**63)
 LENGTH, GRAM = 100, 32
 CHUNK_BYTES, SORT_BYTES, BLOCK = 1 << 20, 1 << 21, 1 << 20
-MANY = -1
+#: Occurrences for each range that an anchor's strings are dealt in, and pieces that a task holds back to merge them.
+HOT, HELD = 1_024, 100_000
+#: An anchor's number is listed with the count of its ranges in the low bits.
+_RANGE_BITS = 16
 _PLACE_BITS = np.uint64(24)
 _ODD = 0x9E3779B97F4A7C15 | 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -58,9 +65,14 @@ def rolling(text: np.ndarray, width: int) -> np.ndarray:
     n = len(text) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(text))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up)])
-    return mix((total[width:] - total[:-width]) * down[:n])
+    return stretch_hashes(text, np.arange(n), np.arange(width, len(text) + 1))
+
+
+def stretch_hashes(text: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A mixed hash of the bytes between each two places."""
+    up, down = _powers(len(text) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[:-1])])
+    return mix((total[high] - total[low]) * down[low])
 
 
 def anchors(text: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,11 +126,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa
 
 # --- 1. repeated anchors ----------------------------------------------------------------------------------------
 
-_COUNT = {"anchor": {"hashes": "<u8", "number": "<i4", "chunk": "<i8"}, "chunk": {"docs": "<i8", "sizes": "<i8", "counts": "<i4", "marks": "S32", "number": "<i4", "chunk": "<i8"}, "again": {"number": "<i4", "chunk": "<i8"}}
+_COUNT = {
+    "anchor": {"hashes": "<u8", "number": "<i4", "times": "<i4", "chunk": "<i8"},  # ~number of the first where a chunk has several; times of those
+    "chunk": {"docs": "<i8", "sizes": "<i8", "counts": "<i4", "marks": "S32", "number": "<i4", "leads": "<i4", "chunk": "<i8"},
+    "again": {"number": "<i4", "ranges": "<i4", "chunk": "<i8"},
+}
 
 
-def repeated_anchors(rows: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
-    """Rows (doc_id, mark, n_bytes, anchors): which of a document's anchors, by number, occur elsewhere, too."""
+def repeated_anchors(rows: DataFrame, length: int, gram: int, parts: int, hot: int = HOT) -> DataFrame:
+    """Rows (doc_id, mark, n_bytes, anchors): which of a document's anchors occur elsewhere, too, each as its number and, in the low bits, in how many ranges its strings are dealt."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
@@ -131,32 +147,40 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, parts: int) -> Dat
             first = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
             many = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1] > 1 if len(ranked) else first
             keep = first | ~many
-            number = np.where(many, MANY, order)[keep].astype("<i4")
+            group = np.cumsum(first) - 1
+            times = np.bincount(group)[group][keep].astype("<i4") if len(ranked) else order
+            lead = order[first][group]
+            number = np.where(many, ~order, order)[keep].astype("<i4")
             target = spread(ranked[keep], parts)
             by = np.argsort(target, kind="stable")
             cuts = np.flatnonzero(np.diff(target[by])) + 1
             for some in np.split(by, cuts) if len(by) else ():
-                out.one("anchor", int(target[some[0]]), {"hashes": ranked[keep][some].astype("<u8").tobytes(), "number": number[some].tobytes(), "chunk": np.int64(task + k).tobytes()})
+                out.one("anchor", int(target[some[0]]), {"hashes": ranked[keep][some].astype("<u8").tobytes(), "number": number[some].tobytes(), "times": times[some][number[some] < 0].tobytes(), "chunk": np.int64(task + k).tobytes()})
             sizes = np.diff(np.concatenate([[0], ends]))
             counts = np.bincount(np.searchsorted(ends, place, side="right"), minlength=len(ends)).astype("<i4")
-            out.one("chunk", int(spread(mix(np.array([task + k])), parts)[0]), {"docs": np.array(piece.column(0).to_pylist(), "<i8").tobytes(), "sizes": sizes.astype("<i8").tobytes(), "counts": counts.tobytes(), "marks": np.array(piece.column(1).to_pylist(), "S32").tobytes(), "number": np.sort(order[many]).astype("<i4").tobytes(), "chunk": np.int64(task + k).tobytes()})
+            several = np.argsort(order[many])
+            out.one("chunk", int(spread(mix(np.array([task + k])), parts)[0]), {"docs": np.array(piece.column(0).to_pylist(), "<i8").tobytes(), "sizes": sizes.astype("<i8").tobytes(), "counts": counts.tobytes(), "marks": np.array(piece.column(1).to_pylist(), "S32").tobytes(), "number": order[many][several].astype("<i4").tobytes(), "leads": lead[many][several].astype("<i4").tobytes(), "chunk": np.int64(task + k).tobytes()})
             yield out.flush()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = gathered(batches, _COUNT)
         hashes, number = joined(got["anchor"]["hashes"], "<u8"), joined(got["anchor"]["number"], "<i4")
         chunk = np.repeat(joined(got["anchor"]["chunk"], "<i8"), [len(n) for n in got["anchor"]["number"]])
+        times = np.ones(len(number), np.int64)
+        times[number < 0] = joined(got["anchor"]["times"], "<i4")
         order = np.argsort(hashes, kind="stable")
-        hashes, number, chunk = hashes[order], number[order], chunk[order]
+        hashes, number, chunk, times = hashes[order], number[order], chunk[order], times[order]
         out = Packer(_COUNT)
         if len(hashes):
             group = np.concatenate([[0], np.cumsum(hashes[1:] != hashes[:-1])])
-            again = (np.bincount(group, np.where(number == MANY, 2, 1))[group] > 1) & (number != MANY)
-            number, chunk = number[again], chunk[again]
+            total = np.bincount(group, times).astype(np.int64)[group]
+            ranges = np.clip(-(-total // hot), 1, length - gram + 1).astype("<i4")
+            again = (total > 1) & ((number >= 0) | (ranges > 1))
+            number, chunk, ranges = number[again], chunk[again], ranges[again]
             order = np.argsort(chunk, kind="stable")
-            number, chunk = number[order], chunk[order]
+            number, chunk, ranges = number[order], chunk[order], ranges[order]
             for some in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1) if len(chunk) else ():
-                out.one("again", int(spread(mix(chunk[some[:1]]), parts)[0]), {"number": number[some].tobytes(), "chunk": chunk[some[:1]].tobytes()})
+                out.one("again", int(spread(mix(chunk[some[:1]]), parts)[0]), {"number": number[some].tobytes(), "ranges": ranges[some].tobytes(), "chunk": chunk[some[:1]].tobytes()})
         for k in range(len(got["chunk"]["chunk"])):
             own = {c: got["chunk"][c][k].tobytes() for c in _COUNT["chunk"]}
             out.one("chunk", int(spread(mix(got["chunk"]["chunk"][k]), parts)[0]), own)
@@ -164,20 +188,26 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, parts: int) -> Dat
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = gathered(batches, _COUNT)
-        again: dict[int, list[np.ndarray]] = {}
-        for chunk, number in zip(got["again"]["chunk"], got["again"]["number"], strict=True):
-            again.setdefault(int(chunk[0]), []).append(number)
+        again: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for chunk, number, ranges in zip(*(got["again"][n] for n in ("chunk", "number", "ranges")), strict=True):
+            again.setdefault(int(chunk[0]), []).append((number, ranges))
         c = got["chunk"]
         for k in range(len(c["chunk"])):
-            found = np.sort(np.concatenate([c["number"][k], *again.get(int(c["chunk"][k][0]), [])]))
+            number, ranges = (np.concatenate(x) for x in zip((np.zeros(0, "<i4"),) * 2, *again.get(int(c["chunk"][k][0]), []), strict=True))
             ends = np.cumsum(c["counts"][k])
+            dealt = np.zeros(ends[-1] if len(ends) else 0, np.int64)  # in how many ranges; 0 for anchors that occur once
+            dealt[number[number >= 0]] = ranges[number >= 0]
+            by_lead = np.ones(len(dealt), np.int64)
+            by_lead[~number[number < 0]] = ranges[number < 0]
+            dealt[c["number"][k]] = by_lead[c["leads"][k]]
+            found = np.flatnonzero(dealt)
             owner = np.searchsorted(ends, found, side="right")
             cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(ends)))])
-            own = found - (ends - c["counts"][k])[owner]
-            yield pa.record_batch([pa.array(c["docs"][k]), pa.array([m.decode() for m in c["marks"][k].tolist()], pa.string()), pa.array(c["sizes"][k]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own.astype(np.int32)))], ["doc_id", "mark", "n_bytes", "anchors"])
+            own = (found - (ends - c["counts"][k])[owner]) << _RANGE_BITS | dealt[found]
+            yield pa.record_batch([pa.array(c["docs"][k]), pa.array([m.decode() for m in c["marks"][k].tolist()], pa.string()), pa.array(c["sizes"][k]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own))], ["doc_id", "mark", "n_bytes", "anchors"])
 
     counted = exchanged(rows.mapInArrow(deal, schema_of(_COUNT)), parts, count, schema_of(_COUNT))
-    return exchanged(counted, parts, collect, "doc_id long, mark string, n_bytes long, anchors array<int>")
+    return exchanged(counted, parts, collect, "doc_id long, mark string, n_bytes long, anchors array<long>")
 
 
 # --- 2. and 3. strings around them ------------------------------------------------------------------------------
@@ -194,39 +224,61 @@ def repeated_spans(rows: DataFrame, length: int, gram: int, parts: int) -> DataF
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
-        pack = pa.Codec("zstd", compression_level=1)
+        out = Packer(_SORT)
+        held: dict[bytes, tuple[int, int, int, int]] = {}  # pieces of hot anchors: (doc, mark, start, key) of the earliest
         for piece, text, ends in chunks(batches, 2):
-            out = Packer(_SORT)
             raw = text.tobytes()
             place, first, last, hashes = anchors(text, ends, length, gram)
-            owner = np.searchsorted(ends, place, side="right")
-            before = np.searchsorted(owner, np.arange(len(ends)))
-            listed = piece.column(3)
-            chosen = np.concatenate([np.asarray(x.values) + b if x.is_valid else np.zeros(0, np.int64) for x, b in zip(listed, before, strict=True)]).astype(np.int64)
-            docs, marks = np.array(piece.column(0).to_pylist(), np.int64), short_mark(piece.column(1).to_pylist())
-            begin = ends - np.diff(np.concatenate([[0], ends]))
-            rank = np.lexsort((first[chosen], marks[owner[chosen]], docs[owner[chosen]]))
+            before = np.searchsorted(np.searchsorted(ends, place, side="right"), np.arange(len(ends)))
+            listed = [(np.asarray(x.values) if x.is_valid else np.zeros(0, np.int64), b) for x, b in zip(piece.column(3), before, strict=True)]
+            chosen = np.concatenate([(x >> _RANGE_BITS) + b for x, b in listed]).astype(np.int64)
+            ranges = np.concatenate([x & ((1 << _RANGE_BITS) - 1) for x, _ in listed]).astype(np.int64)
+            which, low, high, key = pieces_of(text, place[chosen], first[chosen], last[chosen], hashes[chosen], ranges, length, gram)
+            hot = ranges[which] > 1
+            owner = np.searchsorted(ends, low, side="right")
+            begin = (ends - np.diff(np.concatenate([[0], ends])))[owner]
+            doc, mark = np.array(piece.column(0).to_pylist(), np.int64)[owner], short_mark(piece.column(1).to_pylist())[owner]
+            start, stop = low - begin, high + length - begin
+            at = list(zip(doc.tolist(), mark.tolist(), start.tolist(), key.tolist(), strict=True))
             seen: dict[bytes, int] = {}
-            sent, spans = [], []
-            for c in chosen[rank].tolist():
-                own = raw[first[c] : last[c] + length]
-                if own in seen and (docs[owner[seen[own]]], marks[owner[seen[own]]], first[seen[own]]) != (docs[owner[c]], marks[owner[c]], first[c]):
-                    spans.append(c)
-                elif own not in seen:
-                    seen[own] = c
+            sent, spans, replaced = [], [], []
+            for c in np.lexsort((start, mark, doc)).tolist():
+                own = raw[low[c] : high[c] + length]
+                lead = seen.setdefault(own, c)
+                if lead != c:
+                    if at[lead][:3] != at[c][:3]:
+                        spans.append(c)
+                elif not hot[c]:
                     sent.append(c)
+                elif (old := held.setdefault(own, at[c]))[:3] < at[c][:3]:
+                    spans.append(c)
+                elif old[:3] > at[c][:3]:
+                    held[own] = at[c]
+                    replaced.append((*old[:3], old[2] + len(own)))
             spans, sent = np.array(spans, np.int64), np.array(sent, np.int64)
-            o = owner[spans]
-            out.add("span", spread(mix(docs[o]), parts), {"docs": docs[o], "marks": marks[o], "starts": first[spans] - begin[o], "ends": last[spans] + length - begin[o]})
-            target = spread(hashes[sent], parts)
-            by = np.lexsort((hashes[sent], target))
-            for some in np.split(by, np.flatnonzero(np.diff(target[by])) + 1) if len(by) else ():
-                s = sent[some]
-                body = b"".join(raw[first[c] : last[c] + length] for c in s.tolist())
-                o = owner[s]
-                columns = {"lengths": (last[s] + length - first[s]).astype("<i4"), "hashes": hashes[s], "docs": docs[o], "marks": marks[o], "starts": first[s] - begin[o]}
-                out.one("piece", int(target[some[0]]), {"raw": pack.compress(body, asbytes=True)} | {n: np.ascontiguousarray(v, _SORT["piece"][n]).tobytes() for n, v in columns.items()})
+            gone = [np.array(x, t) for x, t in zip(zip(*replaced, strict=True), ("<i8", "<u8", "<i8", "<i8"), strict=True)] if replaced else [np.zeros(0, t) for t in ("<i8", "<u8", "<i8", "<i8")]
+            columns = merged(*(np.concatenate([x[spans], y]) for x, y in zip((doc, mark, start, stop), gone, strict=True)))
+            out.add("span", spread(mix(columns[0]), parts), dict(zip(("docs", "marks", "starts", "ends"), columns, strict=True)))
+            send(out, [raw[low[c] : high[c] + length] for c in sent.tolist()], key[sent], doc[sent], mark[sent], start[sent])
+            if len(held) > HELD:
+                send_held(out, held)
             yield out.flush()
+        send_held(out, held)
+        yield out.flush()
+
+    def send_held(out: Packer, held: dict[bytes, tuple[int, int, int, int]]) -> None:
+        columns = [np.array([x[k] for x in held.values()], t) for k, t in enumerate(("<i8", "<u8", "<i8", "<u8"))]
+        send(out, list(held), columns[3], *columns[:3])
+        held.clear()
+
+    def send(out: Packer, bodies: list[bytes], key: np.ndarray, doc: np.ndarray, mark: np.ndarray, start: np.ndarray) -> None:
+        pack = pa.Codec("zstd", compression_level=1)
+        target = spread(key, parts)
+        by = np.lexsort((key, target))
+        for some in np.split(by, np.flatnonzero(np.diff(target[by])) + 1) if len(by) else ():
+            own = [bodies[k] for k in some.tolist()]
+            columns = {"lengths": np.array([len(b) for b in own]), "hashes": key[some], "docs": doc[some], "marks": mark[some], "starts": start[some]}
+            out.one("piece", int(target[some[0]]), {"raw": pack.compress(b"".join(own), asbytes=True)} | {n: np.ascontiguousarray(v, _SORT["piece"][n]).tobytes() for n, v in columns.items()})
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = gathered(batches, _SORT)
@@ -273,6 +325,31 @@ def repeated_spans(rows: DataFrame, length: int, gram: int, parts: int) -> DataF
     return exchanged(sorted_, parts, collect, "doc_id long, short long, starts array<long>, ends array<long>")
 
 
+def pieces_of(text: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, hashes: np.ndarray, ranges: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The pieces of some anchors: (which anchor, first and last start of the strings, the key they go by).
+
+    An anchor of one range has one piece, its key is the anchor's hash. Else the strings are cut by the anchor's place in
+    them, and the key is the hash of the bytes that all strings of the range share (each covers them).
+    """
+    window = length - gram + 1
+    width = -(-window // np.maximum(ranges, 1))
+    count = np.where(ranges > 1, -(-window // width), 1)
+    which = np.repeat(np.arange(len(place)), count)
+    number = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    if not (ranges > 1).any():
+        return which, first, last, hashes
+    cut = (ranges > 1)[which]
+    latest = place[which] - number * width[which]
+    earliest = place[which] - np.minimum((number + 1) * width[which], window) + 1
+    low = np.where(cut, np.maximum(first[which], earliest), first[which])
+    high = np.where(cut, np.minimum(last[which], latest), last[which])
+    some = low <= high
+    which, low, high, cut, latest, earliest = (x[some] for x in (which, low, high, cut, latest, earliest))
+    key = hashes[which]
+    key[cut] = stretch_hashes(text, latest[cut], earliest[cut] + length)
+    return which, low, high, key
+
+
 def repeats_in(text: np.ndarray, at: np.ndarray, lengths: np.ndarray, docs: np.ndarray, marks: np.ndarray, starts: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """Spans of the strings in some pieces that also start at an earlier place among them."""
     ends = np.cumsum(lengths, dtype=np.int64)
@@ -315,13 +392,13 @@ def merged(docs: np.ndarray, marks: np.ndarray, starts: np.ndarray, ends: np.nda
 # --- the operator -----------------------------------------------------------------------------------------------
 
 
-def spans(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+def spans(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, parts: int | None = None, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(documents with __doc, __mark and all their columns; rows (__doc, __mark, __starts, __ends) of those that lose bytes)."""
     parts = parts or partitions(df.sparkSession)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     full = df.withColumn("__doc", F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID))).withColumn("__mark", F.md5(body.cast("binary")))
     rows = full.select(F.col("__doc").alias("doc_id"), F.col("__mark").alias("mark"), body.alias("text"))
-    counted = written(repeated_anchors(rows, length, gram, parts), "repeat-anchors")
+    counted = written(repeated_anchors(rows, length, gram, parts, hot), "repeat-anchors")
     long_ = counted.where(F.col("n_bytes") >= length)
     lead = long_.groupBy("mark").agg(F.min("doc_id").alias("lead"))
     known = long_.join(lead, "mark")

@@ -195,6 +195,36 @@ def test_repeats_within_a_text_and_periods(spark):
     assert all((r.n_bytes, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
 
 
+@pytest.mark.parametrize(("hot", "held"), [(2, 100_000), (9, 100_000), (2, 5)])
+def test_repeats_around_hot_anchors(spark, monkeypatch, hot, held):
+    """A line that all documents hold, in contexts that are partly the same; its strings are dealt in ranges, down to one each."""
+    monkeypatch.setattr(repeats, "HELD", held)
+    line = prose(41, 22)
+    rows = [(i, prose(50 + i % 7, 9) + " " + line + " " + prose(80 + i % 5, 9) + (line[:60] + line if i % 4 == 0 else "")) for i in range(40)]
+    rows += [(40, line), (41, line[3:]), (42, line[:130] + "!" + line[20:]), (42, line[:130] + "!" + line[20:]), (43, None), (44, line[:99])]
+    want = brute_repeats(rows, 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    counted = repeats.repeated_anchors(df.selectExpr("doc_id", "md5(text) AS mark", "coalesce(text, '') AS text").where("text <> ''"), 100, 32, 3, hot)
+    dealt = {a & 0xFFFF for r in counted.collect() for a in r.anchors}
+    assert max(dealt) > 1
+    got = repeats.repeats(df, hot=hot).collect()
+    assert len(got) == len(rows) and all((r.n_bytes, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
+
+
+def test_pieces_of_a_hot_anchor_hold_each_string_once_and_equal_strings_share_keys():
+    rng = np.random.default_rng(5)
+    body = rng.integers(97, 123, 300).astype(np.uint8)
+    text = np.concatenate([body, rng.integers(97, 123, 50).astype(np.uint8), body])
+    place, first, last, hashes = repeats.anchors(text, np.array([len(text)]), 100, 32)
+    whole = {i for a, b in zip(first, last, strict=True) for i in range(a, b + 1)}
+    for ranges in (1, 2, 3, 5, 34, 68, 69):
+        which, low, high, key = repeats.pieces_of(text, place, first, last, hashes, np.full(len(place), ranges), 100, 32)
+        keys = {i: k for a, b, k in zip(low, high, key, strict=True) for i in range(a, b + 1)}
+        assert sum(b - a + 1 for a, b in zip(low, high, strict=True)) == len(whole) and keys.keys() == whole
+        assert all(keys[i] == keys[i + 350] for i in range(201))
+        assert (high - low < -(-69 // ranges)).all()
+
+
 def test_texts_without_repeats_keep_columns(docs):
     got = repeats.without_repeats(docs, chars=None)
     assert got.columns == docs.columns
