@@ -41,7 +41,7 @@ NULL_ID = -(2**63)
 LENGTH, GRAM = 100, 32
 CHUNK_BYTES, SORT_BYTES, BLOCK = 1 << 20, 1 << 21, 1 << 20
 #: Occurrences for each range that an anchor's strings are dealt in, and pieces that a task holds back to merge them.
-HOT, HELD = 1_024, 100_000
+HOT, HELD = 1_024, 20_000
 #: An anchor's number is listed with the count of its ranges in the low bits.
 _RANGE_BITS = 16
 _PLACE_BITS = np.uint64(24)
@@ -239,21 +239,24 @@ def repeated_spans(rows: DataFrame, length: int, gram: int, parts: int) -> DataF
             begin = (ends - np.diff(np.concatenate([[0], ends])))[owner]
             doc, mark = np.array(piece.column(0).to_pylist(), np.int64)[owner], short_mark(piece.column(1).to_pylist())[owner]
             start, stop = low - begin, high + length - begin
-            at = list(zip(doc.tolist(), mark.tolist(), start.tolist(), key.tolist(), strict=True))
+
+            def at(c: int) -> tuple[int, int, int, int]:
+                return int(doc[c]), int(mark[c]), int(start[c]), int(key[c])
+
             seen: dict[bytes, int] = {}
             sent, spans, replaced = [], [], []
             for c in np.lexsort((start, mark, doc)).tolist():
                 own = raw[low[c] : high[c] + length]
                 lead = seen.setdefault(own, c)
                 if lead != c:
-                    if at[lead][:3] != at[c][:3]:
+                    if at(lead)[:3] != at(c)[:3]:
                         spans.append(c)
                 elif not hot[c]:
                     sent.append(c)
-                elif (old := held.setdefault(own, at[c]))[:3] < at[c][:3]:
+                elif (old := held.setdefault(own, at(c)))[:3] < (new := at(c))[:3]:
                     spans.append(c)
-                elif old[:3] > at[c][:3]:
-                    held[own] = at[c]
+                elif old[:3] > new[:3]:
+                    held[own] = new
                     replaced.append((*old[:3], old[2] + len(own)))
             spans, sent = np.array(spans, np.int64), np.array(sent, np.int64)
             gone = [np.array(x, t) for x, t in zip(zip(*replaced, strict=True), ("<i8", "<u8", "<i8", "<i8"), strict=True)] if replaced else [np.zeros(0, t) for t in ("<i8", "<u8", "<i8", "<i8")]
