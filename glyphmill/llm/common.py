@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.session import fresh_path, importable
 
+#: Ids (8 bytes each) that may be broadcast; beyond, the texts are shuffled.
+MOST_BROADCAST = 2_000_000
 _MEMOS: list[weakref.ref] = []
 #: glibc's call that returns freed memory; other C libraries do without.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -30,6 +32,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(df: DataFrame, key: str, gone: DataFrame, what: str, most: int = MOST_BROADCAST) -> DataFrame:
+    """The rows whose key is none of the ids in the one column of ``gone`` (null is an id, too), with all their columns."""
+    gone = written(gone.toDF("__gone").distinct(), what)
+    if gone.count() <= most:
+        gone = F.broadcast(gone)
+    return df.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

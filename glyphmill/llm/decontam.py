@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import settle, written
+from glyphmill.llm.common import settle, without, written
 
 WORD = re.compile(r"[^\W_]+")
 N, SHARED, THRESHOLD = 3, 2, 0.5
@@ -227,5 +227,5 @@ def _spans(body: str, count: int) -> list[tuple[int, int]]:
 
 def clean(df: DataFrame, items: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """The rows of documents that hold no item, with all their columns."""
-    bad = contaminated(df, items, key=key, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return df.join(bad, F.col(key).cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = contaminated(df, items, key=key, **options).select("doc_id")
+    return without(df, key, bad, "contaminated-ids")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.blobs import Packer, exchanged, gathered, joined, mix, schema_of, spread
-from glyphmill.llm.common import Memo, partitions, settle, written
+from glyphmill.llm.common import MOST_BROADCAST, Memo, partitions, settle, without, written
 from glyphmill.llm.components import components
 
 NULL_ID = -(2**63)
@@ -42,8 +42,6 @@ BLOCK = 1024
 LONG_LIST = 24
 #: Bytes of packed rows that wait to be sent; cells of one table of members and n-grams.
 WAITING, CELLS = 1 << 21, 1 << 22
-#: Ids (8 bytes each) that may be broadcast; beyond, the texts are shuffled.
-MOST_BROADCAST = 2_000_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORDS = Memo(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), 200_000)
 _ODD = [np.uint64(int.from_bytes(hashlib.blake2b(b"place %d" % k, digest_size=8).digest(), "little") | 1) for k in range(64)]
@@ -439,5 +437,5 @@ def join_components(df: DataFrame, **options) -> DataFrame:
 def one_of_each(df: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """The rows whose document is the smallest of its component, with all their columns."""
     found = join_components(df, key=key, **options)
-    gone = found.where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = found.where("not (doc_id <=> component_id)").select("doc_id")
+    return without(df, key, gone, "join-gone")

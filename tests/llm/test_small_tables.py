@@ -10,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from glyphmill.llm import decontam, digests, html_text, langid, ngram_join, repeats, token_files, toxicity, url_filter
+from glyphmill.llm.common import without
 from glyphmill.llm.components import components
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -161,6 +162,15 @@ def test_join_keeps_one_of_each_with_all_columns(docs):
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == [1, 3, 4, 4, 5, 7, 9, 10]
 
 
+@pytest.mark.parametrize("most", [0, 10])
+def test_rows_without_ids_are_the_same_by_broadcast_and_by_shuffle(docs, most):
+    gone = docs.where("doc_id is null or doc_id in (4, 7)").select("doc_id")
+    got = without(docs, "doc_id", gone, "test-gone", most)
+    assert got.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == [1, 2, 3, 5, 6, 8, 9, 10]
+    assert without(docs, "doc_id", gone.limit(0), "test-gone", most).count() == len(ROWS)
+
+
 def test_prefix_choice_prefers_cheap_levels():
     tokens, times = np.arange(40), np.repeat([2, 500], 20)
     level, some, _ = ngram_join.choose_prefix(tokens, times, 40, 80)
