@@ -88,6 +88,10 @@ def remembered(cache):
     return cache
 
 
+class Kept(dict):
+    """Tables that ``settle`` can empty."""
+
+
 class Memo(dict):
     """Bounded cache: forgets everything when it is full. Its results never depend on what it holds."""
 
@@ -112,6 +116,11 @@ def settle(*keep) -> None:
         cache = ref()
         if cache is not None and all(cache is not k for k in keep):
             cache.clear()
+    release()
+
+
+def release() -> None:
+    """Gives freed memory of this process back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if _TRIM:

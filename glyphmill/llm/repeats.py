@@ -34,19 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.blobs import Packer, exchanged, gathered, joined, mix, schema_of, spread
-from glyphmill.llm.common import partitions, settle, written
+from glyphmill.llm.common import Kept, partitions, remembered, settle, written
 from glyphmill.llm.suffixes import common_prefix_reaches, suffix_order
 
 NULL_ID = -(2**63)
 LENGTH, GRAM = 100, 32
-CHUNK_BYTES, SORT_BYTES, BLOCK = 1 << 20, 1 << 21, 1 << 20
+CHUNK_BYTES, SORT_BYTES, BLOCK = 1 << 20, 1 << 20, 1 << 20
 #: Occurrences for each range that an anchor's strings are dealt in, and pieces that a task holds back to merge them.
 HOT, HELD = 1_024, 20_000
 #: An anchor's number is listed with the count of its ranges in the low bits.
 _RANGE_BITS = 16
 _PLACE_BITS = np.uint64(24)
 _ODD = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[str, np.ndarray] = remembered(Kept())
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,10 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from glyphmill.llm.blobs import mix
-from glyphmill.llm.common import remembered
+from glyphmill.llm.common import Kept, remembered
 
 _ODD = 0x9E3779B97F4A7C15
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[str, np.ndarray] = remembered(Kept())
 
 
 def powers(n: int, least: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
