@@ -39,7 +39,7 @@ from glyphmill.llm.suffixes import common_prefix_reaches, suffix_order
 
 NULL_ID = -(2**63)
 LENGTH, GRAM = 100, 32
-CHUNK_BYTES, SORT_BYTES, BLOCK = 1 << 20, 1 << 20, 1 << 20
+CHUNK_BYTES, SORT_BYTES, BLOCK = 1 << 20, 1 << 20, 1 << 16
 #: Occurrences for each range that an anchor's strings are dealt in, and pieces that a task holds back to merge them.
 HOT, HELD = 1_024, 20_000
 #: An anchor's number is listed with the count of its ranges in the low bits.
@@ -79,14 +79,14 @@ def anchors(text: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     """Of documents that end at ``ends``: (place, first and last start of the strings it anchors, its hash), in order."""
     window = length - gram + 1
     found: list[tuple[np.ndarray, ...]] = []
-    limit = ends[np.searchsorted(ends, np.arange(len(text)), side="right")] if len(text) else ends
     for low in range(0, max(0, len(text) - length + 1), BLOCK):
         some = text[low : low + BLOCK + length - 1]
         n = len(some) - length + 1
         hashes = rolling(some, gram)
         packed = (hashes >> _PLACE_BITS << _PLACE_BITS) | np.arange(len(hashes), dtype=np.uint64)
         least = _sliding_min(packed, window)[:n]
-        starts = np.flatnonzero(np.arange(low, low + n) + length <= limit[low : low + n])
+        at = np.arange(low, low + n)
+        starts = np.flatnonzero(at + length <= ends[np.searchsorted(ends, at, side="right")])
         if not len(starts):
             continue
         place = (least[starts] & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)

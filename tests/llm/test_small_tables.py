@@ -221,6 +221,17 @@ def test_repeats_around_hot_anchors(spark, monkeypatch, hot, held):
     assert len(got) == len(rows) and all((r.n_bytes, r.n_removed, r.kept_sha256) == want[r.doc_id] for r in got)
 
 
+def test_anchors_are_the_same_by_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 101, 20_000).astype(np.uint8)
+    text[9_000:13_000] = text[2_000:6_000]
+    ends = np.sort(np.append(rng.choice(20_000, 30, replace=False), 20_000))
+    whole = repeats.anchors(text, ends, 100, 32)
+    for block in (1, 97, 4_096):
+        monkeypatch.setattr(repeats, "BLOCK", block)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, repeats.anchors(text, ends, 100, 32), strict=True))
+
+
 def test_pieces_of_a_hot_anchor_hold_each_string_once_and_equal_strings_share_keys():
     rng = np.random.default_rng(5)
     body = rng.integers(97, 123, 300).astype(np.uint8)
