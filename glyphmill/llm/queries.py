@@ -79,9 +79,19 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from glyphmill.llm.middle import fill_in_middle, restored
+
+    moved = fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return restored(moved).select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_join": oracles.OP5}
+    return {"op5_ngram_join": oracles.OP5, "op13_fill_in_middle": oracles.OP13}
