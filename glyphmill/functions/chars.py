@@ -11,24 +11,29 @@ HYPOTHESES = "array<struct<ch:string,conf:double,alts:array<struct<ch:string,p:d
 
 
 def is_digit(c: Column) -> Column:
-    return c.rlike("^[0-9]$")
+    return (F.length(c) == 1) & c.between("0", "9")
 
 
 def is_letter(c: Column) -> Column:
-    return c.rlike("^[A-Za-z]$")
+    return (F.length(c) == 1) & (c.between("A", "Z") | c.between("a", "z"))
+
+
+def alternatives(item: Column) -> Column:
+    """Its alternatives; none for null."""
+    return F.coalesce(item["alts"], F.array().cast("array<struct<ch:string,p:double>>"))
 
 
 def digit_alternatives(item: Column) -> Column:
-    return F.filter(item["alts"], lambda a: is_digit(a["ch"]))
+    return F.filter(alternatives(item), lambda a: is_digit(a["ch"]))
 
 
 def letter_alternatives(item: Column) -> Column:
-    return F.filter(item["alts"], lambda a: is_letter(a["ch"]))
+    return F.filter(alternatives(item), lambda a: is_letter(a["ch"]))
 
 
-def first_alternative(alternatives: Column) -> Column:
+def first_alternative(some: Column) -> Column:
     """The first one's character, or null."""
-    return F.get(alternatives, F.lit(0))["ch"]
+    return F.get(some, F.lit(0))["ch"]
 
 
 def char_at(hyp: Column, pos: int, default: str) -> Column:

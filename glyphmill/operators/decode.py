@@ -1,32 +1,31 @@
 """Constrained decoding of character hypotheses: dates, PINs and short codes.
 
-Each decoder adds ``text``, ``fsm_conf``, ``valid`` and ``notes`` to its rows. Dates and the parts of the others that
-need no lexicon are one projection without a shuffle. A lexicon is an argument: a DataFrame (kind, entry, prefix).
-Exact hits are an equi-join; only the rest is compared with the whole lexicon: up to ``MOST_ENTRIES`` entries as one
-table of look-ups per batch of rows, beyond as a nested-loop join, which is exact but makes a row of every pair.
+Each decoder adds ``text``, ``fsm_conf``, ``valid`` and ``notes`` to its rows, without a shuffle. A lexicon is an
+argument: a DataFrame (kind, entry, prefix), read once; see ``lexicon`` for how its nearest entries are found.
+
+Defined cases: a null reading is an empty one; an empty or short reading is invalid; a kind that is null or none of the
+three passes as read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions import constants as C
-from glyphmill.functions.chars import char_at, digit_alternatives, first_alternative, is_digit, is_letter, least_confidence, letter_alternatives, literal_map
-
-MOST_ENTRIES = 50_000
-#: Scores that are worked out at a time.
-CELLS = 1 << 21
+from glyphmill.functions.chars import HYPOTHESES, char_at, digit_alternatives, first_alternative, is_digit, is_letter, least_confidence, letter_alternatives, literal_map, raw_text
+from glyphmill.operators.lexicon import DIGITS, Finder
 
 
 def _note(when: Column, *parts) -> Column:
     return F.when(when, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]))
 
 
+def read_of(hyp: str) -> Column:
+    """The reading; an empty one for null."""
+    return F.coalesce(F.col(hyp), F.array().cast(HYPOTHESES))
+
+
 # --- dates ------------------------------------------------------------------------------------------------------
 
 
@@ -39,42 +38,44 @@ def _snapped(item: Column) -> Column:
     return F.when(is_digit(item["ch"]), item["ch"]).otherwise(F.coalesce(first_alternative(digit_alternatives(item)), fixed))
 
 
-def _tens(item: Column, chosen: Column, allowed: str) -> Column:
-    fitting = F.filter(item["alts"], lambda a: a["ch"].rlike(f"^[{allowed}]$"))
-    return F.when(chosen.rlike(f"^[{allowed}]$"), chosen).otherwise(F.coalesce(first_alternative(fitting), F.lit("1")))
+def _settled(hyp: Column) -> Column:
+    """Per place the read character, its digit, and at places 0 and 3 the digit as the tens of a day or month."""
+
+    def tens(alts: Column, digit: Column, allowed: str) -> Column:
+        fitting = F.filter(alts, lambda a: a["ch"].isin(*allowed))
+        return F.when(digit.isin(*allowed), digit).otherwise(F.coalesce(first_alternative(fitting), F.lit("1")))
+
+    digits = F.transform(F.slice(hyp, 1, 10), lambda x: F.struct(x["ch"].alias("ch"), _snapped(x).alias("digit"), x["alts"].alias("alts")))
+    return F.transform(digits, lambda x, i: F.struct(x["ch"], x["digit"], F.when(i == 3, tens(x["alts"], x["digit"], "01")).when(i == 0, tens(x["alts"], x["digit"], "0123")).otherwise(x["digit"]).alias("tens")))
 
 
 def _date_char(hyp: Column, item: Column, i: Column, sep: Column) -> Column:
-    chosen = _snapped(item)
-    century = char_at(hyp, 7, "0")
-    month = _tens(item, chosen, "01")
+    digit, century = item["digit"], char_at(hyp, 7, "0")
     return (
         F.when(i.isin(2, 5), sep)
         .when(
             i == 6,
-            F.when((chosen == "9") & (century == "0"), "2")
-            .when(chosen.isin("9", "2") & century.isin("7", "8", "9"), "1")
-            .when(chosen == "9", F.when(century.isin("0", "1", "2"), "2").otherwise("1"))
-            .otherwise(chosen),
+            F.when((digit == "9") & (century == "0"), "2")
+            .when(digit.isin("9", "2") & century.isin("7", "8", "9"), "1")
+            .when(digit == "9", F.when(century.isin("0", "1", "2"), "2").otherwise("1"))
+            .otherwise(digit),
         )
-        .when(i == 3, F.when((month == "0") & (char_at(hyp, 4, "0") == "0"), "1").otherwise(month))
-        .when(i == 0, _tens(item, chosen, "0123"))
-        .otherwise(chosen)
+        .when((i == 3) & (item["tens"] == "0") & (char_at(hyp, 4, "0") == "0"), "1")
+        .otherwise(item["tens"])
     )
 
 
 def _date_note(hyp: Column, item: Column, i: Column, sep: Column) -> Column:
     """The notes of one position, joined by a bar."""
-    chosen, final, at = _snapped(item), _date_char(hyp, item, i, sep), F.concat(F.lit("pos "), i.cast("string"))
+    digit, tens, final, at = item["digit"], item["tens"], _date_char(hyp, item, i, sep), F.concat(F.lit("pos "), i.cast("string"))
     place = ~i.isin(2, 5)
-    tens = F.when(i == 3, _tens(item, chosen, "01")).when(i == 0, final).otherwise(chosen)
     return F.concat_ws(
         "|",
         _note(i.isin(2, 5) & (item["ch"] != sep), at, ": separator ", sep),
-        _note(place & ~is_digit(item["ch"]), at, ": digit ", chosen),
-        _note(i.isin(0, 3) & (tens != chosen), at, ": tens ", tens),
+        _note(place & ~is_digit(item["ch"]), at, ": digit ", digit),
+        _note(i.isin(0, 3) & (tens != digit), at, ": tens ", tens),
         _note((i == 3) & (final != tens), at, ": month 10"),
-        _note((i == 6) & (((chosen == "9") & (char_at(hyp, 7, "0") == "0")) | (chosen.isin("9", "2") & char_at(hyp, 7, "0").isin("7", "8", "9"))), at, ": century ", final),
+        _note((i == 6) & (((digit == "9") & (char_at(hyp, 7, "0") == "0")) | (digit.isin("9", "2") & char_at(hyp, 7, "0").isin("7", "8", "9"))), at, ": century ", final),
     )
 
 
@@ -84,16 +85,22 @@ def in_calendar_range(text: Column) -> Column:
     return text.rlike(r"^[0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}$") & part(1).between(1, 31) & part(2).between(1, 12) & part(3).between(1900, 2099)
 
 
+def date_text(hyp: Column) -> Column:
+    sep = date_separator(hyp)
+    return F.array_join(F.transform(_settled(hyp), lambda x, i: _date_char(hyp, x, i, sep)), "")
+
+
+def date_notes(hyp: Column) -> Column:
+    sep = date_separator(hyp)
+    return F.array_join(F.filter(F.transform(_settled(hyp), lambda x, i: _date_note(hyp, x, i, sep)), lambda n: n != ""), "|")
+
+
 def decode_dates(fields: DataFrame, hyp: str = "hyp") -> DataFrame:
-    chars = F.slice(hyp, 1, 10)
-    sep = date_separator(F.col(hyp))
-    text = F.array_join(F.transform(chars, lambda x, i: _date_char(F.col(hyp), x, i, sep)), "")
-    notes = F.array_join(F.filter(F.transform(chars, lambda x, i: _date_note(F.col(hyp), x, i, sep)), lambda n: n != ""), "|")
-    out = fields.withColumn("text", text).withColumn("notes", notes)
+    out = fields.withColumn("text", date_text(read_of(hyp))).withColumn("notes", date_notes(read_of(hyp)))
     return out.withColumn("valid", in_calendar_range(F.col("text"))).withColumn("fsm_conf", F.when(F.col("valid"), C.DATE_VALID).otherwise(C.DATE_INVALID))
 
 
-# --- lattices and nearest entries -------------------------------------------------------------------------------
+# --- lattices ---------------------------------------------------------------------------------------------------
 
 
 def digit_lattice(hyp: Column, n: int) -> Column:
@@ -112,93 +119,7 @@ def lattice_text(lattice: Column) -> Column:
 
 
 def lattice_confidence(lattice: Column) -> Column:
-    return F.array_min(F.transform(lattice, lambda c: F.get(c, F.lit(0))["p"]))
-
-
-def position_costs(lattice: Column, alphabet: str, mismatch: float) -> Column:
-    """Per position the scores of all characters of an alphabet, so that an entry's score is a sum of look-ups.
-
-    A character's score is the log probability of its candidate, or else its affinity to the read character.
-    """
-    affinity = literal_map([(a + b, s) for a, b, s in C.affinity_rows()])
-    letters = F.array(*[F.lit(ch) for ch in alphabet])
-
-    def cost(cell: Column, ch: Column) -> Column:
-        found = F.get(F.filter(cell, lambda c: c["ch"] == ch), F.lit(0))["p"]
-        near = F.coalesce(F.element_at(affinity, F.concat(F.get(cell, F.lit(0))["ch"], ch)), F.lit(mismatch))
-        return F.when(found.isNotNull(), F.ln(F.greatest(found, F.lit(C.LEAST_PROBABILITY)))).otherwise(near)
-
-    return F.transform(lattice, lambda cell: F.transform(letters, lambda ch: cost(cell, ch)))
-
-
-def nearest_entries(rows: DataFrame, entries: DataFrame, keys: list[str], length: int, alphabet: str, mismatch: float) -> DataFrame:
-    """Rows (keys, entry, score) with the best entry of each row; of equal scores the smallest entry.
-
-    Every entry has ``length`` characters. The comparison is exhaustive.
-    """
-    table = rows.select(*keys, position_costs(F.col("lattice"), alphabet, mismatch).alias("costs"))
-    some = entries.limit(MOST_ENTRIES + 1).collect()
-    if len(some) > MOST_ENTRIES:
-        return _nearest_by_join(table, entries, keys, length, alphabet, mismatch)
-    names = sorted(r["entry"] for r in some)
-    sent = rows.sparkSession.sparkContext.broadcast((names, np.array([[alphabet.find(c) for c in n] for n in names], np.int64).reshape(-1, length)))
-    width = len(alphabet)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, codes = sent.value
-        for batch in batches if names else ():
-            step = max(1, CELLS // len(names))
-            for low in range(0, batch.num_rows, step):
-                part = batch.slice(low, step)
-                costs = np.full((part.num_rows, length, width + 1), mismatch)  # the last column: a character out of the alphabet
-                for k, cells in enumerate(part.column(len(keys)).to_pylist()):
-                    costs[k, : len(cells), :width] = np.array(cells, float).reshape(-1, width)[:length]
-                score = np.zeros((part.num_rows, len(names)))
-                for place in range(length):
-                    score += costs[:, place, codes[:, place]]
-                score = np.round(score, 6)
-                best = score.argmax(1)  # entries are sorted: the first is the smallest
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array([names[k] for k in best.tolist()]), pa.array(score[np.arange(len(best)), best])], names=[*keys, "entry", "score"])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema.fields[: len(keys)])
-    return table.mapInArrow(run, f"{kept}, entry string, score double")
-
-
-def _nearest_by_join(table: DataFrame, entries: DataFrame, keys: list[str], length: int, alphabet: str, mismatch: float) -> DataFrame:
-    place = [F.instr(F.lit(alphabet), F.substring("entry", pos + 1, 1)) for pos in range(length)]
-    coded = entries.select("entry", *[p.alias(f"c{pos}") for pos, p in enumerate(place)])
-    flat = table.select(*keys, *[F.get("costs", F.lit(pos)).alias(f"k{pos}") for pos in range(length)])
-    score = F.round(sum((F.coalesce(F.get(F.col(f"k{pos}"), F.col(f"c{pos}") - 1), F.lit(mismatch)) for pos in range(length)), F.lit(0.0)), 6)
-    scored = flat.join(coded).select(*keys, "entry", score.alias("score"))
-    best = scored.groupBy(*keys).agg(F.max("score").alias("score"), F.min_by("entry", F.struct(-F.col("score"), "entry")).alias("entry"))
-    return best.select(*keys, "entry", "score")
-
-
-# --- PINs -------------------------------------------------------------------------------------------------------
-
-
-def decode_pins(fields: DataFrame, lexicon: DataFrame, keys: list[str], hyp: str = "hyp") -> DataFrame:
-    """Exact lexicon hits keep their confidence; others take the nearest entry. A reading that is too short is invalid."""
-    entries = lexicon.where("kind = 'pin'").select("entry").distinct()
-    rows = fields.withColumn("lattice", digit_lattice(F.col(hyp), 6)).withColumn("raw", lattice_text(F.col("lattice")))
-    hits = rows.join(entries.withColumnRenamed("entry", "raw").withColumn("hit", F.lit(True)), "raw", "left")
-    near = nearest_entries(hits.where("hit is null"), entries, keys, 6, C.PIN_VOCABULARY, C.PIN_MISMATCH)
-    any_entry = entries.limit(1).count() > 0
-    out = hits.join(near, keys, "left")
-    close = F.col("score") > C.PIN_FLOOR
-    exact = F.col("hit").isNotNull() | F.lit(not any_entry)
-    complete = F.size("lattice") == 6
-    return out.select(
-        *fields.columns,
-        F.when(exact, F.col("raw")).otherwise(F.coalesce("entry", "raw")).alias("text"),
-        F.when(exact, lattice_confidence(F.col("lattice"))).when(close & complete, C.PIN_SNAPPED).otherwise(C.PIN_FAR).alias("fsm_conf"),
-        F.when(exact, complete | F.lit(not any_entry)).otherwise(F.coalesce(close, F.lit(False)) & complete).alias("valid"),
-        F.when(~exact & (F.col("entry") != F.col("raw")), F.concat(F.lit("pin "), "raw", F.lit(" to "), "entry")).otherwise("").alias("notes"),
-        F.when(~exact, F.col("score")).alias("score"),
-    )
-
-
-# --- short codes ------------------------------------------------------------------------------------------------
+    return F.coalesce(F.array_min(F.transform(lattice, lambda c: F.get(c, F.lit(0))["p"])), F.lit(0.0))
 
 
 def code_split(n: Column) -> Column:
@@ -210,38 +131,64 @@ def _suffix(hyp: Column, split: Column) -> Column:
     return F.array_join(digits, "")
 
 
-def decode_codes(fields: DataFrame, lexicon: DataFrame, keys: list[str], hyp: str = "hyp", registry_substitution: bool = False) -> DataFrame:
-    """The prefix is repaired by the lexicon's prefixes of its length; the read digits are kept.
+# --- all kinds in one projection --------------------------------------------------------------------------------
 
-    ``registry_substitution``: take the whole registered code of the prefix instead, digits included.
+RESULTS = ["text", "fsm_conf", "valid", "notes", "score"]
+
+
+def decode(fields: DataFrame, lexicon: DataFrame, hyp: str = "hyp", kind: str = "field_type", registry_substitution: bool = False) -> DataFrame:
+    """Adds text, fsm_conf, valid, notes, score and touched (lexicon nodes looked at) to fields of all kinds.
+
+    PINs: exact entries keep their confidence, others take the nearest entry. Codes: the prefix is repaired by the
+    prefixes of its length and the read digits are kept; ``registry_substitution`` takes the whole registered code of the
+    prefix instead, digits included. What is neither date, PIN nor code passes as read, with its least confidence.
     """
-    registry = lexicon.where("kind = 'code'").groupBy("prefix").agg(F.max("entry").alias("entry"))
-    rows = fields.withColumn("split", code_split(F.size(hyp))).withColumn("lattice", prefix_lattice(F.col(hyp), F.col("split"))).withColumn("raw", lattice_text(F.col("lattice")))
-    hits = rows.join(registry.select(F.col("prefix").alias("raw"), F.col("entry").alias("exact")), "raw", "left")
-    missed = hits.where("exact is null")
-    near = None
-    for length in (2, 3):
-        some = nearest_entries(missed.where(F.col("split") == length), registry.where(F.length("prefix") == length).select(F.col("prefix").alias("entry")), keys, length, C.FULL_VOCABULARY, C.PREFIX_MISMATCH)
-        near = some if near is None else near.union(some)
-    out = hits.join(near.select(*keys, F.col("entry").alias("near"), "score"), keys, "left").join(registry.select(F.col("prefix").alias("near"), F.col("entry").alias("registered")), "near", "left")
-    prefix = F.coalesce(F.when(F.col("exact").isNotNull(), F.col("raw")), "near", "raw")
-    kept = F.concat(prefix, F.lit("-"), _suffix(F.col(hyp), F.col("split")))
-    text = F.coalesce("exact", "registered", kept) if registry_substitution else kept
-    return out.select(
-        *fields.columns,
-        text.alias("text"),
-        F.when(F.col("exact").isNotNull(), C.CODE_EXACT).when(F.col("near").isNotNull(), C.CODE_SNAPPED).otherwise(C.CODE_FALLBACK).alias("fsm_conf"),
-        F.lit(True).alias("valid"),
-        F.when(F.col("exact").isNull() & F.col("near").isNotNull(), F.concat(F.lit("prefix "), "raw", F.lit(" to "), "near")).otherwise("").alias("notes"),
-        F.when(F.col("exact").isNull(), F.col("score")).alias("score"),
+    finder = Finder(lexicon)
+    k, h, split = F.coalesce(F.col(kind), F.lit("other")), F.col("__hyp"), code_split(F.size("__hyp"))
+    pin, code = k == "pin", k == "code"
+    rows = fields.withColumn("__hyp", read_of(hyp))
+    rows = rows.withColumn("__lattice", F.when(pin, digit_lattice(h, DIGITS)).when(code, prefix_lattice(h, split)))
+    rows = rows.withColumn("__found", finder.column(F.when(pin, "pin").when(code, F.concat(F.lit("code"), split.cast("string"))), F.col("__lattice")))
+    rows = rows.withColumn("__raw", lattice_text(F.col("__lattice"))).withColumn("__text", F.when(k == "date", date_text(h)))
+    lattice, raw, found = F.col("__lattice"), F.col("__raw"), F.col("__found")
+    entry, exact, score = found["entry"], found["exact"], found["score"]
+    own = exact | F.lit("pin" not in finder.groups)
+    close = F.coalesce(score > C.PIN_FLOOR, F.lit(False))
+    whole = F.size(lattice) == DIGITS
+    ended = F.size(h) > split + 1  # prefix, separator and a digit at least
+    in_range = in_calendar_range(F.col("__text"))
+    kept = F.when(F.size(h) > 0, F.concat(F.coalesce(entry, raw), F.lit("-"), _suffix(h, split))).otherwise("")
+    registered = F.coalesce(found["whole"], kept) if registry_substitution else kept
+    of = lambda date, pin_, code_, other: F.when(k == "date", date).when(pin, pin_).when(code, code_).otherwise(other)
+    return rows.select(
+        *[F.col(f"`{c}`") for c in fields.columns],
+        of(F.col("__text"), F.when(own, raw).otherwise(F.coalesce(entry, raw)), registered, raw_text(h)).alias("text"),
+        of(
+            F.when(in_range, C.DATE_VALID).otherwise(C.DATE_INVALID),
+            F.when(own, lattice_confidence(lattice)).when(close & whole, C.PIN_SNAPPED).otherwise(C.PIN_FAR),
+            F.when(~ended, C.PIN_FAR).when(exact, C.CODE_EXACT).when(entry.isNotNull(), C.CODE_SNAPPED).otherwise(C.CODE_FALLBACK),
+            least_confidence(h),
+        ).alias("fsm_conf"),
+        of(in_range, whole & (own | close), ended, F.lit(True)).alias("valid"),
+        of(
+            date_notes(h),
+            F.when(~own & (entry != raw), F.concat(F.lit("pin "), raw, F.lit(" to "), entry)).otherwise(""),
+            F.when(~exact & entry.isNotNull(), F.concat(F.lit("prefix "), raw, F.lit(" to "), entry)).otherwise(""),
+            F.lit(""),
+        ).alias("notes"),
+        F.when(~exact, score).alias("score"),
+        found["touched"].alias("touched"),
     )
 
 
-def decode(fields: DataFrame, lexicon: DataFrame, keys: list[str], hyp: str = "hyp", kind: str = "field_type", registry_substitution: bool = False) -> DataFrame:
-    """All kinds of fields; what is neither date, PIN nor code passes as read, with its least confidence."""
-    dates = decode_dates(fields.where(F.col(kind) == "date"), hyp).withColumn("score", F.lit(None).cast("double"))
-    pins = decode_pins(fields.where(F.col(kind) == "pin"), lexicon, keys, hyp)
-    codes = decode_codes(fields.where(F.col(kind) == "code"), lexicon, keys, hyp, registry_substitution)
-    other = fields.where(~F.col(kind).isin("date", "pin", "code"))
-    passed = other.withColumns({"text": F.array_join(F.transform(hyp, lambda x: x["ch"]), ""), "fsm_conf": least_confidence(F.col(hyp)), "valid": F.lit(True), "notes": F.lit(""), "score": F.lit(None).cast("double")})
-    return dates.unionByName(pins).unionByName(codes).unionByName(passed)
+def _of_kind(fields: DataFrame, lexicon: DataFrame, hyp: str, kind: str, registry_substitution: bool = False) -> DataFrame:
+    rows = decode(fields.withColumn("__kind", F.lit(kind)), lexicon, hyp, "__kind", registry_substitution)
+    return rows.drop("__kind")
+
+
+def decode_pins(fields: DataFrame, lexicon: DataFrame, hyp: str = "hyp") -> DataFrame:
+    return _of_kind(fields, lexicon, hyp, "pin")
+
+
+def decode_codes(fields: DataFrame, lexicon: DataFrame, hyp: str = "hyp", registry_substitution: bool = False) -> DataFrame:
+    return _of_kind(fields, lexicon, hyp, "code", registry_substitution)

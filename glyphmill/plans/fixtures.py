@@ -67,6 +67,19 @@ def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pins.union(codes)
 
 
+def large_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, entry, prefix): a PIN for each line of an order, at most a million different ones."""
+    number = ((F.col("l_orderkey") * 7 + F.col("l_linenumber")) * 7919) % 1_000_000
+    return table(spark, sf_dir, "lineitem").select(F.lit("pin").alias("kind"), F.lpad(number.cast("string"), 6, "0").alias("entry"), F.lit(None).cast("string").alias("prefix"))
+
+
+def odd_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of all kinds and of none, with readings that are whole, cut short, empty or missing."""
+    rows = hypotheses(spark, sf_dir).withColumn("kept", F.when(F.col("id") % 3 == 0, F.col("num_chars")).otherwise((F.col("id") % (F.col("num_chars") + 1)).cast("int")))
+    kind = F.when(F.col("id") % 11 == 4, F.lit(None)).when(F.col("id") % 11 == 7, F.lit("name")).otherwise(F.col("field_type"))
+    return rows.select(F.col("field_type").alias("source"), "id", kind.alias("field_type"), "ground_truth", F.when(F.col("id") % 13 == 5, F.lit(None)).otherwise(F.slice("hyp", F.lit(1), F.col("kept"))).alias("hyp"))
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, logits) over the whole vocabulary."""
     n = len(C.FULL_VOCABULARY)

@@ -32,7 +32,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _predictions(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
-    return modes.read_fields(fixtures.hypotheses(spark, sf_dir), fixtures.lexicon(spark, sf_dir), KEYS, modes=wanted or C.MODES)
+    return modes.read_fields(fixtures.hypotheses(spark, sf_dir), fixtures.lexicon(spark, sf_dir), modes=wanted or C.MODES)
 
 
 def _of(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -190,17 +190,22 @@ def g10_g13_pin_lattice(spark, sf_dir):
 
 @query(with_(oracles.PINS, "SELECT id, text, fsm_conf, valid, score FROM pins"))
 def g11_g12_pins(spark, sf_dir):
-    return decode.decode_pins(_of(spark, sf_dir, "pin"), fixtures.lexicon(spark, sf_dir), KEYS).select("id", "text", "fsm_conf", "valid", "score")
+    return decode.decode_pins(_of(spark, sf_dir, "pin"), fixtures.lexicon(spark, sf_dir)).select("id", "text", "fsm_conf", "valid", "score")
+
+
+@query(with_(oracles.LARGE_PINS, f"SELECT id, coalesce(entry, raw) AS text, score, coalesce(score > {C.PIN_FLOOR}, true) AS valid FROM pin_raw LEFT JOIN large_near USING (id)"))
+def g12_large_lexicon(spark, sf_dir):
+    return decode.decode_pins(_of(spark, sf_dir, "pin"), fixtures.large_lexicon(spark, sf_dir)).select("id", "text", "score", "valid")
 
 
 @query(with_(oracles.CODES, "SELECT id, text, fsm_conf, valid, score FROM codes"))
 def g14_g18_codes(spark, sf_dir):
-    return decode.decode_codes(_of(spark, sf_dir, "code"), fixtures.lexicon(spark, sf_dir), KEYS).select("id", "text", "fsm_conf", "valid", "score")
+    return decode.decode_codes(_of(spark, sf_dir, "code"), fixtures.lexicon(spark, sf_dir)).select("id", "text", "fsm_conf", "valid", "score")
 
 
 @query(with_(oracles.CODES, "SELECT id, registered AS text FROM codes"))
 def g16_registry_substitution(spark, sf_dir):
-    return decode.decode_codes(_of(spark, sf_dir, "code"), fixtures.lexicon(spark, sf_dir), KEYS, registry_substitution=True).select("id", "text")
+    return decode.decode_codes(_of(spark, sf_dir, "code"), fixtures.lexicon(spark, sf_dir), registry_substitution=True).select("id", "text")
 
 
 @query(with_(oracles.LEXICON, "SELECT 'pin' AS kind, entry, CAST(NULL AS VARCHAR) AS prefix FROM pin_lexicon UNION ALL SELECT 'code', entry, prefix FROM code_lexicon"))
@@ -212,12 +217,17 @@ def g19_lexicon(spark, sf_dir):
 
 @query(with_(oracles.DECODED, "SELECT field_type, id, text, fsm_conf, valid FROM decoded"))
 def g1_decode_all(spark, sf_dir):
-    return decode.decode(fixtures.hypotheses(spark, sf_dir), fixtures.lexicon(spark, sf_dir), KEYS).select(*KEYS, "text", "fsm_conf", "valid")
+    return decode.decode(fixtures.hypotheses(spark, sf_dir), fixtures.lexicon(spark, sf_dir)).select(*KEYS, "text", "fsm_conf", "valid")
+
+
+@query(with_(oracles.ODD, "SELECT source, id, field_type, text, fsm_conf, valid FROM odd_decoded"))
+def g1_odd_readings(spark, sf_dir):
+    return decode.decode(fixtures.odd_hypotheses(spark, sf_dir), fixtures.lexicon(spark, sf_dir)).select("source", "id", "field_type", "text", "fsm_conf", "valid")
 
 
 @query(with_(oracles.VERIFIED, "SELECT field_type, id, verified_text, sem_conf, CASE WHEN verified_text <> text THEN text || ' to ' || verified_text ELSE '' END AS sem_note FROM verified"))
 def v1_v5_verified(spark, sf_dir):
-    rows = decode.decode(fixtures.hypotheses(spark, sf_dir), fixtures.lexicon(spark, sf_dir), KEYS)
+    rows = decode.decode(fixtures.hypotheses(spark, sf_dir), fixtures.lexicon(spark, sf_dir))
     return verify.verify(rows).select(*KEYS, "verified_text", "sem_conf", "sem_note")
 
 

@@ -55,7 +55,7 @@ PIN_LEXICON = [("pin", "123456", None), ("pin", "799999", None)]
 
 def test_pins(spark):
     lexicon = spark.createDataFrame(PIN_LEXICON, "kind string, entry string, prefix string")
-    rows = decode.decode_pins(frame(spark, [(0, "pin", read("123456", 0.8)), (1, "pin", read("129456", alts={2: [("3", 0.4)]})), (2, "pin", read("12345")), (3, "pin", read("000000"))]), lexicon, KEYS).orderBy("id").collect()
+    rows = decode.decode_pins(frame(spark, [(0, "pin", read("123456", 0.8)), (1, "pin", read("129456", alts={2: [("3", 0.4)]})), (2, "pin", read("12345")), (3, "pin", read("000000"))]), lexicon).orderBy("id").collect()
     assert (rows[0].text, rows[0].fsm_conf, rows[0].valid) == ("123456", 0.8, True)
     assert (rows[1].text, rows[1].fsm_conf, rows[1].valid) == ("123456", 0.96, True)
     assert not rows[2].valid and rows[2].text == "123456"  # a short reading is flagged, not an error
@@ -64,22 +64,22 @@ def test_pins(spark):
 
 def test_pins_without_lexicon(spark):
     empty = spark.createDataFrame([], "kind string, entry string, prefix string")
-    row = decode.decode_pins(frame(spark, [(0, "pin", read("12A456"))]), empty, KEYS).first()
+    row = decode.decode_pins(frame(spark, [(0, "pin", read("12A456"))]), empty).first()
     assert (row.text, row.valid, row.fsm_conf) == ("120456", True, 0.99)
 
 
 def test_codes(spark):
     lexicon = spark.createDataFrame([("code", "AB-1111", "AB"), ("code", "XYZ-2222", "XYZ")], "kind string, entry string, prefix string")
     rows = frame(spark, [(0, "code", read("AB-1234")), (1, "code", read("A8-1234", alts={1: [("B", 0.3)]})), (2, "code", read("XYQ-123Z", alts={7: [("2", 0.4)]}))])
-    kept = decode.decode_codes(rows, lexicon, KEYS).orderBy("id").collect()
+    kept = decode.decode_codes(rows, lexicon).orderBy("id").collect()
     assert [(r.text, r.fsm_conf) for r in kept] == [("AB-1234", 0.96), ("AB-1234", 0.96), ("XYZ-1232", 0.95)]
-    whole = decode.decode_codes(rows, lexicon, KEYS, registry_substitution=True).orderBy("id").collect()
+    whole = decode.decode_codes(rows, lexicon, registry_substitution=True).orderBy("id").collect()
     assert [r.text for r in whole] == ["AB-1111", "AB-1111", "XYZ-2222"]
 
 
 def test_lexicon_order_does_not_matter(spark):
     rows = frame(spark, [(0, "pin", read("555555"))])
-    texts = {decode.decode_pins(rows, spark.createDataFrame(lex, "kind string, entry string, prefix string"), KEYS).first().text for lex in (PIN_LEXICON, PIN_LEXICON[::-1])}
+    texts = {decode.decode_pins(rows, spark.createDataFrame(lex, "kind string, entry string, prefix string")).first().text for lex in (PIN_LEXICON, PIN_LEXICON[::-1])}
     assert len(texts) == 1
 
 
@@ -99,7 +99,7 @@ def test_gate_and_fusion(spark):
 def test_modes_and_evaluation(spark):
     fields = frame(spark, [(0, "date", read("18/09/9006")), (1, "pin", read("123456"))]).withColumn("ground_truth", F.when(F.col("id") == 0, "18/09/2006").otherwise("123456"))
     lexicon = spark.createDataFrame(PIN_LEXICON, "kind string, entry string, prefix string")
-    predictions = modes.read_fields(fields, lexicon, KEYS)
+    predictions = modes.read_fields(fields, lexicon)
     board = {r.mode: r for r in evaluate.leaderboard(predictions).collect()}
     assert (board["raw_cnn"].exact_rate, board["raw_cnn"].char_accuracy) == (50.0, 93.75)
     assert board["tri_engine"].exact_rate == 100.0
@@ -209,7 +209,7 @@ def test_images_become_texts(spark, tmp_path):
     assert cut.where("size(features) <> 1024").count() == 0
     net = network.Network(network.drawn_weights(1))
     read = recognize.hypotheses(network.classify(cut, net), "0123456789")
-    texts = modes.read_fields(picture.hypotheses_of(read, keys), spark.createDataFrame([], "kind string, entry string, prefix string"), ["field_type", "field_id"]).collect()
+    texts = modes.read_fields(picture.hypotheses_of(read, keys), spark.createDataFrame([], "kind string, entry string, prefix string")).collect()
     assert len(texts) == 3 * 24 and all(r.latency_ms is None for r in texts)
 
 
@@ -279,13 +279,6 @@ def test_free_fields_merge_strokes():
     assert picture.free_boxes(np.zeros((40, 120), bool), 3) == []
 
 
-def test_nearest_entries_are_the_same_by_table_and_by_join(spark, monkeypatch):
-    sf = "/root/testdata/sf0.001"
-    one = QUERIES["g11_g12_pins"](spark, sf).collect()
-    monkeypatch.setattr(decode, "MOST_ENTRIES", 0)
-    assert sorted(map(str, QUERIES["g11_g12_pins"](spark, sf).collect())) == sorted(map(str, one))
-
-
 def test_audit_stream(spark, tmp_path):
     from glyphmill.streaming import audit_stream
 
