@@ -63,7 +63,7 @@ class Encoder:
 
     Where the file's normalizer and pre-tokenizer are the known ones, no token holds white space, two kinds of plain
     characters or two digits, so a text is cut there and its ids are those of its runs in order. Runs are named by
-    64-bit hashes. With another file, and for texts with a sign of an added token, the library gets whole texts.
+    62 bits and compared within a batch. With another file, and for texts with a sign of an added token, the library gets whole texts.
     """
 
     def __init__(self, path: str, dtype: str):

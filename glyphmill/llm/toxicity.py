@@ -7,8 +7,9 @@ holds words and word beginnings that labelled toxic documents have far more ofte
 lexicon, folds 3 and 4 the trees, and a quarter of these the calibration alone.
 
 Defined cases: null and empty texts have all features 0 and get a score like any other; with no labelled rows of both
-classes every score is 0; a document with several labels takes the largest; repeated rows are kept; an empty table of
-documents gives no rows; texts are read whole, whatever their length; other columns are ignored, whatever their names.
+classes every score is 0; a document with several labels takes the largest, and of several texts with one labelled key
+one is learned from; repeated rows are kept; an empty table of documents gives no rows; texts are read whole, whatever
+their length; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -296,9 +297,11 @@ def toxicity(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     known = labels.where(F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
     few = written(sampled(known, "doc_id", train_rows).withColumn("fold", fold), "toxicity-labels")
     bodies = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    first = written(bodies.join(F.broadcast(few.where("fold in (1, 2)")), "doc_id").select("text", "label"), "toxicity-texts")  # bounded by train_rows
+    first = bodies.join(F.broadcast(few.where("fold in (1, 2)")), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    first = written(first.select("text", "label"), "toxicity-texts")  # a text for each of at most train_rows keys
     table = written(feature_table(df, Reader(learned_lexicon(first)), key=key, text=text), "toxicity-features")
-    rows = table.join(F.broadcast(few.where("fold in (3, 4)")), "doc_id").select("features", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("calibrate")).collect()
+    rows = table.join(F.broadcast(few.where("fold in (3, 4)")), "doc_id").groupBy("doc_id", "label").agg(F.max("features").alias("features"))  # a row for each key
+    rows = sorted(rows.select("doc_id", "features", "label", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("calibrate")).collect(), key=lambda r: r["doc_id"])
     x = np.array([r["features"] for r in rows]).reshape(-1, len(FEATURES))
     scorer = Scorer(x, np.array([r["label"] for r in rows], np.int64), np.array([r["calibrate"] for r in rows], bool))
     sent = spark.sparkContext.broadcast(scorer)  # a fixed number of trees
