@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import constants as C
 from glyphmill.functions.chars import field_kind, least_confidence, mean_confidence, raw_text
 from glyphmill.functions.session import fresh_path
-from glyphmill.operators import audit, catalog, decode, evaluate, fields, glyphs, modes, network, recognize, segment, verify
+from glyphmill.operators import audit, catalog, decode, evaluate, fields, glyphs, modes, network, recognize, segment, training, verify
 from glyphmill.plans import fixtures, oracles
 from glyphmill.plans.fixtures import KEYS
 from glyphmill.plans.oracles import with_
@@ -473,6 +473,12 @@ def t10_best_epoch(spark, sf_dir):
     return glyphs.best_epoch(rows)
 
 
+@query()
+def t6_t9_training(spark, sf_dir):
+    rows = fixtures.table(spark, sf_dir, "embeddings")
+    return training.history_of(rows, training.train(rows, key="vec_id", features="embedding"))
+
+
 # --- sources and sinks: written, read again -------------------------------------------------------------------------
 
 
