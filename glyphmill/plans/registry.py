@@ -15,6 +15,9 @@ from glyphmill.plans import fixtures, oracles
 from glyphmill.plans.fixtures import KEYS
 from glyphmill.plans.oracles import with_
 from glyphmill.sources import files
+from glyphmill.sources.audit_log import AuditLog
+from glyphmill.streaming import history_stream
+from glyphmill.streaming.audit_stream import read_log_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -328,6 +331,29 @@ def a11_latest(spark, sf_dir):
     return audit.latest(fixtures.audit_events(spark, sf_dir)).select("event_id", "action", "total")
 
 
+# three batches, of which one comes twice, and a late one that repeats records of the first two
+@query(with_(oracles.LOG, "SELECT substr(sha256(CAST(event_id AS VARCHAR)), 1, 8) AS audit_id, event_id, coalesce(field_type, 'Custom') AS field_type, action, CASE WHEN action = 'REJECT' THEN '[REJECTED]' ELSE verified_text END AS verified_text, coalesce(notes, '') AS notes FROM log"))
+def s9_a9_repeatable_append(spark, sf_dir):
+    rows = audit.appended(fixtures.audit_events(spark, sf_dir))
+    log = AuditLog(spark, fresh_path(spark, "log"), rows.schema)
+    third = F.pmod(F.col("event_id"), F.lit(3))
+    for batch, wanted in (("a", third == 0), ("b", third == 1), ("b", third == 1), ("c", third == 2), ("late", F.col("event_id") % 7 == 0)):
+        log.append(rows.where(wanted), batch)
+    log.compact()
+    log.vacuum()
+    return log.read().drop("ts", "timestamp", "latency_s")
+
+
+@query(with_(oracles.LOG, "SELECT event_id, action, (SELECT count(*) FROM log) AS total FROM log ORDER BY ts DESC, event_id DESC LIMIT 500"))
+def a10_a11_streamed_history(spark, sf_dir):
+    rows = fixtures.audit_events(spark, sf_dir).select("event_id", "ts", "action")
+    source, out, mark = (fresh_path(spark, f"history-{k}") for k in ("in", "out", "mark"))
+    rows.repartition(6, F.xxhash64("event_id")).write.parquet(source)  # files in no order of time
+    stream = read_log_stream(spark, source, rows.schema, files_per_batch=2)
+    history_stream.follow(stream, out, mark).awaitTermination()
+    return history_stream.history(spark, out, rows.schema).select("event_id", "action", "total")
+
+
 @query(with_(oracles.LOG, "SELECT CASE WHEN action = 'ACCEPT' THEN CASE WHEN status = 'APPROVED' THEN 'AUTO-APPROVED' ELSE 'HUMAN-APPROVED' END WHEN action = 'CORRECT' THEN 'CORRECTED' ELSE 'REJECTED' END AS decision, count(*) AS n FROM log GROUP BY 1"))
 def a12_decisions(spark, sf_dir):
     return audit.decision_log(fixtures.audit_events(spark, sf_dir)).groupBy("decision").agg(F.count("*").alias("n"))
