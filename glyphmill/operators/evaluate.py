@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import constants as C
+from glyphmill.functions.session import fresh_path
 
 
 def _matches():
@@ -53,6 +54,47 @@ def threshold_sweep(predictions: DataFrame, mode: str = "tri_engine", conf: str
     return flat.select("theta", "accepted", auto.alias("auto_rate"), F.round(100.0 * F.col("right") / F.greatest("accepted", F.lit(1)), 1).alias("accuracy"), F.round(100.0 * (F.col("total") - F.col("accepted")) / F.greatest("total", F.lit(1)), 1).alias("review_rate"))
 
 
+BUCKETS = 4096
+
+
+def confidence_table(predictions: DataFrame, by: tuple[str, ...] = ("mode", "field_type", "is_comb_box"), conf: str = "conf") -> DataFrame:
+    """For every combination of ``by``, each also as ``all``, and each distinct confidence: what a gate at it lets through.
+
+    Rows (by..., conf, lower, total, accepted, approved, right): fields at or above the confidence, those of them with
+    valid syntax, those that are right; ``lower``: the next smaller confidence of the combination, so that the row holds
+    for every threshold in (lower, conf]. The predictions are read once; after one aggregate the sums run over distinct
+    confidences, within ``BUCKETS`` of them and then over the buckets, so that no task needs all of a combination. A null
+    confidence is below every threshold; a null syntax or truth counts as not valid or not right.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    flat = predictions.select(*[F.col(c).cast("string").alias(c) for c in by], F.coalesce(F.col(conf), F.lit(-1.0)).alias("conf"), yes(F.col("syntax_valid")).alias("valid"), yes(F.col("text") == F.col("ground_truth")).alias("right"))
+    once = flat.groupBy(*by, "conf").agg(F.count("*").alias("n"), F.sum("valid").alias("valid"), F.sum("right").alias("right"))
+    path = fresh_path(predictions.sparkSession, "confidences")
+    once.write.parquet(path)  # what follows reads it several times, the predictions never again
+    once = predictions.sparkSession.read.schema(once.schema).parquet(path)
+    sets = [[c for i, c in enumerate(by) if k >> i & 1] + ["conf"] for k in range(1 << len(by))]
+    cubed = once.groupingSets([[F.col(c) for c in s] for s in sets], *by, "conf").agg(*[F.when(F.grouping(c) == 1, "all").otherwise(F.coalesce(c, F.lit("none"))).alias(f"g_{c}") for c in by], F.sum("n").alias("n"), F.sum("valid").alias("valid"), F.sum("right").alias("right"))
+    rows = cubed.select(*[F.col(f"g_{c}").alias(c) for c in by], "conf", "n", "valid", "right")
+    top = rows.select(*by).distinct().select(*by, F.lit(float("inf")).alias("conf"), *[F.lit(0).cast("long").alias(c) for c in ("n", "valid", "right")])
+    rows = rows.union(top).withColumn("bucket", F.least(F.floor(F.greatest("conf", F.lit(0.0)) * BUCKETS), F.lit(BUCKETS)))
+    names = ("n", "valid", "right")
+    sums = rows.groupBy(*by, "bucket").agg(*[F.sum(c).alias(c) for c in names], F.max("conf").alias("highest"))
+    above = Window.partitionBy(*by).orderBy(F.desc("bucket"))
+    ends = sums.select(*by, "bucket", F.lead("highest").over(above).alias("next_below"), F.sum("n").over(Window.partitionBy(*by)).alias("total"), *[(F.sum(c).over(above) - F.col(c)).alias(f"over_{c}") for c in names])
+    inside = Window.partitionBy(*by, "bucket").orderBy(F.desc("conf"))
+    placed = rows.withColumns({"lower": F.lead("conf").over(inside), **{f"own_{c}": F.sum(c).over(inside) for c in names}})
+    joined = placed.join(ends, [*by, "bucket"])
+    value = lambda c: F.col(f"over_{c}") + F.col(f"own_{c}")
+    return joined.select(*by, "conf", F.coalesce("lower", "next_below", F.lit(float("-inf"))).alias("lower"), "total", value("n").alias("accepted"), value("valid").alias("approved"), value("right").alias("right"))
+
+
+def at_thresholds(table: DataFrame, thetas: list[float]) -> DataFrame:
+    """The table's rows that hold for each threshold (0 or more): (by..., theta, total, accepted, approved, right); no join."""
+    wanted = F.array(*[F.lit(float(t)) for t in thetas])
+    own = F.filter(wanted, lambda t: (t > F.col("lower")) & (t <= F.col("conf")))
+    return table.withColumn("theta", F.explode(own)).drop("conf", "lower")
+
+
 def calibration(predictions: DataFrame, bins: int = 10) -> DataFrame:
     """An extension: mean confidence and exact share per mode and confidence bin."""
     level = F.least(F.floor(F.col("conf") * bins), F.lit(bins - 1)).cast("int")

@@ -298,6 +298,15 @@ def a7_true_confidence_sweep(spark, sf_dir):
     return evaluate.threshold_sweep(_predictions(spark, sf_dir, "raw_cnn"), mode="raw_cnn")
 
 
+_ANY_THETA = """SELECT coalesce(mode, 'all') AS mode, coalesce(field_type, 'all') AS field_type, coalesce(comb, 'all') AS is_comb_box, theta, count(*) AS total, count_if(conf >= theta) AS accepted, count_if(conf >= theta AND syntax_valid) AS approved, count_if(conf >= theta AND text = ground_truth) AS "right"
+FROM (SELECT *, CAST(id % 2 = 0 AS VARCHAR) AS comb FROM predictions), (SELECT k / 100.0::DOUBLE AS theta FROM range(1, 101) r(k)) GROUP BY theta, CUBE (mode, field_type, comb)"""
+
+
+@query(with_(oracles.PREDICTIONS, _ANY_THETA))
+def m4_a7_any_threshold(spark, sf_dir):
+    return evaluate.at_thresholds(evaluate.confidence_table(_predictions(spark, sf_dir)), [k / 100.0 for k in range(1, 101)])
+
+
 @query(with_(oracles.PREDICTIONS, "SELECT mode, sum(levenshtein(text, ground_truth))::BIGINT AS edits, sum(length(ground_truth))::BIGINT AS chars, round(100.0::DOUBLE * sum(levenshtein(text, ground_truth)) / sum(length(ground_truth)), 2) AS cer FROM predictions GROUP BY mode"))
 def ext_edit_error_rate(spark, sf_dir):
     return evaluate.edit_error_rate(_predictions(spark, sf_dir))
@@ -487,10 +496,24 @@ def t1_t5_glyph_set(spark, sf_dir):
     return glyphs.glyph_set(spark, 500).select("label", "sample", F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), 4).alias("ink"))
 
 
-@query()
+_REPORT = f"""board AS ({_BOARD}), wrong AS (SELECT t AS truth, p AS pred, count(*) AS n FROM compared WHERE mode = 'raw_cnn' AND t <> p GROUP BY 1, 2 ORDER BY n DESC, truth, pred LIMIT 10), sweep AS ({_sweep_sql("conf", "tri_engine")})
+SELECT 'summary' AS part, mode AS name, fields AS n, chars AS m, char_accuracy AS a, exact_rate AS b FROM board UNION ALL SELECT 'confusion', truth || pred, n, NULL, NULL, NULL FROM wrong UNION ALL SELECT 'sweep', CAST(theta AS VARCHAR), accepted, NULL, auto_rate, review_rate FROM sweep"""
+
+
+@query(with_(oracles.PREDICTIONS + ",", _REPORT))
 def s6_report(spark, sf_dir):
-    rows = _predictions(spark, sf_dir)
-    return files.report_json(evaluate.leaderboard(rows), evaluate.top_confusions(rows), evaluate.threshold_sweep(rows))
+    rows = _predictions(spark, sf_dir).cache()
+    path = fresh_path(spark, "report")
+    files.write_report(files.report_json(evaluate.leaderboard(rows), evaluate.top_confusions(rows), evaluate.threshold_sweep(rows)), path)
+    rows.unpersist()
+    report = files.read_report(spark, path)
+    long_ = lambda name, first, n, m, a, b: report.select(F.explode(name).alias("r")).select(F.lit({"summary": "summary", "top_confusions": "confusion", "threshold_sweep": "sweep"}[name]).alias("part"), first.alias("name"), n.alias("n"), m.cast("long").alias("m"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    r, null = lambda c: F.col(f"r.{c}"), F.lit(None)
+    return (
+        long_("summary", r("mode"), r("fields"), r("chars"), r("char_accuracy"), r("exact_rate"))
+        .union(long_("top_confusions", F.concat(r("truth"), r("pred")), r("n"), null, null, null))
+        .union(long_("threshold_sweep", r("theta").cast("string"), r("accepted"), null, r("auto_rate"), r("review_rate")))
+    )
 
 
 @query("SELECT CAST(arg_min(epoch, (-accuracy, epoch)) AS INT) AS epoch, max(accuracy) AS accuracy FROM (SELECT CAST(n_nationkey + 1 AS INT) AS epoch, CAST((n_nationkey * 7) % 11 AS DOUBLE) AS accuracy FROM nation)")

@@ -80,6 +80,19 @@ def write_report(summary: DataFrame, path: str) -> None:
     summary.write.mode("overwrite").json(path)
 
 
+REPORT = (
+    "summary array<struct<mode:string,fields:long,chars:long,exact:long,char_accuracy:double,exact_rate:double,error_rate:double>>, "
+    "top_confusions array<struct<truth:string,pred:string,n:long>>, "
+    "threshold_sweep array<struct<theta:double,accepted:long,auto_rate:double,accuracy:double,review_rate:double>>"
+)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation reports, a row each."""
+    raw = spark.read.schema("report string").json(path)
+    return raw.select(F.from_json("report", REPORT).alias("r")).select("r.*")
+
+
 def report_json(summary: DataFrame, confusions: DataFrame, sweep: DataFrame) -> DataFrame:
     """One row with the whole evaluation report as JSON; the inputs are a few rows each."""
     packed = lambda df, name: df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
