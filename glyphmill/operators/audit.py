@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.session import fresh_path
+from glyphmill.functions.ranks import ranked
 
 KEPT, SHOWN = 500, 50
 
@@ -49,33 +49,9 @@ def decision_log(log: DataFrame, status: str = "status") -> DataFrame:
     return log.withColumn("decision", label)
 
 
-def placed(log: DataFrame, parts: int | None = None) -> DataFrame:
-    """The rows with the range of (ts, event_id) they fall in (``part``) and their place in it (from 0), written once.
-
-    The bounds come from a sample of both columns, so that a burst of rows at one time is cut by event_id. What is written
-    has fixed parts and places; a plan that was run again would draw other bounds.
-    """
-    spark = log.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = fresh_path(spark, "placed")
-    row = F.monotonically_increasing_id()  # the partition in the upper bits, the row's place in the lower 33
-    ranged = log.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("ts", "event_id").withColumn("__row", row)
-    ranged.write.parquet(path)
-    read = spark.read.schema(ranged.schema).parquet(path)
-    return read.select(*log.columns, F.shiftright("__row", 33).cast("int").alias("part"), F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
-
-
 def numbered(log: DataFrame, parts: int | None = None) -> DataFrame:
-    """Sequential record ids in time order, ties by event_id, by a prefix sum over ranges of rows.
-
-    The first pass counts the rows of each range; sums of the counts (a row a range) are the numbers before each; the
-    second adds them to the places. No task holds more than a range, however many rows share a minute or a time.
-    """
-    rows = placed(log.withColumnsRenamed({"part": "__own_part", "place": "__own_place"}), parts)
-    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    out = rows.join(F.broadcast(before), "part").withColumn("record_id", F.concat(F.lit("REC-"), (F.col("place") + F.col("before") + 1001).cast("string")))
-    return out.drop("part", "place", "before").withColumnsRenamed({"__own_part": "part", "__own_place": "place"})
+    """Sequential record ids in time order, ties by event_id, without a global sort in one task; see ``ranks``."""
+    return ranked(log, [], ["ts", "event_id"], "__rank", parts).withColumn("record_id", F.concat(F.lit("REC-"), (F.col("__rank") + 1000).cast("string"))).drop("__rank")
 
 
 def payload(predictions: DataFrame) -> DataFrame:

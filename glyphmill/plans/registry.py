@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import constants as C
 from glyphmill.functions.chars import field_kind, least_confidence, mean_confidence, raw_text
 from glyphmill.functions.session import fresh_path
-from glyphmill.operators import audit, catalog, decode, evaluate, fields, glyphs, modes, network, recognize, segment, training, verify
+from glyphmill.operators import audit, catalog, decode, evaluate, fields, glyphs, modes, network, recognize, regions, segment, training, verify
 from glyphmill.plans import fixtures, oracles
 from glyphmill.plans.fixtures import KEYS
 from glyphmill.plans.oracles import with_
@@ -485,10 +485,20 @@ def i21_unit_scaled(spark, sf_dir):
     return rows.select("img_id", F.round(F.aggregate(segment.unit_scaled(F.col("v")), F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query()
+_REGIONS = f"""WITH RECURSIVE {oracles.PIXELS.strip()},
+row_runs AS (SELECT img_id, y, min(x) AS a, max(x) AS b, row_number() OVER (ORDER BY img_id, y, min(x)) AS k FROM (SELECT *, x - row_number() OVER (PARTITION BY img_id, y ORDER BY x) AS g FROM ink) GROUP BY img_id, y, g HAVING count(*) < 20),
+touching AS (SELECT p.k AS p, q.k AS q FROM row_runs p JOIN row_runs q ON p.img_id = q.img_id AND q.y = p.y + 1 AND q.a <= p.b + 1 AND q.b >= p.a - 1),
+both_ways AS (SELECT p, q FROM touching UNION ALL SELECT q, p FROM touching),
+reached(p, q) AS (SELECT k, k FROM row_runs UNION SELECT r.p, e.q FROM reached r JOIN both_ways e ON e.p = r.q),
+region AS (SELECT p AS k, min(q) AS root FROM reached GROUP BY p),
+found AS (SELECT img_id, CAST(min(a) AS INT) AS x, CAST(min(y) AS INT) AS y, CAST(max(b) - min(a) + 1 AS INT) AS w, CAST(max(y) - min(y) + 1 AS INT) AS h, CAST(sum(b - a + 1) AS INT) AS area FROM row_runs JOIN region USING (k) GROUP BY img_id, root)
+SELECT img_id, CAST(row_number() OVER (PARTITION BY img_id ORDER BY x, y, w, h, area) - 1 AS INT) AS seq, x, y, w, h, area FROM found"""
+
+
+@query(_REGIONS)
 def i11_components(spark, sf_dir):
     ink = segment.field_ink(fixtures.pixels(spark, sf_dir))
-    return glyphs.image_components(segment.without(ink, segment.underlines(ink, 40)), 40, 40)
+    return regions.regions(segment.without(ink, segment.underlines(ink, 40)))
 
 
 @query()
