@@ -1,25 +1,31 @@
-"""Benchmark decontamination: word n-grams find the places, Smith-Waterman alignment of words scores them.
+"""Benchmark decontamination: rare words of the items find the places, Smith-Waterman alignment of words scores them.
 
-Each test item's word n-grams are looked up in every text. Where a text shares at least ``SHARED`` n-grams of an item
-nearby, the surrounding words are aligned with the item, however frequent these n-grams are; only places whose words,
-were all of them in order, could not reach the threshold are passed over. The score is the alignment's, divided by
-that of the whole item against itself: substituted, lost and added words lower it. A pair counts from ``THRESHOLD`` on.
+An alignment that scores a share t of an item of m words has at least t * m of its words in order, so it leaves out at
+most m - t * m of them. Of any m - t * m + c of the item's words it therefore has c; the c + m - t * m words that the
+fewest documents hold are the item's seeds. A place where c seeds stand within the longest stretch that such an alignment
+can have is aligned with the item, unless its words, were all of them in order, could not reach the threshold. Nothing
+that reaches the threshold is passed over, however its edits are spread: longer n-grams as seeds would miss copies in
+which every second or third word is replaced. How many documents hold a word is counted over all of them.
 
-Items are few by nature: they are broadcast with their n-grams, about 80 bytes for each character of text. More than
-``MOST_ITEM_CHARS`` are dealt into groups by a hash, and the texts are read once for each group.
+The score is the alignment's, divided by that of the whole item against itself: substituted, lost and added words lower
+it. A pair counts from ``THRESHOLD`` on, and with ``LEAST`` words at least (all of an item that has no more).
 
-Defined cases: null or empty texts and items match nothing; an item with fewer words than an n-gram matches as a
-whole; texts of any length are read whole, and places in them are aligned in pieces that overlap by more than an item;
-repeated rows of a document or item are one; an empty table on either side gives no rows; equal scores of several
-places in a text: the first place counts; other columns are ignored by ``contaminated``, whatever their names, and kept
-by ``clean``.
+Items are few by nature: they are broadcast with their words, about 80 bytes for each character of text. More than
+``MOST_ITEM_CHARS`` are dealt into groups by a hash, and the texts are read twice for each group.
+
+Defined cases: null or empty texts and items match nothing; texts of any length are read whole, and places in them are
+aligned in pieces that overlap by more than an alignment; repeated rows of a document or item are one; an empty table on
+either side gives no rows; equal scores of several places in a text: the first place counts; other columns are ignored
+by ``contaminated``, whatever their names, and kept by ``clean``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,47 +33,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import settle, without, written
+from glyphmill.llm.runs import pieces_of, ranges
 
 WORD = re.compile(r"[^\W_]+")
-N, SHARED, THRESHOLD = 3, 2, 0.5
+THRESHOLD, LEAST = 0.5, 6
+#: Seeds that a place needs: one for so many words of an item, and at most so many.
+WORDS_A_SEED, MOST_SEEDS = 8, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 MOST_ITEM_CHARS = 2 << 20
-#: Words of places that wait for their alignment, and table cells of one alignment, at a time.
-WAITING, CELLS = 1 << 20, 1 << 20
+#: Bytes of text of a batch; words of places that wait for their alignment, and table cells of one alignment, at a time.
+CHUNK, WAITING, CELLS = 1 << 20, 1 << 20, 1 << 20
 
 
 class Items:
-    """Words, n-grams and their numbers of all items."""
+    """Words of all items, and the seeds of each once the documents are counted."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int = N):
-        self.n = n
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
         self.words: dict[str, int] = {}
         self.ids, self.bodies = [], []
-        grams: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for item, text in sorted({(i, t) for i, t in items if t}, key=lambda x: (x[0] is None, x)):
             body = np.array([self.words.setdefault(w, len(self.words)) for w in WORD.findall(text.lower())], np.int64)
-            if not len(body):
-                continue
-            at = len(self.ids)
-            self.ids.append(item)
-            self.bodies.append(body)
-            for q in range(max(1, len(body) - n + 1)):
-                grams.setdefault(tuple(body[q : q + n].tolist()), []).append((at, q))
+            if len(body):
+                self.ids.append(item)
+                self.bodies.append(body)
         self.bags = [np.unique(body, return_counts=True) for body in self.bodies]
-        self.places = list(grams.values())
-        self.sizes = sorted({len(g) for g in grams})
-        self.table = {}
-        for size in self.sizes:
-            keyed = sorted((int(self._mix(np.array([g]))[0]), k) for k, g in enumerate(grams) if len(g) == size)
-            self.table[size] = (np.array([h for h, _ in keyed], np.int64), np.array([k for _, k in keyed], np.int64))
-
-    @staticmethod
-    def _mix(rows: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(rows), np.int64)
-        with np.errstate(over="ignore"):
-            for k in range(rows.shape[1]):
-                out = (out ^ (rows[:, k] + 1)) * np.int64(0x9E3779B97F4A7C1)
-        return out
+        self.least = [max(threshold, min(1.0, LEAST / len(body))) for body in self.bodies]
+        matched = [math.ceil(t * len(body) - 1e-9) for t, body in zip(self.least, self.bodies, strict=True)]
+        self.need = np.array([min(max(1, len(body) // WORDS_A_SEED), MOST_SEEDS, m) for m, body in zip(matched, self.bodies, strict=True)], np.int64)
+        self.spare = [len(body) - m for m, body in zip(matched, self.bodies, strict=True)]
+        self.reach = np.array([math.ceil(len(body) * (3 - 2 * t)) for t, body in zip(self.least, self.bodies, strict=True)], np.int64)
+        self.first = np.zeros(len(self.words) + 1, np.int64)
+        self.seeded = np.zeros(0, np.int64)
+
+    def ranked(self, documents: np.ndarray) -> None:
+        """Sets the seeds, by the number of documents that hold each word."""
+        pairs = []
+        for k, body in enumerate(self.bodies):
+            rarest = body[np.lexsort((body, documents[body]))][: self.spare[k] + int(self.need[k])]
+            pairs += [(w, k) for w in np.unique(rarest).tolist()]
+        pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.words) + 1))
+        self.seeded = pairs[:, 1]
 
     def most_share(self, at: int, window: np.ndarray) -> float:
         """No alignment of this item with the window has a larger score share: that of their words in common."""
@@ -75,28 +81,35 @@ class Items:
         j = np.minimum(np.searchsorted(own, window), len(own) - 1)
         return int(np.minimum(np.bincount(j[own[j] == window], minlength=len(own)), often).sum()) / len(self.bodies[at])
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a text (word ids, -1 for words of no item) and the numbers of the n-grams there."""
-        at, found = [], []
-        for size in self.sizes:
-            m = len(ids) - size + 1
-            if m < 1:
-                continue
-            every = ids[:m] >= 0
-            for k in range(1, size):
-                every &= ids[k : k + m] >= 0
-            p = np.flatnonzero(every)
-            hashes, numbers = self.table[size]
-            h = self._mix(np.stack([ids[p + k] for k in range(size)], 1))
-            j = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            ok = hashes[j] == h
-            at.append(p[ok])
-            found.append(numbers[j[ok]])
-        if not at:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at, found = np.concatenate(at), np.concatenate(found)
-        order = np.argsort(at, kind="stable")
-        return at[order], found[order]
+    def numbered(self, words: list[str]) -> np.ndarray:
+        """The words' numbers, -1 for words of no item."""
+        return np.fromiter(map(self.words.get, words, repeat(-1)), np.int64, len(words))
+
+    def places(self, ids: np.ndarray, edge: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, text, first word, last word + 1) of the stretches where an item's seeds stand close enough, by item and place.
+
+        ids: the words of several texts, with at least the longest reach of -1 between them; edge and sizes: where each
+        text begins and how many words it has.
+        """
+        p = np.flatnonzero(ids >= 0)
+        often = self.first[ids[p] + 1] - self.first[ids[p]]
+        place, item = np.repeat(p, often), self.seeded[ranges(self.first[ids[p]], often)]
+        order = np.lexsort((place, item))
+        place, item = place[order], item[order]
+        last = np.arange(len(item)) + self.need[item] - 1
+        inside = last < len(item)
+        last = np.where(inside, last, 0)
+        k = np.flatnonzero(inside & (item[last] == item) & (place[last] - place < self.reach[item]))
+        text = np.searchsorted(edge, place[k], side="right") - 1
+        low = np.maximum(place[last[k]] - self.reach[item[k]] + 1, edge[text])
+        high = np.minimum(place[k] + self.reach[item[k]], edge[text] + sizes[text])
+        out: list[tuple[int, int, int, int]] = []
+        for i, t, a, b in zip(item[k].tolist(), text.tolist(), low.tolist(), high.tolist(), strict=True):
+            if out and out[-1][:2] == (i, t) and a <= out[-1][3]:
+                out[-1] = (i, t, out[-1][2], max(b, out[-1][3]))
+            else:
+                out.append((i, t, a, b))
+        return out
 
 
 def align(item: np.ndarray, windows: list[np.ndarray]) -> list[tuple[float, int, int]]:
@@ -127,31 +140,25 @@ def _best_ends(item: np.ndarray, windows: list[np.ndarray]) -> list[tuple[int, i
     return list(zip(best.tolist(), where.tolist(), strict=True))
 
 
-def _windows(at: np.ndarray, q: np.ndarray, size: int, n: int, shared: int) -> Iterator[tuple[int, int]]:
-    """Stretches of a text (first word, last word + 1) around the places that share n-grams with one item."""
-    slack = size // 4 + 3
-    for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > size + slack) + 1):
-        if len(set(q[group].tolist())) < min(shared, max(1, size - n + 1)):
-            continue
-        low = max(0, int((at[group] - q[group]).min()) - slack)
-        high = int((at[group] - q[group]).max()) + size + slack
-        while True:
-            end = min(high, low + 6 * size + slack)
-            if ((at[group] >= low) & (at[group] < end)).any():
-                yield low, end
-            if end >= high:
-                break
-            low += 4 * size
-
-
-def contaminated(df: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = N, shared: int = SHARED, threshold: float = THRESHOLD, most_chars: int = MOST_ITEM_CHARS) -> DataFrame:
+def _pieces(low: int, high: int, reach: int) -> Iterator[tuple[int, int]]:
+    """Pieces of a stretch that overlap by more than an alignment."""
+    while True:
+        end = min(high, low + 6 * reach)
+        yield low, end
+        if end >= high:
+            return
+        low = end - reach
+
+
+def contaminated(df: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, most_chars: int = MOST_ITEM_CHARS) -> DataFrame:
     """Rows (doc_id, item_id, score, start, end): the place is in characters of the text."""
     few = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     size = few.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     groups = -(-size // most_chars)
+    bodies = df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     if groups <= 1:
-        return _first_places(_places(df, few, key, text, n, shared, threshold))
-    found = [written(_places(df, few.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k), key, text, n, shared, threshold), "contaminated") for k in range(groups)]
+        return _first_places(_places(bodies, few, threshold))
+    found = [written(_places(bodies, few.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == k), threshold), "contaminated") for k in range(groups)]
     return _first_places(reduce(DataFrame.union, found))
 
 
@@ -161,47 +168,65 @@ def _first_places(scored: DataFrame) -> DataFrame:
     return scored.withColumn("__rank", first).where("__rank = 1").drop("__rank")
 
 
-def _places(df: DataFrame, few: DataFrame, key: str, text: str, n: int, shared: int, threshold: float) -> DataFrame:
+def document_counts(bodies: DataFrame, words: dict[str, int]) -> np.ndarray:
+    """How many of the texts hold each word; a number for each word of the items."""
+    sent = bodies.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
+        known = sent.value
+        names = known.keys()
+        total = np.zeros(len(known), np.int64)
+        for piece in (p for batch in batches for p in pieces_of(batch, 0, CHUNK)):
+            for body in piece.column(0).to_pylist():
+                if body:
+                    total[[known[w] for w in names & WORD.findall(body.lower())]] += 1
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["word", "n"])
+
+    out = np.zeros(len(words), np.int64)
+    for r in bodies.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row a word of the items
+        out[r["word"]] = r["n"]
+    return out
+
+
+def _places(bodies: DataFrame, few: DataFrame, threshold: float) -> DataFrame:
     """Rows (doc_id, item_id, score, start, end) of all places that reach the threshold."""
-    sent = df.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in few.collect()], n))  # at most most_chars of text
+    own = Items([tuple(r) for r in few.collect()], threshold)  # at most most_chars of text
+    own.ranked(document_counts(bodies, own.words))
+    sent = bodies.sparkSession.sparkContext.broadcast(own)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settle()
         book = sent.value
-        known = book.words
-        for batch in batches:
-            waiting: dict[int, list[tuple[int, np.ndarray, list[tuple[int, int]]]]] = {}
-            held = 0
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = WORD.findall(body.lower()) if body else []
-                ids = np.array([known.get(w, -1) for w in words], np.int64)
-                at, found = book.hits(ids)
-                if not len(at):
-                    continue
-                by_item: dict[int, list[tuple[int, int]]] = {}
-                for p, g in zip(at.tolist(), found.tolist(), strict=True):
-                    for item, q in book.places[g]:
-                        by_item.setdefault(item, []).append((p, q))
-                spans = None
-                for item, places in by_item.items():
-                    p, q = np.array(places).T
-                    for low, high in _windows(p, q, len(book.bodies[item]), n, shared):
-                        window = ids[low:high]
-                        if book.most_share(item, window) < threshold:
-                            continue
-                        if spans is None:
-                            spans = _spans(body, len(words))
-                        waiting.setdefault(item, []).append((doc, window, spans[low:high]))
-                        held += len(window)
-                        if held > WAITING:
-                            yield _scored(book, waiting, threshold)
-                            waiting, held = {}, 0
-            yield _scored(book, waiting, threshold)
-
-    return df.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(find, "doc_id long, item_id long, score double, start long, end long")
-
-
-def _scored(book: Items, waiting: dict[int, list[tuple[int, np.ndarray, list[tuple[int, int]]]]], threshold: float) -> pa.RecordBatch:
+        waiting: dict[int, list[tuple[int, np.ndarray, list[tuple[int, int]]]]] = {}
+        held = 0
+        for piece in (p for batch in batches for p in pieces_of(batch, 1, CHUNK)):
+            keys, texts = piece.column(0).to_pylist(), piece.column(1).to_pylist()
+            words = [WORD.findall(t.lower()) if t else [] for t in texts]
+            apart = int(book.reach.max(initial=0))  # words of no item between texts: no stretch spans two of them
+            sizes = np.array([len(w) for w in words], np.int64)
+            edge = np.cumsum(sizes + apart) - sizes - apart
+            ids = np.full(int((sizes + apart).sum()), -1, np.int64)
+            ids[ranges(edge, sizes)] = book.numbered([w for own in words for w in own])
+            spans: dict[int, list[tuple[int, int]]] = {}
+            for item, row, low, high in book.places(ids, edge, sizes):
+                for a, b in _pieces(low, high, int(book.reach[item])):
+                    if book.most_share(item, ids[a:b]) < book.least[item] - 1e-9:
+                        continue
+                    if row not in spans:
+                        spans[row] = _spans(texts[row], len(words[row]))
+                    waiting.setdefault(item, []).append((keys[row], ids[a:b].copy(), spans[row][a - edge[row] : b - edge[row]]))
+                    held += b - a
+            if held > WAITING:
+                yield _scored(book, waiting)
+                waiting, held = {}, 0
+        yield _scored(book, waiting)
+
+    return bodies.mapInArrow(find, "doc_id long, item_id long, score double, start long, end long")
+
+
+def _scored(book: Items, waiting: dict[int, list[tuple[int, np.ndarray, list[tuple[int, int]]]]]) -> pa.RecordBatch:
     """The result rows of the waiting places (doc_id, words, their spans), by item."""
     out = []
     for item, places in waiting.items():
@@ -213,7 +238,7 @@ def _scored(book: Items, waiting: dict[int, list[tuple[int, np.ndarray, list[tup
             some = places[k : k + most]
             k += most
             ends = _best_ends(body, [w for _, w, _ in some])
-            good = [r for r, (score, _) in zip(some, ends, strict=True) if score / (MATCH * len(body)) >= threshold]
+            good = [r for r, (score, _) in zip(some, ends, strict=True) if score / (MATCH * len(body)) >= book.least[item] - 1e-9]
             for (doc, _, spans), (value, low, high) in zip(good, align(body, [w for _, w, _ in good]), strict=True):
                 out.append((doc, book.ids[item], value, spans[low][0], spans[high - 1][1]))
     return pa.record_batch([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "score", "start", "end"])

@@ -555,6 +555,46 @@ def test_places_equal_an_alignment_with_the_whole_text(spark):
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 25
 
 
+@pytest.mark.parametrize("every", [2, 3, 4, 7])
+def test_evenly_edited_copies_above_the_threshold_are_all_found(spark, every):
+    """Every second to seventh word replaced, lost or followed by another one, in texts of the items' own common words."""
+    rng = np.random.default_rng(every)
+    items, docs = [], []
+    for k in range(40):
+        item = prose(300 + k, int(rng.integers(16, 60))).split()
+        kind = k % 3
+        copy = []
+        for i, w in enumerate(item):
+            turn = i % every == every - 1
+            copy += ["new"] if turn and kind == 0 else [] if turn and kind == 1 else [w, "more"] if turn else [w]
+        items.append((k, " ".join(item)))
+        docs.append((k, prose(400 + k, 70) + " " + " ".join(copy) + " " + prose(500 + k, 70)))
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            score = brute_alignment(item.split(), text.split()) / (2 * len(item.split()))
+            if score >= decontam.THRESHOLD:
+                want[d, i] = score
+    assert got == pytest.approx(want) and len(want) >= (13 if every == 2 else 39)
+
+
+def test_short_items_need_six_words_or_all(spark):
+    items = [(1, "one two three"), (2, "aa bb cc dd ee ff gg hh"), (3, "x")]
+    docs = [(1, "zero one two three four"), (2, "one two thre"), (3, "q aa bb cc dd ee ff q"), (4, "q aa bb cc dd ee q"), (5, "x"), (6, "xx y")]
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (3, 2), (5, 3)}
+
+
+def test_seeds_are_the_rarest_words_of_all_documents(spark):
+    book = decontam.Items([(1, "a b c d e f g h i j k l")])
+    docs = spark.createDataFrame([(i, " ".join("abcdefghijkl"[: i % 13]) + " A") for i in range(60)], "doc_id long, text string")
+    counts = decontam.document_counts(docs, book.words)
+    assert counts.tolist() == [60] + [sum(i % 13 >= k for i in range(60)) for k in range(2, 13)]
+    book.ranked(counts)
+    assert [w for w in range(12) if book.first[w + 1] > book.first[w]] == list(range(5, 12))
+
+
 def brute_alignment(a, b):
     table = np.zeros((len(a) + 1, len(b) + 1), int)
     for i, x in enumerate(a, 1):
