@@ -1,17 +1,18 @@
 """Main text of web pages by composite text density.
 
 A page becomes a DOM tree. For every node the density is its characters per tag, adjusted by its link characters and
-link tags and by the body's link share. A node's density sum is that of its children. The least density on the path
-from the body to the node with the largest sum is the threshold; every subtree whose density passes it gives its
-largest-sum node, and what is left of it is searched in the same way, so that text in several blocks is kept whole.
-Text that stands directly in a node that passes is kept with its inline elements. Paragraphs, headings and lists beside
-a chosen one, under the same parent, are kept however short they are, unless all of their text is links.
-
-Names weigh, they don't choose: the characters of a part that names itself (by tag, class, id or role) as a menu,
-header, footer, sidebar, notice, advert, form or reader comments count as link characters, so that its density and its
-share in others' vanish, and it is left out of the text of whatever holds it. A name is not believed where hardly any
-text is left without it and the part holds most of the page's text and tags (an unclosed menu, a form around all).
-No element is chosen for its tag.
+link tags and by the body's link share; a part that names itself (by tag, whole class or id, or role) as a menu, header,
+footer, sidebar, notice, advert, form or reader comments, and all in it, has ``NAMED`` of it. A node's density sum is that
+of its children. The node with the largest sum is the main one; from it the search goes down as long as one child's own
+sum is more than what all of the node but that child adds to the sum, so that a page's frame does not stand for its
+article. The least density on the path from the body to the main node is the threshold. Another subtree that passes it is
+kept, too, if its largest sum is at least ``SHARE`` of the main one's, so that text in several blocks is whole; text that
+stands directly in a node that passes is kept with its inline elements. Paragraphs, headings and lists beside a chosen
+one, under the same parent, are kept however short they are, unless all of their text is links.
+
+What is left out is left out for its density: within what is kept, a part that names itself goes where its lowered density
+does not reach the threshold. Where all of a page stands in such a part (an unclosed menu, a form around all), all
+densities are lowered alike and the choice is the same.
 
 Defined cases: null, empty or text-free pages give empty text; tags that are not closed end with their parent; a page
 cut off in the middle gives what it has; an unfinished tag at the end is dropped; of equal density sums the outermost,
@@ -37,26 +38,25 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title xmp iframe svg math object canvas".split())
 #: Elements that name themselves as something outside the article.
-OUTSIDE = frozenset("head nav footer aside form button select option menu dialog label fieldset audio video".split())
+OUTSIDE = frozenset("head nav footer aside form button select option menu dialog audio video".split())
 #: Elements that do not separate words.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr nobr".split())
-#: Words of class and id that name a part outside the article.
+#: Names of parts outside the article, and words that may stand beside one in a class or id: ``site-header``.
 ROLES = frozenset(
     "ad ads advert advertisement advertising adverts sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
-    "sidebar aside rail widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar share sharing social related recommended "
+    "sidebar aside rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar share sharing social related recommended "
     "recommendations comment comments disqus reply replies respond newsletter subscribe subscription signup login popup modal overlay pagination pager skip toolbar".split()
 )
+BESIDE = frozenset("main site page global top bottom left right primary secondary inner outer area bar box block list group container wrapper wrap slot section form items item links buttons post posts to".split())
 ARIA = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Opening one of the keys ends an open element of the values, within the nearest of the borders.
 _P_ENDERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "thead", "tbody", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SCOPE = frozenset("body html table td th article section main div aside nav header footer form button object caption".split())
-#: Words by which a name speaks of something else: ``has-sidebar``; with ``header``: the article's own.
-_ABOUT, _OWN = frozenset("has with no without".split()), frozenset("article entry post story content".split())
 #: Blocks that belong together under one parent.
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
-#: A name is believed while it leaves at least this share of the page's text.
-LEAST_LEFT = 0.05
+#: What a part's name leaves of its density; the least part of the main sum that another block of text has.
+NAMED, SHARE = 0.02, 0.2
 
 
 class Node:
@@ -91,9 +91,9 @@ def _names_itself(tag: str, attributes: str, here: Node) -> bool:
 
 
 def _is_role(name: str) -> bool:
+    """Whether a whole class or id is a role, or roles with words that go with any."""
     words = {w.lower() for w in _WORDS.findall(name)}
-    roles = words & ROLES
-    return bool(roles) and not words & _ABOUT and not (roles == {"header"} and words & _OWN)
+    return bool(words & ROLES) and all(w in ROLES or w in BESIDE or w.isdigit() for w in words)
 
 
 def _in_article(node: Node | None) -> bool:
@@ -175,10 +175,11 @@ def measure(body: Node) -> list[Node]:
                 node.chars += len(kid) - kid.count(" ") - kid.count("\n")
         if node.tag in ("a", "button"):
             node.link_chars = node.chars
-    _weigh_names(body, order)
+    for node in order:
+        node.outside = node.named or (node.parent is not None and node.parent.outside)
     share = body.link_chars / max(1, body.chars)
     for node in order:
-        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share) * (NAMED if node.outside else 1.0)
     for node in reversed(order):
         kids = node.nodes()
         node.total = sum(k.density for k in kids)
@@ -200,60 +201,51 @@ def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float
     return chars / t * math.log(inner) / math.log(base) if inner > 1 else 0.0
 
 
-def _weigh_names(body: Node, order: list[Node]) -> None:
-    """Counts the characters of parts that name themselves as links, unless the name can't be true."""
-    plain = lambda n: n.chars - n.link_chars
+def main_node(body: Node) -> Node:
+    """The node with the largest density sum, or below it the one whose own sum outweighs all that stands beside it."""
+    node = body.best
     while True:
-        outer, stack = [], [body]
-        while stack:
-            node = stack.pop()
-            if node.named:
-                outer.append(node)
-            else:
-                stack.extend(node.nodes())
-        false = [n for n in outer if 2 * plain(n) > plain(body) and 2 * (n.tags + 1) > body.tags]
-        if not false or plain(body) - sum(map(plain, outer)) >= LEAST_LEFT * plain(body):
-            break
-        false[0].named = False  # two can't both hold most of the page
-    for node in order:
-        node.outside = node.named or (node.parent is not None and node.parent.outside)
-    for node in outer:
-        more, above = plain(node), node.parent
-        while above is not None and more:
-            above.link_chars += more
-            above = above.parent
-    for node in order:
-        if node.outside:
-            node.link_chars = node.chars
-
-
-def main_parts(body: Node) -> tuple[set[Node], set[Node]]:
-    """The nodes whose subtrees are main text, and those whose own text (with inline elements) is."""
-    measure(body)
-    best = body.best
-    threshold = min(n.density for n in _path(best))
+        inside = [k for k in node.nodes() if k.tag not in _TEXT and k.tag not in INLINE]
+        heavy = max(inside, key=lambda k: k.best.total, default=None)
+        if heavy is None or heavy.best.total <= node.total - heavy.density:
+            return node
+        node = heavy.best
+
+
+def main_parts(body: Node) -> tuple[set[Node], set[Node], set[Node]]:
+    """The nodes whose subtrees are main text, those whose own text (with inline elements) is, and those that are left out of both."""
+    order = measure(body)
+    best = main_node(body)
+    path = set(_path(best))
+    threshold = min(n.density for n in path)
+    cut = {n for n in order if n.named and n not in path and n.density < threshold}
     whole: set[Node] = set()
     own: set[Node] = set()
     stack = [body]
     while stack:
         node = stack.pop()
-        if node.outside:
+        if node in cut:
             continue
         if node is body and best is body:
             own.add(body)
             whole.update(k for k in body.nodes() if k.chars > k.link_chars)
             continue
-        if node.density >= threshold and node.density > 0:
+        if node is best:
+            whole.add(node)
+            continue
+        if node.density >= threshold and node.density > 0 and node not in path and max(node.best.total, node.density) >= SHARE * best.total:
             whole.add(node.best)
             if node.best is node:
                 continue
             if any(k.__class__ is str and not k.isspace() for k in node.kids):
                 own.add(node)
+        if node in path and node is not body and any(k.__class__ is str and not k.isspace() for k in node.kids):
+            own.add(node)
         stack.extend(node.nodes())
     for node in list(whole):
         if node.tag in _TEXT and node.parent is not None:
             whole.update(k for k in node.parent.nodes() if k.tag in _TEXT and k.chars > k.link_chars)
-    return whole, own
+    return whole, own, cut
 
 
 def _path(node: Node | None) -> Iterator[Node]:
@@ -263,7 +255,7 @@ def _path(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def text_of(node: Node, whole: set[Node], own: set[Node]) -> str:
+def text_of(node: Node, whole: set[Node], own: set[Node], cut: set[Node]) -> str:
     """Main blocks in page order, white space as single spaces."""
     parts: list[str] = []
     stack: list = [(node, False)]
@@ -273,9 +265,9 @@ def text_of(node: Node, whole: set[Node], own: set[Node]) -> str:
             parts.append(one if kept else " ")
             continue
         kept = kept or one in whole
-        if one.tag not in INLINE or not kept or one.outside:
+        if one.tag not in INLINE or not kept or one in cut:
             parts.append(" ")
-            if one.outside:
+            if one in cut:
                 continue
             stack.append((" ", True))
         running = one in own
