@@ -162,6 +162,8 @@ def measure(body: Node) -> list[Node]:
     order, stack = [], [body]
     while stack:
         node = stack.pop()
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.best = node
         order.append(node)
         stack.extend(node.nodes())
     for node in reversed(order):
