@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import release
+from glyphmill.llm.common import mapped
 
 #: Column layouts of pieces: name -> numpy type.
 Layout = dict[str, str]
@@ -82,10 +82,5 @@ def joined(pieces: list[np.ndarray], dtype: str) -> np.ndarray:
 
 
 def exchanged(df: DataFrame, parts: int, run: Callable, schema: str) -> DataFrame:
-    """Sends the pieces to their targets and maps each target, whose memory goes back to the system: the worker waits for other tasks."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        release()
-
-    return df.repartitionById(parts, F.col("part")).mapInArrow(task, schema)
+    """Sends the pieces to their targets and maps each target."""
+    return mapped(df.repartitionById(parts, F.col("part")), run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import weakref
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,13 +15,34 @@ from glyphmill.functions.session import fresh_path, importable
 
 #: Ids (8 bytes each) that may be broadcast; beyond, the texts are shuffled.
 MOST_BROADCAST = 2_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _MEMOS: list[weakref.ref] = []
 #: glibc's call that returns freed memory; other C libraries do without.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Sends texts to Python workers in batches of some MB, where the session has Spark's own bound (64 MB).
+
+    By the number of rows alone a batch of long texts has tens of MB, which the JVM and the worker hold several times.
+    """
+    if spark.conf.get(_BATCH, None) in (None, "64MB", "64m", "67108864", "67108864b"):
+        spark.conf.set(_BATCH, "8m")
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` by tasks that give their memory back to the system in the end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(task, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import settle, without, written
+from glyphmill.llm.common import mapped, settle, without, written
 from glyphmill.llm.runs import pieces_of, ranges
 
 WORD = re.compile(r"[^\W_]+")
@@ -185,7 +185,7 @@ def document_counts(bodies: DataFrame, words: dict[str, int]) -> np.ndarray:
         yield pa.record_batch([pa.array(at), pa.array(total[at])], ["word", "n"])
 
     out = np.zeros(len(words), np.int64)
-    for r in bodies.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row a word of the items
+    for r in mapped(bodies.select("text"), count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():  # a row a word of the items
         out[r["word"]] = r["n"]
     return out
 
@@ -223,7 +223,7 @@ def _places(bodies: DataFrame, few: DataFrame, threshold: float) -> DataFrame:
                 waiting, held = {}, 0
         yield _scored(book, waiting)
 
-    return bodies.mapInArrow(find, "doc_id long, item_id long, score double, start long, end long")
+    return mapped(bodies, find, "doc_id long, item_id long, score double, start long, end long")
 
 
 def _scored(book: Items, waiting: dict[int, list[tuple[int, np.ndarray, list[tuple[int, int]]]]]) -> pa.RecordBatch:

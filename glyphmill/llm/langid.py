@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import held_out, plain_names, sampled, settle
+from glyphmill.llm.common import held_out, mapped, plain_names, sampled, settle
 from glyphmill.llm.runs import Hashes, code_points, pieces_of, ranges
 
 UNKNOWN = "und"
@@ -171,7 +171,7 @@ def learn(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
                     words = Words(bodies[names == name].tolist())
                     yield pa.record_batch([pa.array([name] * len(words.first), pa.string()), pa.array(words.distinct(), pa.string()), pa.array(np.bincount(words.back, minlength=len(words.first)))], ["lang", "word", "n"])
 
-    counted = rows.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = mapped(rows.select(F.col(text).cast("string"), F.col(lang).cast("string")), count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +181,7 @@ def learn(df: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "
                 for kind, hashes, count in entries(words[own].tolist(), n[own]):
                     yield pa.record_batch([pa.array(np.full(len(hashes), kind, np.int32)), pa.array(hashes.view(np.int64)), pa.array([name] * len(hashes), pa.string()), pa.array(count, pa.int64())], ["kind", "hash", "lang", "n"])
 
-    summed = counted.mapInArrow(hashed, "kind int, hash long, lang string, n long").groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n"))
+    summed = mapped(counted, hashed, "kind int, hash long, lang string, n long").groupBy("kind", "hash", "lang").agg(F.sum("n").alias("n"))
     got = summed.toArrow()  # the distinct words of train_rows rows and their n-grams, as numbers
     lang = got["lang"].combine_chunks().dictionary_encode() if got.num_rows else pa.array([], pa.string()).dictionary_encode()
     return Model(got["kind"].to_numpy(), got["hash"].to_numpy().view(np.uint64), lang.dictionary.to_pylist(), lang.indices.to_numpy(), got["n"].to_numpy())
@@ -202,7 +202,7 @@ def identify(df: DataFrame, model: Model, *, text: str = "text", keep: list[str]
                 langs, scores = sent.value.predict_many(piece.column(piece.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, *names])
 
-    return chosen.mapInArrow(run, f"{schema}{', ' if keep else ''}`{names[0]}` string, `{names[1]}` double")
+    return mapped(chosen, run, f"{schema}{', ' if keep else ''}`{names[0]}` string, `{names[1]}` double")
 
 
 def recognized(df: DataFrame, model: Model, *, text: str = "text", least: float = LEAST_SCORE) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.blobs import Packer, exchanged, gathered, joined, mix, schema_of, spread
-from glyphmill.llm.common import MOST_BROADCAST, Memo, partitions, settle, without, written
+from glyphmill.llm.common import Memo, MOST_BROADCAST, mapped, partitions, settle, without, written
 from glyphmill.llm.components import components
 
 NULL_ID = -(2**63)
@@ -141,7 +141,7 @@ def sieve(df: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
         alive = (total[back[: len(d["docs"])]] >= d["need"]) & (d["sizes"] > 0)
         yield pa.record_batch([pa.array(d["docs"], pa.int64()), pa.array(d["sizes"].astype(np.int64)), pa.array([m.ljust(16, b"\1") if s else None for m, s in zip(d["marks"].tolist(), d["sizes"], strict=True)], pa.binary()), pa.array(alive)], ["doc_id", "n_shingles", "mark", "alive"])
 
-    dealt = df.mapInArrow(deal, schema_of(_SIEVE))
+    dealt = mapped(df, deal, schema_of(_SIEVE))
     counted = exchanged(dealt, parts, count, schema_of(_SIEVE))
     return exchanged(counted, parts, judge, "doc_id long, n_shingles long, mark binary, alive boolean")
 
@@ -204,7 +204,7 @@ def shared_by_groups(sets: DataFrame, parts: int, then=None, schema: str = _SETS
             ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             yield pa.record_batch([pa.array(d["docs"][some]), pa.array(d["groups"][some]), pa.array(d["sizes"][some]), pa.array(d["l"][some]), pa.ListArray.from_arrays(ends, pa.array(tokens[take])), pa.ListArray.from_arrays(ends, pa.array(times[take]))], ["doc_id", "group", "size", "l", "tokens", "times"])
 
-    dealt = sets.select("doc_id", "group", "size", "l", "tokens").mapInArrow(deal, schema_of(_SHARED))
+    dealt = mapped(sets.select("doc_id", "group", "size", "l", "tokens"), deal, schema_of(_SHARED))
     finish = (lambda batches: then(collect(batches))) if then else collect
     return exchanged(exchanged(dealt, parts, count, schema_of(_SHARED)), parts, finish, schema)
 
@@ -309,7 +309,8 @@ def candidates(prefix: DataFrame, percent: int, parts: int, block: int = BLOCK,
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.bool_())], ["a", "b", "sure"])
 
     again = shared_by_groups(prefix, parts).where("size(tokens) > 0")
-    dealt = again.join(prefix.select("doc_id", "all"), "doc_id").select("doc_id", "group", "size", "l", "tokens", "times", "all").mapInArrow(deal, schema_of(_LISTS))
+    dealt = again.join(prefix.select("doc_id", "all"), "doc_id").select("doc_id", "group", "size", "l", "tokens", "times", "all")
+    dealt = mapped(dealt, deal, schema_of(_LISTS))
     return exchanged(dealt, parts, meet, "a long, b long, sure boolean").distinct()
 
 
@@ -402,7 +403,7 @@ def similar(df: DataFrame, *, key: str = "doc_id", text: str = "text", n: int =
     alive = written(alive, "join-alive")
     if alive.count() <= MOST_BROADCAST:
         alive = F.broadcast(alive)
-    sets = written(rows.join(alive, "doc_id", "left_semi").mapInArrow(whole, "doc_id long, tokens array<long>"), "join-sets")
+    sets = written(mapped(rows.join(alive, "doc_id", "left_semi"), whole, "doc_id long, tokens array<long>"), "join-sets")
     stars = sets.sparkSession.createDataFrame([], "a long, b long") if every else written(first_links(sets, percent), "join-stars")
     grouped = sets.join(components(stars).toDF("doc_id", "group"), "doc_id", "left").select("doc_id", F.coalesce("group", "doc_id").alias("group"), F.size("tokens").alias("size"), F.lit(1).alias("l"), "tokens")
     chosen = written(shared_by_groups(grouped, parts, prefixes(percent), _PREFIXES), "join-prefixes")

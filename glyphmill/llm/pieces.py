@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import Memo, plain_names, settle
+from glyphmill.llm.common import Memo, mapped, plain_names, settle
 from glyphmill.llm.runs import Hashes, Lists, Table, code_points, pieces_of, ranges
 
 BLANK = "▁"
@@ -425,7 +425,7 @@ def encode(df: DataFrame, model_path: str, *, text: str = "text", keep: list[str
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:-1], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)), lists], names=[*keep, *RESULTS])
 
-    return chosen.mapInArrow(run, kept + ", ".join(f"{n} {t}" for n, t in RESULTS.items()))
+    return mapped(chosen, run, kept + ", ".join(f"{n} {t}" for n, t in RESULTS.items()))
 
 
 def decode(df: DataFrame, model_path: str, *, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:

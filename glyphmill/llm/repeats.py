@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.blobs import Packer, exchanged, gathered, joined, mix, schema_of, spread
-from glyphmill.llm.common import Kept, partitions, remembered, settle, written
+from glyphmill.llm.common import Kept, mapped, partitions, remembered, settle, written
 from glyphmill.llm.suffixes import common_prefix_reaches, suffix_order
 
 NULL_ID = -(2**63)
@@ -206,7 +206,7 @@ def repeated_anchors(rows: DataFrame, length: int, gram: int, parts: int, hot: i
             own = (found - (ends - c["counts"][k])[owner]) << _RANGE_BITS | dealt[found]
             yield pa.record_batch([pa.array(c["docs"][k]), pa.array([m.decode() for m in c["marks"][k].tolist()], pa.string()), pa.array(c["sizes"][k]), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own))], ["doc_id", "mark", "n_bytes", "anchors"])
 
-    counted = exchanged(rows.mapInArrow(deal, schema_of(_COUNT)), parts, count, schema_of(_COUNT))
+    counted = exchanged(mapped(rows, deal, schema_of(_COUNT)), parts, count, schema_of(_COUNT))
     return exchanged(counted, parts, collect, "doc_id long, mark string, n_bytes long, anchors array<long>")
 
 
@@ -324,7 +324,7 @@ def repeated_spans(rows: DataFrame, length: int, gram: int, parts: int) -> DataF
             cuts = pa.array(np.append(at, len(docs)), pa.int32())
             yield pa.record_batch([pa.array(docs[at]), pa.array(marks[at].view(np.int64)), pa.ListArray.from_arrays(cuts, pa.array(starts)), pa.ListArray.from_arrays(cuts, pa.array(ends))], ["doc_id", "short", "starts", "ends"])
 
-    sorted_ = exchanged(rows.mapInArrow(deal, schema_of(_SORT)), parts, sort, schema_of(_SORT))
+    sorted_ = exchanged(mapped(rows, deal, schema_of(_SORT)), parts, sort, schema_of(_SORT))
     return exchanged(sorted_, parts, collect, "doc_id long, short long, starts array<long>, ends array<long>")
 
 
@@ -440,7 +440,7 @@ def repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", **options
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             yield pa.record_batch([batch.column(0), *columns, batch.column(2), batch.column(3)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "ends"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
+    return mapped(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>")
 
 
 def without_repeats(df: DataFrame, *, key: str = "doc_id", text: str = "text", chars: str | None = "n_chars", **options) -> DataFrame:
