@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.functions.session import fresh_path
-from glyphmill.llm.common import table
+from glyphmill.llm.common import small_batches, table
 from glyphmill.llm.decontam import clean
 from glyphmill.llm.langid import learn, recognized
 from glyphmill.llm.ngram_join import one_of_each
@@ -27,6 +27,7 @@ ORACLE_SQL = None
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognized language go."""
+    small_batches(spark)
     return recognized(docs, learn(docs))
 
 
