@@ -580,6 +580,11 @@ def test_evenly_edited_copies_above_the_threshold_are_all_found(spark, every):
     assert got == pytest.approx(want) and len(want) >= (13 if every == 2 else 39)
 
 
+def test_words_of_plain_texts_are_those_of_the_pattern():
+    for text in ("It's A_b 12,x-Y\tz\n\x00q", "", "___", "Éa ½x_ß×ÿ", "İx", "".join(map(chr, range(300))), "".join(map(chr, range(256)))):
+        assert [w.decode("latin-1") if isinstance(w, bytes) else w for w in decontam.words_of(text)] == decontam.WORD.findall(text.lower())
+
+
 def test_short_items_need_six_words_or_all(spark):
     items = [(1, "one two three"), (2, "aa bb cc dd ee ff gg hh"), (3, "x")]
     docs = [(1, "zero one two three four"), (2, "one two thre"), (3, "q aa bb cc dd ee ff q"), (4, "q aa bb cc dd ee q"), (5, "x"), (6, "xx y")]
@@ -590,7 +595,7 @@ def test_short_items_need_six_words_or_all(spark):
 def test_seeds_are_the_rarest_words_of_all_documents(spark):
     book = decontam.Items([(1, "a b c d e f g h i j k l")])
     docs = spark.createDataFrame([(i, " ".join("abcdefghijkl"[: i % 13]) + " A") for i in range(60)], "doc_id long, text string")
-    counts = decontam.document_counts(docs, book.words)
+    counts = decontam.document_counts(docs, book.words, book.size)
     assert counts.tolist() == [60] + [sum(i % 13 >= k for i in range(60)) for k in range(2, 13)]
     book.ranked(counts)
     assert [w for w in range(12) if book.first[w + 1] > book.first[w]] == list(range(5, 12))
