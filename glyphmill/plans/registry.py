@@ -16,6 +16,7 @@ from glyphmill.plans.fixtures import KEYS
 from glyphmill.plans.oracles import with_
 from glyphmill.sources import files
 from glyphmill.sources.audit_log import AuditLog
+from glyphmill.sources.field_store import FieldStore
 from glyphmill.streaming import history_stream
 from glyphmill.streaming.audit_stream import read_log_stream
 
@@ -79,6 +80,25 @@ def p6_enriched(spark, sf_dir):
     return catalog.enriched(requests, fixtures.form_fields(spark, sf_dir).where("field_type = 'code'"))
 
 
+def _stores(spark, sf_dir):
+    """Requests and all fields, stored by id."""
+    path = fresh_path(spark, "store")
+    fields_, requests = (FieldStore(spark, f"{path}/{n}", f"{n}_{path.rpartition('-')[2]}", buckets=8) for n in ("fields", "requests"))
+    fields_.refresh(fixtures.form_fields(spark, sf_dir), "1")
+    requests.refresh(fixtures.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.lit("Date").alias("field_type"), F.lit(True).alias("is_comb_box"), F.lit(8).alias("cells")), "1")
+    return requests, fields_
+
+
+@query(with_(oracles.FIELDS, "SELECT field_type, id, ground_truth FROM fields WHERE id = 17"))
+def p5_stored_lookup(spark, sf_dir):
+    return _stores(spark, sf_dir)[1].lookup(17).select("field_type", "id", "ground_truth")
+
+
+@query(with_(oracles.FIELDS, "SELECT event_id AS id, coalesce(f.field_type, 'Date') AS field_type, coalesce(f.is_comb_box, true) AS is_comb_box, coalesce(f.num_chars, 8) AS cells FROM events LEFT JOIN fields f ON f.id = event_id"))
+def p6_stored_enriched(spark, sf_dir):
+    return catalog.enriched_stored(*_stores(spark, sf_dir))
+
+
 @query(with_(oracles.CHARS, "SELECT field_type, CASE WHEN m >= 0.85 THEN 'accepted' ELSE 'flagged' END AS bucket, CASE WHEN m >= 0.9 THEN 'success' WHEN m >= 0.75 THEN 'warning' ELSE 'danger' END AS badge, count(*) AS n FROM (SELECT field_type, id, min(conf) AS m FROM chars GROUP BY 1, 2) GROUP BY 1, 2, 3"))
 def p7_p8_split_and_badge(spark, sf_dir):
     rows = fixtures.hypotheses(spark, sf_dir).select("field_type", least_confidence(F.col("hyp")).alias("conf"))
