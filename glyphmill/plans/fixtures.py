@@ -92,6 +92,17 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "ts", action.alias("action"), field.alias("field_type"), F.concat(F.lit("v"), F.col("user_id").cast("string")).alias("verified_text"), F.col("value").alias("latency_s"), F.when(F.col("event_type") == "error", "unreadable").alias("notes"), F.when(F.col("event_id") % 3 == 0, "FLAGGED").otherwise("APPROVED").alias("status"))
 
 
+#: Texts of log documents, by SQL: cut off, nested, retyped, lists, no objects, blank, missing and as they are.
+DOCUMENT = """CASE event_id % 9 WHEN 0 THEN substr(props, 1, length(props) - 2) WHEN 1 THEN concat('{"k": {"v": 1}, "who": {"id": ', user_id, '}}')
+  WHEN 2 THEN concat('{"k": "', user_id, '", "note": "{', event_type, ', or so}"}') WHEN 3 THEN concat('{"k": [', user_id, ', 2], "who": null}') WHEN 4 THEN concat('[', user_id, ']')
+  WHEN 5 THEN ' ' WHEN 6 THEN NULL WHEN 7 THEN concat('{"who": {"id": "x', user_id, '"}, "k": ', user_id, '}') ELSE props END"""
+
+
+def documents_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, body): JSON texts of many shapes from the events."""
+    return table(spark, sf_dir, "events").select("event_id", F.expr(DOCUMENT).alias("body"))
+
+
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(img_id, cells): an image for each supplier, with 5 wide or 12 narrow cells."""
     key = F.col("s_suppkey").cast("long")

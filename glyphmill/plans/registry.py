@@ -14,7 +14,7 @@ from glyphmill.operators import audit, catalog, decode, evaluate, fields, glyphs
 from glyphmill.plans import fixtures, oracles
 from glyphmill.plans.fixtures import KEYS
 from glyphmill.plans.oracles import with_
-from glyphmill.sources import files
+from glyphmill.sources import documents, files
 from glyphmill.sources.audit_log import AuditLog
 from glyphmill.sources.field_store import FieldStore
 from glyphmill.streaming import history_stream
@@ -587,6 +587,20 @@ def s8_s9_audit(spark, sf_dir):
     return files.read_audit(spark, path).select(*rows.columns)
 
 
+_VARIANT = f"""WITH texts AS (SELECT event_id, {fixtures.DOCUMENT} AS body FROM events),
+judged AS (SELECT *, CASE WHEN body IS NULL OR trim(body) = '' THEN 'empty' WHEN NOT json_valid(body) THEN 'broken' WHEN json_type(body) <> 'OBJECT' THEN 'not an object' ELSE 'ok' END AS reason FROM texts),
+docs AS (SELECT *, CASE WHEN reason = 'ok' THEN body::JSON END AS doc FROM judged),
+read_ AS (SELECT event_id, reason, TRY_CAST(doc->>'$.k' AS BIGINT) AS k, TRY_CAST(doc->>'$.who.id' AS BIGINT) AS who, doc->>'$.note' AS note, coalesce(json_type(doc->'$.k'), 'NULL') <> 'NULL' AS has_k, coalesce(json_type(doc->'$.who.id'), 'NULL') <> 'NULL' AS has_who FROM docs)
+SELECT event_id, reason, k, who, note, concat(CASE WHEN has_k AND k IS NULL THEN 'k' ELSE '' END, CASE WHEN has_who AND who IS NULL THEN 'who' ELSE '' END) AS retyped FROM read_"""
+
+
+@query(_VARIANT)
+def s8_log_documents(spark, sf_dir):
+    rows = documents.parsed(fixtures.documents_log(spark, sf_dir), "body")
+    read = documents.typed(rows, {"k": ("$.k", "long"), "who": ("$.who.id", "long"), "note": ("$.note", "string")})
+    return read.select("event_id", "reason", "k", "who", "note", F.array_join("retyped", "").alias("retyped"))
+
+
 @query(with_(oracles.LOG, "SELECT event_id, action, 'say \"' || verified_text || '\", twice' AS verified_text FROM log"))
 def s14_export(spark, sf_dir):
     path = fresh_path(spark, "export")
