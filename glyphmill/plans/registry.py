@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from glyphmill.plans.oracles import with_
 from glyphmill.sources import documents, files
 from glyphmill.sources.audit_log import AuditLog
 from glyphmill.sources.field_store import FieldStore
+from glyphmill.sources.text_index import TextIndex
 from glyphmill.streaming import history_stream
 from glyphmill.streaming.audit_stream import read_log_stream
 
@@ -61,6 +63,17 @@ def p3_search_fields(spark, sf_dir):
     return catalog.search_fields(fixtures.form_fields(spark, sf_dir), None, False, "77").select("field_type", "id", "ground_truth")
 
 
+_NEEDLES = ("7", "77", "1-0", "4/0", "PIN", "k-3", "2019", "zz-1")
+
+
+@query(with_(oracles.FIELDS, "SELECT needle, field_type, id FROM fields, (VALUES " + ", ".join(f"('{n}')" for n in _NEEDLES) + ") v(needle) WHERE contains(CAST(id AS VARCHAR), lower(needle)) OR contains(lower(ground_truth), lower(needle)) OR contains(lower(field_type), lower(needle))"))
+def p3_indexed_search(spark, sf_dir):
+    index = TextIndex(spark, fresh_path(spark, "index"))
+    index.build(fixtures.form_fields(spark, sf_dir), ["field_type", "id"], ["id", "ground_truth", "field_type"])
+    found = [index.search(n).select(F.lit(n).alias("needle"), "field_type", "id") for n in _NEEDLES]
+    return reduce(DataFrame.union, found)
+
+
 @query(with_(oracles.FIELDS, r"SELECT id, upper(substr(field_type, 1, 1)) || lower(substr(field_type, 2)) AS type_label, CASE WHEN id % 3 = 0 THEN 'own_' || id ELSE field_type || '_' || id || '.png' END AS filename, CASE WHEN is_comb_box THEN 'Comb Box' ELSE 'Freeform' END AS layout, CASE WHEN id % 5 = 0 THEN CAST(length(ground_truth) AS INT) ELSE num_chars END AS cells, '/api/image/' || CASE WHEN id % 3 = 0 THEN 'own_' || id ELSE field_type || '_' || id || '.png' END AS image_url FROM fields"))
 def p4_s4_described(spark, sf_dir):
     rows = fixtures.form_fields(spark, sf_dir)
