@@ -16,7 +16,8 @@ densities are lowered alike and the choice is the same.
 
 Defined cases: null, empty or text-free pages give empty text; tags that are not closed end with their parent; a page
 cut off in the middle gives what it has; an unfinished tag at the end is dropped; of equal density sums the outermost,
-then the first node counts; repeated rows are kept; an empty table gives no rows; pages may be of any length and depth.
+then the first node counts; repeated rows are kept; an empty table gives no rows; pages may be of any length and depth;
+other columns are ignored, whatever their names (also ``text`` and ``n_chars``).
 """
 
 from __future__ import annotations

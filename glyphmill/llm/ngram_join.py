@@ -16,7 +16,8 @@ would touch, and how many candidates can share L of it); a pair must share as ma
 N-grams are 64-bit hashes. Rows are keyed by doc_id; several rows of one doc_id count as one document that links when
 any of its texts links (each row has its own n_shingles). Null, empty or blank texts have no n-grams and link with
 nothing; texts with fewer words than n have one n-gram, the whole sequence; null doc_ids are one document. Empty
-tables give empty results; other columns are ignored.
+tables give empty results; texts of any length have all their n-grams, a packed list a document; other columns are
+ignored, whatever their names, and kept by ``one_of_each``.
 """
 
 from __future__ import annotations

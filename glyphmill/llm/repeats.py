@@ -19,7 +19,8 @@ doc_id, or earlier in the same one. All strings are judged on the input.
 Defined cases: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; several rows of one
 doc_id with equal texts are the same document and count once (each row loses the same), with different texts they are
 ordered by the texts' hash; null doc_ids come first; an empty table gives no rows; other columns are kept by
-``without_repeats``. Whole texts are held equal by their 128-bit hash, shorter pieces by their bytes.
+``without_repeats``, whatever their names. Whole texts are held equal by their 128-bit hash,
+shorter pieces by their bytes; texts of any length are read whole, their anchors a block at a time, and sorted in pieces.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ documents of a shard follow one another without gaps; only a shard's last sequen
 map of a local file gives any sequence without a copy. Shards hold ascending ranges of doc_id.
 
 Defined cases: a null text counts as empty and gives the end id alone; a null doc_id comes first; repeated rows are
-kept, each on its own; an empty table makes no file and no row; other columns are ignored.
+kept, each on its own; an empty table makes no file and no row; texts are encoded whole, whatever their length, and run
+over as many sequences as they need; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
