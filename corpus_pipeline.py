@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 stage's docs. All but the last return the columns of documents.
 
 Defined cases: documents without text, without a letter or without a recognized language go in the first stage; repeated
-rows of a doc_id stay or go together; other columns pass, whatever their names; empty tables give no rows.
+rows of a doc_id stay or go together; of documents that tie the smallest doc_id stays; texts of any length are worked on
+whole; other columns pass, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
