@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.blobs import Packer, exchanged, gathered, joined, mix, schema_of, spread
-from glyphmill.llm.common import Kept, mapped, partitions, remembered, settle, written
+from glyphmill.llm.common import MOST_BROADCAST, Kept, mapped, partitions, remembered, settle, written
 from glyphmill.llm.suffixes import common_prefix_reaches, suffix_order
 
 NULL_ID = -(2**63)
@@ -408,11 +408,16 @@ def spans(df: DataFrame, *, key: str = "doc_id", text: str = "text", length: int
     known = long_.join(lead, "mark")
     copies = known.where("doc_id <> lead").select("doc_id", "mark", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n_bytes").alias("ends"))
     todo = known.where("doc_id = lead and size(anchors) > 0").select("doc_id", "mark", "anchors").dropDuplicates(["doc_id", "mark"])
+    own = written(todo.select("doc_id").distinct(), "repeat-ids")
+    if own.count() <= MOST_BROADCAST:  # only the texts that are sorted are shuffled
+        rows = rows.join(F.broadcast(own), "doc_id", "left_semi")
     found = repeated_spans(rows.join(todo, ["doc_id", "mark"]).select("doc_id", "mark", "text", "anchors"), length, gram, parts)
     short = F.conv(F.substring("mark", 1, 16), 16, -10).cast("long")
     back = found.join(todo.select("doc_id", "mark", short.alias("short")), ["doc_id", "short"]).select("doc_id", "mark", "starts", "ends")
     cut = written(copies.dropDuplicates(["doc_id", "mark"]).union(back), "repeat-spans")
-    return full, cut.toDF("__doc", "__mark", "__starts", "__ends")
+    n, spans_ = cut.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()
+    cut = cut.toDF("__doc", "__mark", "__starts", "__ends")
+    return full, F.broadcast(cut) if 8 * n + 2 * spans_ <= MOST_BROADCAST else cut  # in units of an id
 
 
 def _kept(raw: bytes, starts: list[int] | None, ends: list[int] | None) -> bytes:

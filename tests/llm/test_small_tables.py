@@ -199,6 +199,15 @@ def test_repeats(docs):
     assert all((r.n_bytes, r.n_removed, r.kept_sha256) == want[-1 if r.doc_id is None else r.doc_id] for r in got)
 
 
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_repeats_are_the_same_by_broadcast_and_by_shuffle(docs, monkeypatch, most):
+    monkeypatch.setattr(repeats, "MOST_BROADCAST", most)
+    want = brute_repeats(ROWS, 100)
+    got = repeats.repeats(docs)
+    assert ("strategy=broadcast" in got._jdf.queryExecution().optimizedPlan().toString()) == (most > 0)
+    assert all((r.n_bytes, r.n_removed, r.kept_sha256) == want[-1 if r.doc_id is None else r.doc_id] for r in got.collect())
+
+
 def test_repeats_within_a_text_and_periods(spark):
     rows = [(1, "ab" * 300), (2, "x" * 250 + "ab" * 60), (3, "é" * 120 + "ab" * 55), (4, "ba" * 200)]
     want = brute_repeats(rows, 100)
