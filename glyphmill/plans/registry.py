@@ -377,7 +377,7 @@ def a11_latest(spark, sf_dir):
 @query(with_(oracles.LOG, "SELECT substr(sha256(CAST(event_id AS VARCHAR)), 1, 8) AS audit_id, event_id, coalesce(field_type, 'Custom') AS field_type, action, CASE WHEN action = 'REJECT' THEN '[REJECTED]' ELSE verified_text END AS verified_text, coalesce(notes, '') AS notes FROM log"))
 def s9_a9_repeatable_append(spark, sf_dir):
     rows = audit.appended(fixtures.audit_events(spark, sf_dir))
-    log = AuditLog(spark, fresh_path(spark, "log"), rows.schema)
+    log = AuditLog(spark, fresh_path(spark, "log"), rows.schema, key="event_id")
     third = F.pmod(F.col("event_id"), F.lit(3))
     for batch, wanted in (("a", third == 0), ("b", third == 1), ("b", third == 1), ("c", third == 2), ("late", F.col("event_id") % 7 == 0)):
         log.append(rows.where(wanted), batch)

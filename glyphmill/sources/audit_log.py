@@ -3,12 +3,13 @@
 Layout under a folder that all executors share: ``data/<batch>/`` holds a batch's rows, ``manifest/<batch>/`` one row that
 is written after them (batch, folders it stands for, rows, first and last time). Only what the manifest names is read, so
 a batch that failed half-way leaves nothing, and one that is run again writes its own folder anew. A record is known by
-its audit_id. A repeated record has the time of the first, so a batch is compared only with committed batches whose times
-overlap its own, read by their audit_id and ts alone, with the times pushed down to the files.
+its key and time. A repeated record has the time of the first, so a batch is compared only with committed batches whose
+times overlap its own, read by their key and ts alone, with the times pushed down to the files. The key has to be unique:
+the audit_id of ``audit.appended`` has 32 bits, and two of the first 100,000 events share one; such a log takes event_id.
 
-One writer at a time (a stream has one; batch jobs take turns). Defined cases: within a batch, of records with one
-audit_id the smallest by (ts, text of all columns) stays; a null audit_id or ts is refused with a count; an empty batch is
-committed with no rows; columns must be those of the log.
+One writer at a time (a stream has one; batch jobs take turns). Defined cases: within a batch, of records with one key and
+ts the smallest by the text of all columns stays; a null key or ts is refused with a count; an empty batch is committed
+with no rows; columns must be those of the log.
 """
 
 from __future__ import annotations
@@ -71,12 +72,11 @@ class AuditLog:
         missing, low, high = records.agg(F.count_if(F.col(self.key).isNull() | time.isNull()), F.min(time), F.max(time)).first()
         if missing:
             raise ValueError(f"{missing} records without {self.key} or {self.time}")
-        first = F.struct(self.time, F.to_json(F.struct(*columns)))
-        fresh = records.groupBy(self.key).agg(F.min_by(F.struct(*columns), first).alias("r")).select("r.*")
+        fresh = records.groupBy(self.key, self.time).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias("r")).select("r.*")
         near = [r for r in known if r["n"] and low is not None and r["first"] <= high and low <= r["last"]]
         if near:
-            old = self._read(near).where(time.between(F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz"))).select(self.key)
-            fresh = fresh.join(old, self.key, "left_anti").select(*columns)
+            old = self._read(near).where(time.between(F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz"))).select(self.key, self.time)
+            fresh = fresh.join(old, [self.key, self.time], "left_anti").select(*columns)
         fresh.write.mode("overwrite").parquet(f"{self.path}/data/{batch}")
         return self._commit(batch, [batch], [], 1 + max((r["seq"] for r in known), default=0))["n"]
 

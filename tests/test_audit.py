@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import ranks
 from glyphmill.operators import audit
+from glyphmill.plans.registry import QUERIES
 from glyphmill.sources.audit_log import AuditLog
 from glyphmill.streaming import history_stream
 from glyphmill.streaming.audit_stream import read_log_stream
@@ -65,6 +66,25 @@ def test_repeated_batches_and_records_leave_the_log_as_it_is(spark, tmp_path):
     assert ids_of(log) == [*want, (300, "n")] and len(list((tmp_path / "log" / "data").iterdir())) == 1
 
 
+def test_records_that_share_an_audit_id_all_stay(spark, tmp_path):
+    """The ids of 69,235 and 95,303 have the same first eight digits."""
+    ids = [69_235, 95_303, 3]
+    events = spark.createDataFrame([(i, START, "ACCEPT", "pin", "v", 1.0, None) for i in ids], "event_id long, ts timestamp_ntz, action string, field_type string, verified_text string, latency_s double, notes string")
+    rows = audit.appended(events)
+    assert rows.select("audit_id").distinct().count() == 2
+    apart, together = (AuditLog(spark, str(tmp_path / name), rows.schema, key="event_id") for name in ("apart", "together"))
+    assert [apart.append(rows.where(F.col("event_id") == i), f"b{k}") for k, i in enumerate([*ids, 3])] == [1, 1, 1, 0]
+    assert together.append(rows, "a") == 3 and together.append(rows, "b") == 0
+    later = rows.withColumn("ts", F.when(F.col("event_id") == ids[1], F.lit(START + dt.timedelta(minutes=9)).cast("timestamp_ntz")).otherwise(F.col("ts")))
+    by_id = AuditLog(spark, str(tmp_path / "by_id"), rows.schema)  # of one audit_id, another time is another record
+    assert by_id.append(later, "a") == 3 and by_id.append(later, "b") == 0
+    for log in (apart, together, by_id):
+        assert sorted(r.event_id for r in log.read().collect()) == sorted(ids)
+    table = events.select("event_id", "ts", F.col("event_id").alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"))
+    table.write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(r.event_id for r in QUERIES["s9_a9_repeatable_append"](spark, str(tmp_path)).collect()) == sorted(ids)
+
+
 def test_a_batch_that_failed_half_way_leaves_nothing_and_can_be_run_again(spark, tmp_path, monkeypatch):
     log = AuditLog(spark, str(tmp_path / "log"), LOG)
     log.append(records(spark, range(3)), "a")
