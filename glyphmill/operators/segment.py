@@ -21,9 +21,13 @@ def field_ink(pixels: DataFrame) -> DataFrame:
 
 
 def glyph_ink(pixels: DataFrame) -> DataFrame:
-    """Dark on light if the image's median is above the bound, else light on dark."""
+    """Dark on light if the image's median is above the bound, else light on dark.
+
+    The levels, one row an image, are the side that is built, by partition: Spark takes pixels for as few rows as the
+    images that they are made of, and would broadcast them.
+    """
     level = pixels.groupBy("img_id").agg(F.median("v").alias("level"))
-    rows = pixels.join(level, "img_id")
+    rows = pixels.join(level.hint("shuffle_hash"), "img_id")
     return rows.where(F.when(F.col("level") > POLARITY, F.col("v") <= FIELD_INK).otherwise(F.col("v") > GLYPH_DARK)).drop("level")
 
 
