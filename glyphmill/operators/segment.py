@@ -86,6 +86,11 @@ def plausible_boxes(boxes: DataFrame, width: int) -> DataFrame:
     return boxes.where((F.col("area") >= 6) & (F.col("h") >= 3) & (F.col("w") >= 2) & (F.col("w") < 0.85 * width))
 
 
+def blank(images: DataFrame, ink: DataFrame) -> DataFrame:
+    """Images without ink; the ink is reduced to its images before it is shuffled, and is broadcast in no case."""
+    return images.join(ink.select("img_id").distinct().hint("merge"), "img_id", "left_anti")
+
+
 def equal_slices(images: DataFrame, width: int, n: int = 6) -> DataFrame:
     """For images without ink: n slices between whole pixels; w is a slice's width in whole pixels."""
     step = F.lit(float(width)) / n

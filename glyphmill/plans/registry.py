@@ -476,7 +476,7 @@ def i12_i13_plausible(spark, sf_dir):
 @query(with_(oracles.PIXELS, "SELECT img_id, CAST(cell AS INT) AS cell, CAST(floor(cell * (40::DOUBLE / 6)) AS INT) AS x, CAST(floor((cell + 1) * (40::DOUBLE / 6)) AS INT) AS \"right\", 6::INT AS w FROM images, range(6) r(cell) WHERE img_id NOT IN (SELECT img_id FROM ink)"))
 def i14_slices(spark, sf_dir):
     ink = segment.field_ink(fixtures.pixels(spark, sf_dir))
-    return segment.equal_slices(fixtures.images(spark, sf_dir).join(ink, "img_id", "left_anti"), 40)
+    return segment.equal_slices(segment.blank(fixtures.images(spark, sf_dir), ink), 40)
 
 
 _MERGE = """SELECT img_id, CAST(pos - 1 AS INT) AS pos, m.x AS x, m.y AS y, m.r - m.x AS w, m.b - m.y AS h FROM (SELECT img_id, generate_subscripts(merged, 1) AS pos, unnest(merged) AS m FROM (

@@ -18,7 +18,7 @@ def wanted(name):
     return sorted(con.sql(ORACLES[name]).fetchall())
 
 
-@pytest.mark.parametrize("name", ["i3_glyph_ink"])
+@pytest.mark.parametrize("name", ["i3_glyph_ink", "i14_slices"])
 def test_pixels_are_never_broadcast(spark, name):
     got = QUERIES[name](spark, SF)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
