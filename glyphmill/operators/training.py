@@ -1,9 +1,12 @@
 """Training by mini-batches: AdamW with a cosine rate, gradients worked out where the rows are.
 
-Rows are dealt into shards by a hash of their key and written by shard. An epoch takes the shards in an order drawn from
-seed and epoch, ``SPREAD`` of them a step, so that a step reads its own shards only. A step is one Spark job: the weights
-go out as a broadcast, each task gives the sum of its rows' gradients, and the driver moves the weights. What the driver
-holds is the size of the network. The numbers are those of one process that sees the same batches, but for rounding.
+Rows are dealt into shards by a hash of their key. An epoch takes the shards in an order drawn from seed and epoch,
+``SPREAD`` of them a step, and its rows are shuffled into blocks of steps. Each step needs the weights of the one before,
+so a block is one Spark job: weights and moments go out as a broadcast, a task takes the block's steps one after the other
+as its rows stream in, and gives both back. A block has ``BLOCK`` values at most; where a single step has more, its gradient
+is summed where its rows are and the driver moves the weights. What the driver holds is the size of the network, a task
+also the order of the shards (four bytes for ``BATCH / SPREAD`` rows). The numbers are those of one process that sees the
+same batches, but for rounding.
 
 Defined cases: rows without a label, or whose features are null, hold null or non-finite entries or are of another length
 than the network's input are left out; labels may be any whole numbers, each is a class; with no rows there is no epoch;
@@ -13,14 +16,16 @@ of equally good epochs the first is the best; repeated rows count as often as th
 from __future__ import annotations
 
 import math
+from copy import copy
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.session import fresh_path
+from glyphmill.functions.session import delete, fresh_path
 from glyphmill.functions.sums import total_of
 
 # The surveyed optimiser's settings.
@@ -28,6 +33,8 @@ EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.002, 1e-4
 MOMENTS, TINY = (0.9, 0.999), 1e-8
 #: Shards a step reads, part of the rows that is held for validation (one in so many), tasks that add first.
 SPREAD, HELD, ADDERS = 4, 5, 16
+#: Values of the features in one block of steps (64 MB).
+BLOCK = 1 << 23
 
 
 class Perceptron:
@@ -97,10 +104,12 @@ def cosine(rate: float, epoch: int, epochs: int) -> float:
     return rate * (1 + math.cos(math.pi * epoch / epochs)) / 2
 
 
-def steps_of(shards: int, epoch: int, seed: int) -> list[list[int]]:
-    """The shards of each step of an epoch."""
-    order = np.random.default_rng([seed, epoch]).permutation(shards).tolist()
-    return [order[k : k + SPREAD] for k in range(0, shards, SPREAD)]
+@lru_cache(maxsize=1)
+def steps_of(shards: int, epoch: int, seed: int) -> np.ndarray:
+    """The step of each shard in an epoch."""
+    out = np.empty(shards, np.int32)
+    out[np.random.default_rng([seed, epoch]).permutation(shards)] = np.arange(shards) // SPREAD
+    return out
 
 
 @dataclass
@@ -137,29 +146,79 @@ def train(rows: DataFrame, *, key: str, features: str = "features", label: str =
     good = good.where(F.size("x") == width["n"]).withColumn("fold", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(HELD)))
     sizes = good.groupBy("label").agg(F.count_if(F.col("fold") != 0).alias("n")).collect()  # a row a class
     classes, n = sorted(r["label"] for r in sizes), sum(r["n"] for r in sizes)
-    shards = max(1, math.ceil(n / batch)) * SPREAD
+    steps = max(1, math.ceil(n / batch))
+    blocks = min(steps, math.ceil(steps * batch * width["n"] / BLOCK))
     path = fresh_path(spark, "training")
-    dealt = F.pmod(F.xxhash64("key", F.lit(seed + 1)), F.lit(shards)).cast("int")
-    shard = F.when(F.col("fold") == 0, -1 - dealt).otherwise(dealt)
-    good.select("x", "label", shard.alias("shard")).repartition(F.col("shard")).write.partitionBy("shard").parquet(path)
-    data = spark.read.schema("x array<double>, label long, shard int").parquet(path)
+    good.select("x", "label", F.xxhash64("key", F.lit(seed + 1)).alias("dealt"), (F.col("fold") == 0).alias("held")).write.partitionBy("held").parquet(path)
+    data = spark.read.schema("x array<double>, label long, dealt long, held boolean").parquet(path)
     net = Perceptron([width["n"], *hidden, len(classes)])
     weights, mover = net.drawn(seed), AdamW(net.size, decay)
     best, history = weights, []
     for epoch in range(epochs):
         now, loss, count = cosine(rate, epoch, epochs), 0.0, 0.0
-        for step in steps_of(shards, epoch, seed):
-            got = summed(data.where(F.col("shard").isin(step)), net, weights, classes, True, 0)
-            if got[2]:
-                weights = mover.moved(weights, got[3:] / got[2], now)
-                loss, count = loss + got[0], count + got[2]
-        held = summed(data.where("shard < 0"), net, weights, classes, False, ADDERS)
+        ordered, own = in_blocks(data.where("not held"), steps, blocks, epoch, seed)
+        for block in range(blocks):
+            rows = ordered.where(F.col("block") == block)
+            if batch * width["n"] > BLOCK:
+                got = summed(rows, net, weights, classes, True, 0)
+                weights = mover.moved(weights, got[3:] / got[2], now) if got[2] else weights
+            else:
+                got, weights, mover = chained(rows, net, weights, mover, classes, now)
+            loss, count = loss + got[0], count + got[2]
+        delete(spark, own)
+        held = summed(data.where("held"), net, weights, classes, False, ADDERS)
         history.append((epoch + 1, now, float(loss / max(count, 1.0)), float(100.0 * held[1] / max(held[2], 1.0))))
         if history[-1][3] > max((h[3] for h in history[:-1]), default=-1.0):
             best = weights
     return Trained(net, best, classes, history)
 
 
+def in_blocks(rows: DataFrame, steps: int, blocks: int, epoch: int, seed: int) -> tuple[DataFrame, str]:
+    """The rows of an epoch as a table (x, label, dealt, step, block), and its folder; a block is some steps that follow each other."""
+    shards = steps * SPREAD
+    step = F.arrow_udf(lambda shard: pa.array(steps_of(shards, epoch, seed)[shard.to_numpy(zero_copy_only=False)]), "int")
+    placed = rows.drop("held").withColumn("step", step(F.pmod("dealt", F.lit(shards))))
+    dealt = placed.withColumn("block", F.floor(F.col("step").cast("long") * blocks / steps).cast("int"))
+    path = fresh_path(rows.sparkSession, "epoch")
+    dealt.repartitionById(blocks, F.col("block")).write.partitionBy("block").parquet(path)
+    return rows.sparkSession.read.schema("x array<double>, label long, dealt long, step int, block int").parquet(path), path
+
+
+def chained(rows: DataFrame, net: Perceptron, weights: np.ndarray, mover: AdamW, classes: list[int], rate: float) -> tuple[np.ndarray, np.ndarray, AdamW]:
+    """The steps of a block one after the other: sums of losses, right predictions and rows, then weights and mover after them."""
+    sent = rows.sparkSession.sparkContext.broadcast((weights, mover))  # three times the size of the network
+
+    def run(batches):
+        w, own = sent.value[0], copy(sent.value[1])
+        at, got, sums = -1, np.zeros(3 + net.size), np.zeros(3)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = matrix(batch, classes)
+            step = batch.column(2).to_numpy()
+            starts = np.flatnonzero(np.diff(step, prepend=-1)).tolist()
+            for a, b in zip(starts, [*starts[1:], len(step)], strict=True):
+                if step[a] != at and got[2]:
+                    w, sums, got = own.moved(w, got[3:] / got[2], rate), sums + got[:3], np.zeros(3 + net.size)
+                at = step[a]
+                got = got + net.losses(w, x[a:b], y[a:b])
+        if got[2]:
+            w, sums = own.moved(w, got[3:] / got[2], rate), sums + got[:3]
+        state = np.concatenate([sums, [own.steps], w, own.first, own.second])
+        yield pa.record_batch([pa.array([state.tobytes()], pa.binary())], ["state"])
+
+    try:
+        told = rows.coalesce(1).sortWithinPartitions("step", "dealt").select("x", "label", "step").mapInArrow(run, "state binary").first()
+    finally:
+        sent.destroy()
+    if told is None:  # no rows at all
+        return np.zeros(3), weights, mover
+    state, after = np.frombuffer(told["state"]), copy(mover)
+    after.steps = int(state[3])
+    w, after.first, after.second = np.split(state[4:], 3)
+    return state[:3], w, after
+
+
 def summed(rows: DataFrame, net: Perceptron, weights: np.ndarray, classes: list[int], gradient: bool, adders: int) -> np.ndarray:
     """Losses, and the gradient if wanted, over rows (x, label)."""
     sent = rows.sparkSession.sparkContext.broadcast(weights)  # the size of the network

@@ -67,6 +67,27 @@ def test_history_equals_one_process(spark):
     assert got.history[-1][2] < got.history[0][2] and got.classes == [-5, 5, 15, 25]
 
 
+@pytest.mark.parametrize("values", [1_000, 100])  # some blocks of steps; a block for each step, summed where its rows are
+def test_blocks_change_nothing(spark, monkeypatch, values):
+    rows = clouds(300)
+    df = spark.createDataFrame(rows, "vec_id long, features array<double>, label int").repartition(3)
+    monkeypatch.setattr(training, "BLOCK", values)
+    got = training.train(df, key="vec_id", hidden=(8,), epochs=2, batch=64, rate=0.01, seed=3)
+    assert np.allclose(np.array(got.history), np.array(one_process(spark, rows, 8, 2, 64, 0.01, 3)), rtol=1e-9, atol=1e-9)
+
+
+def test_jobs_grow_with_blocks_not_with_steps(spark):
+    rows = clouds(300)
+    df = spark.createDataFrame(rows, "vec_id long, features array<double>, label int")
+    spark.sparkContext.setJobGroup("training", "training")
+    try:
+        got = training.train(df, key="vec_id", hidden=(4,), epochs=2, batch=4, rate=0.01, seed=3)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("training")) < 30  # 61 steps an epoch
+    assert np.allclose(np.array(got.history), np.array(one_process(spark, rows, 4, 2, 4, 0.01, 3)), rtol=1e-9, atol=1e-9)
+
+
 def test_gradient_equals_differences():
     net = training.Perceptron([3, 5, 4, 2])
     draws = np.random.default_rng(1)
