@@ -36,24 +36,28 @@ def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fields with a noisy reading of every character."""
+    """The fields with a noisy reading of every character.
+
+    The lambda looks at what it is given only: with a column of the table in it, below the union of the fields and under a
+    filter, Spark 4.1 took that column for one of the lambda's own in a fresh session (``key not found: c_custkey``).
+    """
     fields = form_fields(spark, sf_dir)
 
-    def swapped(c):
-        return F.when(F.col("field_type") == "date", F.translate(c, *DATE_SWAP)).when(F.col("field_type") == "pin", F.translate(c, *PIN_SWAP)).otherwise(F.translate(c, *CODE_SWAP))
+    def swapped(field, c):
+        return F.when(field["field_type"] == "date", F.translate(c, *DATE_SWAP)).when(field["field_type"] == "pin", F.translate(c, *PIN_SWAP)).otherwise(F.translate(c, *CODE_SWAP))
 
-    def one(pos):
-        h = (F.col("id") * 31 + pos * 17) % 23
-        truth = F.substr("ground_truth", pos + 1, F.lit(1))
+    def one(field, pos):
+        h = (field["id"] * 31 + pos * 17) % 23
+        truth = F.substr(field["ground_truth"], pos + 1, F.lit(1))
         alternatives = F.array(F.struct(truth.alias("ch"), F.lit(0.40).alias("p")), F.struct(F.lit("1").alias("ch"), F.lit(0.03).alias("p")), F.struct(F.lit("A").alias("ch"), F.lit(0.01).alias("p")))
         none = F.array().cast("array<struct<ch:string,p:double>>")
         return F.struct(
-            F.when(h == 0, swapped(truth)).when(h == 11, "Z").otherwise(truth).alias("ch"),
+            F.when(h == 0, swapped(field, truth)).when(h == 11, "Z").otherwise(truth).alias("ch"),
             F.when(h == 0, 0.55).when(h == 5, 0.82).when(h == 11, 0.45).otherwise(0.99).alias("conf"),
             F.when(h == 0, alternatives).otherwise(none).alias("alts"),
         )
 
-    return fields.withColumn("hyp", F.transform(F.sequence(F.lit(0), F.col("num_chars") - 1), one))
+    return fields.withColumn("hyp", F.transform(F.array_repeat(F.struct("field_type", "id", "ground_truth"), F.col("num_chars")), one))
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
